@@ -68,10 +68,15 @@ feats AS (
   FROM stats)"""
 
 
+_LATENCY = ("p99_latency_ms", "p50_latency_ms")
+
+
 def _log(cols):
+    # Features without percentiles need the counting scan only.
+    build = ops.log_window_features if set(cols) & set(_LATENCY) else ops.log_window_counts
+
     def run(spark, sf):
-        out = ops.log_window_features(common_events(spark, sf), DAY)
-        return rounded(out.select("source", "host", "window_start", *cols))
+        return rounded(build(common_events(spark, sf), DAY).select("source", "host", "window_start", *cols))
 
     return run
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import features
+from tidewatch.plans import features, rules
 
-_FAMILIES = (features,)
+_FAMILIES = (features, rules)
 
 
 def queries():
