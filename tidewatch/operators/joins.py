@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.skew import BLOCK_ROWS, row_blocks
+from tidewatch.operators.skew import time_blocks
 
 
 def latest_before(
@@ -17,14 +17,14 @@ def latest_before(
     ts: str,
     values: Sequence[str],
     strict: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    piece: str = "hour",
 ) -> DataFrame:
     """Every left row with the newest right row of its key at or before its time.
 
     With ``strict`` only right rows before the left time count.  Two right rows
     at one instant are told apart by their values, so the result is stable.
-    Keys above the row limit are cut by time; the newest right row of a piece
-    is carried into the later pieces of that key.
+    Keys are cut into pieces of time (``piece``), so a busy key is spread over
+    tasks; the newest right row is carried from piece to piece.
     """
     # Order inside one instant: right rows first, or last when the match is strict.
     l_rank, r_rank = (0, 1) if strict else (1, 0)
@@ -36,11 +36,11 @@ def latest_before(
     r = right.groupBy(*keys, ts).agg(F.max(payload).alias("_right"))
     r = r.select(*keys, ts, F.lit(r_rank).alias("_side"), F.lit(None).cast(l.schema["_left"].dataType).alias("_left"), "_right")
     both = l.unionByName(r)
-    both = both.withColumn("_piece", F.date_trunc("day", F.col(ts)))
+    both = both.withColumn("_piece", F.date_trunc(piece, F.col(ts)))
 
     # Newest right row of each (key, piece), carried forward over the pieces: one small row per piece.
-    newest = both.where(F.col("_right").isNotNull()).groupBy(*keys, "_piece").agg(F.max_by("_right", ts).alias("_carry"))
-    pieces = both.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n")).join(newest, [*keys, "_piece"], "left")
+    has_right = F.when(F.col("_right").isNotNull(), F.col(ts))
+    pieces = both.groupBy(*keys, "_piece").agg(F.max_by("_right", has_right).alias("_carry"))
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select(*keys, "_piece", F.last("_carry", ignorenulls=True).over(earlier).alias("_carry"))
 
@@ -50,3 +50,32 @@ def latest_before(
     match = F.coalesce("_seen", "_carry")
     cols = [F.col(f"_left.{c}").alias(c) for c in rest]
     return out.select(*keys, ts, *cols, *[match[v].alias(v) for v in values])
+
+
+def trailing_matches(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    seconds: int,
+    count: str = "matches",
+    latest: str = "latest_match",
+) -> DataFrame:
+    """Every left row with the number and the latest time of right rows in the ``seconds`` up to it.
+
+    One range frame over the union, cut into time blocks: the work is linear in
+    the rows of both sides, whatever number of pairs the interval holds.
+    """
+    rest = [c for c in left.columns if c not in (*keys, ts)]
+    l = left.select(*keys, ts, F.struct(*[F.col(c) for c in rest]).alias("_left"), F.lit(False).alias("_match"))
+    r = right.select(*keys, ts, F.lit(None).cast(l.schema["_left"].dataType).alias("_left"), F.lit(True).alias("_match"))
+    both = l.unionByName(r).withColumn("_us", F.unix_micros(ts)).withColumn("_sec", F.floor(F.col("_us") / F.lit(1_000_000)))
+    # Whole-second blocks: one more second of history covers the fraction.
+    both = time_blocks(both, "_sec", max(3600, seconds + 1), seconds + 1)
+    w = Window.partitionBy(*keys, "_block").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
+    out = both.select(
+        *keys, ts, "_left", "_match", "_halo",
+        F.count_if("_match").over(w).alias(count), F.max(F.when(F.col("_match"), F.col(ts))).over(w).alias(latest),
+    )
+    out = out.where(~F.col("_match") & ~F.col("_halo"))
+    return out.select(*keys, ts, *[F.col(f"_left.{c}").alias(c) for c in rest], count, latest)

@@ -117,11 +117,12 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row per group with one column per entry of ``probs`` (name -> 0..1).
 
-    Groups without any non-null value have no row.
+    Groups without any non-null value have no row.  ``hot_rows=0`` treats every
+    group as hot, for a handful of groups that each span the whole table.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if not keys:
-        return _select_by_refinement(rows, [], probs)
+    if not keys or hot_rows == 0:
+        return _select_by_refinement(rows, list(keys), probs)
     cold, hot = split_hot(rows, keys, hot_rows)
     arr = F.percentile("_v", F.array(*[F.lit(float(q)) for q in probs.values()]))
     small = cold.groupBy(*keys).agg(arr.alias("_p"))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import auth_failure, status_in_class
 from tidewatch.operators import features as ops
+from tidewatch.operators.joins import latest_before
 from tidewatch.plans.views import COMMON_EVENTS_SQL, common_events, rounded, table
 from tidewatch.schema import LOG_FEATURES
+from tidewatch.session import settle
 
 HOUR = "1 hour"
 DAY = "1 day"
@@ -146,9 +148,7 @@ def k09_feature_records(spark, sf):
 
 
 def j04_previous_window_p50(spark, sf):
-    from tidewatch.operators.joins import latest_before
-
-    stats = ops.metric_window_stats(samples(spark, sf), window=HOUR).select("host", "metric", "window_start", "value_p50")
+    stats = settle(ops.metric_window_stats(samples(spark, sf), window=HOUR).select("host", "metric", "window_start", "value_p50"))
     # Previous present window of the series, found as an as-of join on the window start.
     left = stats.select("host", "metric", F.col("window_start").alias("ts"), "value_p50")
     right = stats.select("host", "metric", F.col("window_start").alias("ts"), F.col("value_p50").alias("previous_p50"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import features, rules
+from tidewatch.plans import alerts, drift, features, ingest, rules
 
-_FAMILIES = (features, rules)
+_FAMILIES = (features, rules, drift, alerts, ingest)
 
 
 def queries():

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "tidewatch", cores: int | None = None) -> SparkSession:
@@ -32,7 +33,8 @@ def build_session(app_name: str = "tidewatch", cores: int | None = None) -> Spar
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin UTC: window starts, epochs and date parts are defined in UTC."""
+    """Pin UTC for windows, epochs and date parts; repeated keys of a record: the last one wins."""
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
@@ -45,3 +47,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewatch-ckpt-"))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a small derived table once, on reliable storage, before it is used several times."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
