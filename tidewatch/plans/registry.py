@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import alerts, drift, features, ingest, rules
+from tidewatch.plans import alerts, drift, features, ingest, models, rules, streams
 
-_FAMILIES = (features, rules, drift, alerts, ingest)
+_FAMILIES = (features, rules, drift, alerts, ingest, models, streams)
 
 
 def queries():
