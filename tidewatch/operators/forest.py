@@ -110,7 +110,9 @@ def _fit(df: DataFrame, key: str, layout: Layout, trees: int, samples: int, seed
         nodes = _grow(layout.matrix(pdf), np.random.default_rng([seed, tree]), limit, by_range, boxes=by_range)
         return pd.DataFrame([(tree, *n) for n in nodes], columns=["tree", "node", "left", "right", "dim", "cut", "mass", "depth", "lo", "hi"])
 
-    return picked.groupBy("tree").applyInPandas(run, NODES)
+    # Growing is heavy for its few bytes, so the number of tasks follows the trees, not the data size.
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    return picked.repartition(tasks, "tree").groupBy("tree").applyInPandas(run, NODES)
 
 
 def fit_isolation_forest(df: DataFrame, key: str, layout: Layout, trees: int = ISOLATION_TREES,
@@ -195,7 +197,7 @@ def _cut_scores(x: np.ndarray, trees) -> np.ndarray:
     return total / len(trees)
 
 
-def _score(df: DataFrame, key: str, layout: Layout, model: DataFrame, how: Callable) -> DataFrame:
+def _score(df: DataFrame, key: str, layout: Layout, model: DataFrame, how: Callable, tasks: int | None) -> DataFrame:
     nodes = df.sparkSession.sparkContext.broadcast(model.toPandas())  # bounded by the forest parameters
     kind = df.schema[key].dataType.simpleString()
 
@@ -206,17 +208,20 @@ def _score(df: DataFrame, key: str, layout: Layout, model: DataFrame, how: Calla
                 part = pdf.iloc[start:start + _CHUNK]
                 yield pd.DataFrame({key: part[key].to_numpy(), "score": how(layout.matrix(part), trees)})
 
-    return df.select(key, *layout.columns).mapInPandas(run, f"`{key}` {kind}, score double")
+    rows = df.select(key, *layout.columns)
+    # A small table may sit in one partition although every row costs many tree walks.
+    rows = rows if tasks is None else rows.repartition(tasks)
+    return rows.mapInPandas(run, f"`{key}` {kind}, score double")
 
 
-def isolation_scores(df: DataFrame, key: str, layout: Layout, model: DataFrame) -> DataFrame:
+def isolation_scores(df: DataFrame, key: str, layout: Layout, model: DataFrame, tasks: int | None = None) -> DataFrame:
     """(key, score) in 0..1, higher is more anomalous."""
-    return _score(df, key, layout, model, _isolation_scores)
+    return _score(df, key, layout, model, _isolation_scores, tasks)
 
 
-def cut_scores(df: DataFrame, key: str, layout: Layout, model: DataFrame) -> DataFrame:
+def cut_scores(df: DataFrame, key: str, layout: Layout, model: DataFrame, tasks: int | None = None) -> DataFrame:
     """(key, score), about one for ordinary points, beyond three for strong anomalies."""
-    return _score(df, key, layout, model, _cut_scores)
+    return _score(df, key, layout, model, _cut_scores, tasks)
 
 
 def serving_flags(scored: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Gram lengths and vocabulary size.
@@ -17,12 +17,14 @@ def gram_counts(docs: DataFrame, doc_id: str = "id", text: str = "message", lo:
     words = docs.select(F.col(doc_id).alias("id"), F.explode(F.split(F.lower(text), r"\s+")).alias("w")).where(F.col("w") != "")
     words = words.groupBy("id", "w").agg(F.count(F.lit(1)).alias("c"))
     words = words.select("id", "c", F.concat(F.lit(" "), "w", F.lit(" ")).alias("p")).withColumn("len", F.length("p"))
-    parts = []
-    for n in range(lo, hi + 1):
+
+    def cut(n: int) -> Column:
         # A word shorter than the smallest length still counts once, whole.
         starts = F.sequence(F.lit(1), F.greatest(F.col("len") - n + 1, F.lit(1)))
-        grams = F.transform(starts, lambda i, n=n: F.col("p").substr(i, F.lit(n)))
-        parts.append(grams if n == lo else F.when(F.col("len") >= n, grams).otherwise(F.array().cast("array<string>")))
+        grams = F.transform(starts, lambda i: F.col("p").substr(i, F.lit(n)))
+        return grams if n == lo else F.when(F.col("len") >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    parts = [cut(n) for n in range(lo, hi + 1)]
     grams = words.select("id", "c", F.explode(F.concat(*parts)).alias("gram"))
     return grams.groupBy("id", "gram").agg(F.sum("c").alias("tf"))
 

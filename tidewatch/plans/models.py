@@ -81,7 +81,7 @@ def m09_trace_encoding(spark, sf):
 
 
 def m10_trace_errors(spark, sf):
-    e = settle(_encoded(spark, sf))
+    e = settle(_encoded(spark, sf).repartition(_tasks(spark)))
     mean, components = traces.fit_autoencoder(e, 4)
     return rounded(traces.flag_above_percentile(traces.reconstruction_error(e, mean, components)))
 
@@ -131,6 +131,11 @@ def _metric_vectors(spark, sf):
 LOGS, METRICS = forest.dense(LOG_FEATURES), forest.dense(METRIC_FEATURES)
 
 
+def _tasks(spark):
+    """Scoring tasks for the small feature tables of the test data."""
+    return spark.sparkContext.defaultParallelism
+
+
 def m02_isolation_fit(spark, sf):
     model = forest.fit_isolation_forest(_log_vectors(spark, sf), "key", LOGS)
     return model.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("deepest"), F.max("mass").alias("sample"))
@@ -138,7 +143,7 @@ def m02_isolation_fit(spark, sf):
 
 def m03_isolation_scores(spark, sf):
     x = _log_vectors(spark, sf)
-    return rounded(forest.isolation_scores(x, "key", LOGS, forest.fit_isolation_forest(x, "key", LOGS)))
+    return rounded(forest.isolation_scores(x, "key", LOGS, forest.fit_isolation_forest(x, "key", LOGS), _tasks(spark)))
 
 
 def m05_cut_fit(spark, sf):
@@ -148,7 +153,7 @@ def m05_cut_fit(spark, sf):
 
 def m06_cut_scores(spark, sf):
     x = _metric_vectors(spark, sf)
-    s = forest.cut_scores(x, "key", METRICS, forest.fit_cut_forest(x, "key", METRICS))
+    s = forest.cut_scores(x, "key", METRICS, forest.fit_cut_forest(x, "key", METRICS), _tasks(spark))
     return rounded(s.withColumn("strong", F.col("score") > forest.STRONG_CUT_SCORE))
 
 
@@ -157,7 +162,7 @@ def m08_text_forest(spark, sf):
     numbered = settle(traces.dense_ids(vocab, "gram", "idx"))
     rows = settle(textweights.sparse_rows(w, numbered))
     shape = forest.sparse(textweights.MAX_TERMS)
-    return rounded(forest.isolation_scores(rows, "id", shape, forest.fit_isolation_forest(rows, "id", shape)))
+    return rounded(forest.isolation_scores(rows, "id", shape, forest.fit_isolation_forest(rows, "id", shape), _tasks(spark)))
 
 
 def scored(spark, sf):
