@@ -77,10 +77,10 @@ def test_validation(spark):
     df = spark.createDataFrame([(1, "call 555-123-4567 or a@b.co", "x"), (2, "at 1700000000 ok", "y"), (3, "plain", None)], "id int, text string, Email string")
     hits = {(r.row, r.field, r.reason) for r in V.pii_hits(df, "id").collect()}
     assert hits == {(i, "Email", V.NAME_REASON) for i in (1, 2, 3)} | {(i, "text", V.VALUE_REASON) for i in (1, 2)}
-    r = V.validation_report(df, "id", 3).first()
+    r = V.validation_report(df, 3).first()
     assert (r.row_count, r.pii_violation_count, r.passed) == (3, 5, False)
-    assert V.validation_report(df.select("id", F.lit("ok").alias("t")), "id", 4).first().passed is False
-    assert V.validation_report(df.select("id", F.lit("ok").alias("t")), "id", 3).first().passed is True
+    assert V.validation_report(df.select("id", F.lit("ok").alias("t")), 4).first().passed is False
+    assert V.validation_report(df.select("id", F.lit("ok").alias("t")), 3).first().passed is True
 
 
 def loop_grams(text, lo=2, hi=4):

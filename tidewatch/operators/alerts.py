@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.skew import BLOCK_ROWS, row_blocks, time_blocks
+from tidewatch.operators.skew import BLOCK_ROWS, row_blocks, time_blocks, trailing_sums
 from tidewatch.schema import ALERT_LABELS
 
 # Size of the recent set, of a similar list, of a listing and of a notification.
@@ -143,8 +143,7 @@ def over_rate_limit(events: DataFrame, key: str, limit: int, seconds: int) -> Da
     """
     per = events.where(F.col(key).isNotNull()).groupBy(key, F.unix_seconds("ts").alias("second")).agg(F.count(F.lit(1)).alias("requests"))
     per = time_blocks(per, "second", max(3600, seconds), seconds)
-    w = Window.partitionBy(key, "_block").orderBy("second").rangeBetween(-seconds, 0)
-    out = per.withColumn("trailing", F.sum("requests").over(w))
+    out = per.withColumns(trailing_sums([key, "_block"], "second", seconds, {"trailing": "requests"}))
     return out.where(~F.col("_halo") & (F.col("trailing") > limit)).select(key, "second", "requests", "trailing")
 
 

@@ -140,3 +140,14 @@ def feature_records(features: DataFrame) -> DataFrame:
     key = F.concat_ws("|", "source", "host", F.date_format("window_start", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     rest = [c for c in features.columns if c not in LOG_KEYS]
     return features.select(key.alias("feature_key"), F.col("window_start").alias("feature_timestamp"), *rest)
+
+
+def distinct_addresses(events: DataFrame, window: str = "1 minute", key: str = "edge:all:distinct_src_ips") -> DataFrame:
+    """Distinct source addresses per window as samples for the count rule.
+
+    Addresses are deduplicated per window first; the count is then combinable,
+    so a flood in one minute is spread over its addresses.
+    """
+    e = with_window(events, window).where(F.coalesce("src_ip", F.lit("")) != "").select("window_start", "src_ip")
+    n = e.distinct().groupBy(F.col("window_start").alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return n.select(F.lit(key).alias("metric_key"), "value", "ts", F.unix_seconds("ts").alias("event_id"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.skew import time_blocks
+from tidewatch.operators.skew import time_blocks, trailing_sums
 
 
 def latest_before(
@@ -72,10 +72,14 @@ def trailing_matches(
     both = l.unionByName(r).withColumn("_us", F.unix_micros(ts)).withColumn("_sec", F.floor(F.col("_us") / F.lit(1_000_000)))
     # Whole-second blocks: one more second of history covers the fraction.
     both = time_blocks(both, "_sec", max(3600, seconds + 1), seconds + 1)
-    w = Window.partitionBy(*keys, "_block").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
+    both = both.withColumn("_one", F.col("_match").cast("int"))
+    span = seconds * 1_000_000
+    seen = Window.partitionBy(*keys, "_block").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    sums = trailing_sums([*keys, "_block"], "_us", span, {count: "_one"})
     out = both.select(
-        *keys, ts, "_left", "_match", "_halo",
-        F.count_if("_match").over(w).alias(count), F.max(F.when(F.col("_match"), F.col(ts))).over(w).alias(latest),
+        *keys, ts, "_left", "_match", "_halo", "_us", sums[count].alias(count),
+        F.max(F.when(F.col("_match"), F.col(ts))).over(seen).alias("_seen"),
     )
     out = out.where(~F.col("_match") & ~F.col("_halo"))
-    return out.select(*keys, ts, *[F.col(f"_left.{c}").alias(c) for c in rest], count, latest)
+    recent = F.when(F.unix_micros("_seen") >= F.col("_us") - span, F.col("_seen"))
+    return out.select(*keys, ts, *[F.col(f"_left.{c}").alias(c) for c in rest], count, recent.alias(latest))

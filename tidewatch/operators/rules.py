@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import ClassVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +25,7 @@ from tidewatch.operators.skew import BLOCK_ROWS, row_blocks
 
 @dataclass(frozen=True)
 class Rule:
-    """Extension point: subclass and give a column form, a fold form, or both.
+    """Extension point: subclass and give the column form (``frames``, ``decide``) or a ``fold``.
 
     ``key_filter`` is a regular expression on metric_key; None applies the rule
     to every key.  ``update`` is the per-sample form used on streams: it takes
@@ -34,14 +35,24 @@ class Rule:
 
     name: str
     key_filter: str | None = None
+    # Fold rules see each ordered block as a pandas series instead of columns.
+    folds: ClassVar[bool] = False
 
     @property
     def halo(self) -> int:
         return 0
 
-    def columns(self, w: WindowSpec) -> tuple[Column, Column, Column] | None:
-        """(fires, baseline, score) over rows ordered in ``w``; None if only a fold exists."""
-        return None
+    def frames(self, w: WindowSpec) -> dict[str, Column]:
+        """Window columns over rows ordered in ``w``; each is computed once."""
+        return {}
+
+    def decide(self, value: Column, frame: dict[str, Column]) -> tuple[Column, Column, Column]:
+        """(fires, baseline, score) from the value and the columns of ``frames``."""
+        raise NotImplementedError
+
+    def fold(self, values: pd.Series) -> pd.DataFrame:
+        """(baseline, score) per sample of one ordered block; null where the rule is silent."""
+        raise NotImplementedError
 
     def explain(self, value: Column, baseline: Column, score: Column) -> Column:
         return F.format_string("value %.3f, baseline %.3f, score %.2f", value, baseline, score)
@@ -66,13 +77,14 @@ class ZScore(Rule):
     def min_samples(self) -> int:
         return max(10, self.window // 6)
 
-    def columns(self, w):
+    def frames(self, w):
         frame = w.rowsBetween(-(self.window - 1), 0)
-        v = F.col("value")
-        mean, std = F.avg(v).over(frame), F.stddev_samp(v).over(frame)
-        ready = (F.count(v).over(frame) >= self.min_samples) & (std > 0)
-        z = F.abs(v - mean) / F.when(ready, std)
-        return F.coalesce(z >= self.threshold, F.lit(False)), mean, z / self.threshold
+        return {"mean": F.avg("value").over(frame), "std": F.stddev_samp("value").over(frame), "n": F.count("value").over(frame)}
+
+    def decide(self, value, frame):
+        ready = (frame["n"] >= self.min_samples) & (frame["std"] > 0)
+        z = F.abs(value - frame["mean"]) / F.when(ready, frame["std"])
+        return F.coalesce(z >= self.threshold, F.lit(False)), frame["mean"], z / self.threshold
 
     def explain(self, value, baseline, score):
         return F.format_string(f"|z|=%.2f (mean=%.3f, threshold={self.threshold})", score * self.threshold, baseline)
@@ -94,6 +106,7 @@ class ZScore(Rule):
 class Ewma(Rule):
     """Exponentially weighted mean and variance; scored before the sample is absorbed."""
 
+    folds: ClassVar[bool] = True
     alpha: float = 0.3
     k_sigma: float = 3.0
     warmup: int = 20
@@ -118,8 +131,7 @@ class Ewma(Rule):
     def explain(self, value, baseline, score):
         return F.format_string(f"deviation %.3f beyond {self.k_sigma} sigma", F.abs(value - baseline))
 
-    def fold(self, values: pd.Series) -> pd.DataFrame:
-        """(baseline, score) per sample of one ordered block; null where it does not fire."""
+    def fold(self, values):
         state: dict = {}
         hits = [self.update(state, v) for v in values.tolist()]
         return pd.DataFrame(
@@ -136,9 +148,12 @@ class RateOfChange(Rule):
     def halo(self) -> int:
         return 1
 
-    def columns(self, w):
-        v, prev = F.col("value"), F.lag("value").over(w)
-        pct = (v - prev) / F.abs(F.nullif(prev, F.lit(0.0))) * 100
+    def frames(self, w):
+        return {"prev": F.lag("value").over(w)}
+
+    def decide(self, value, frame):
+        prev = frame["prev"]
+        pct = (value - prev) / F.abs(F.nullif(prev, F.lit(0.0))) * 100
         return F.coalesce(pct >= self.threshold_pct, F.lit(False)), prev, pct / self.threshold_pct
 
     def explain(self, value, baseline, score):
@@ -159,10 +174,10 @@ class StaticThreshold(Rule):
     threshold: float = 0.05
     direction: str = ">"
 
-    def columns(self, w):
-        v, t = F.col("value"), F.lit(float(self.threshold))
-        fires = v > t if self.direction == ">" else v < t
-        return fires, t, F.abs(v - t) / max(abs(self.threshold), 1e-9)
+    def decide(self, value, frame):
+        t = F.lit(float(self.threshold))
+        fires = value > t if self.direction == ">" else value < t
+        return fires, t, F.abs(value - t) / max(abs(self.threshold), 1e-9)
 
     def explain(self, value, baseline, score):
         return F.format_string(f"%.3f {self.direction} threshold %.3f", value, baseline)
@@ -178,9 +193,9 @@ class StaticThreshold(Rule):
 class DistinctCount(Rule):
     threshold: int = 10_000
 
-    def columns(self, w):
+    def decide(self, value, frame):
         t = F.lit(float(self.threshold))
-        return F.col("value") > t, t, F.col("value") / t
+        return value > t, t, value / t
 
     def explain(self, value, baseline, score):
         return F.format_string("distinct count %.0f > %.0f", value, baseline)
@@ -239,16 +254,18 @@ def apply_rules(samples: DataFrame, rules: Sequence[Rule] | None = None, block_r
     w = Window.partitionBy("metric_key", "_block").orderBy("ts", "event_id")
 
     # Baseline and score per rule as plain doubles, null where the rule is silent.
-    scored, folds = ["*"], []
+    folds = [(i, r) for i, r in enumerate(rules) if r.folds]
+    named = {(i, n): c for i, r in enumerate(rules) for n, c in r.frames(w).items()}
+    blocks = blocks.select("*", *[c.alias(f"_w{i}_{n}") for (i, n), c in named.items()])
+    scored = []
     for i, r in enumerate(rules):
-        cols = r.columns(w)
-        if cols is None:
-            folds.append((i, r))
+        if r.folds:
             continue
-        fires, baseline, score = cols
+        frame = {n: F.col(f"_w{i}_{n}") for (j, n) in named if j == i}
+        fires, baseline, score = r.decide(F.col("value"), frame)
         scored.append(F.when(fires, baseline).cast("double").alias(f"_b{i}"))
         scored.append(F.when(fires, score).cast("double").alias(f"_s{i}"))
-    blocks = blocks.select(*scored)
+    blocks = blocks.select(*base.columns, "_block", "_halo", *scored)
     if folds:
         blocks = _fold_columns(blocks, folds)
 

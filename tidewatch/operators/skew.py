@@ -101,3 +101,15 @@ def time_blocks(df: DataFrame, seconds: str | Column, block_seconds: int, halo_s
     copies = F.when(near_end, F.array(own, tail)).otherwise(F.array(own))
     out = df.select("*", F.explode(copies).alias("_b"))
     return out.select(*df.columns, "_b._block", "_b._halo")
+
+
+def trailing_sums(keys: Sequence[str], order: str, span: int, columns: dict[str, str]) -> dict[str, Column]:
+    """Sums of whole numbers over rows with ``order`` in [current - span, current].
+
+    The difference of two frames that start at the first row: each row enters
+    each frame once, where a sliding frame would add it up again for every row.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    upto = w.rangeBetween(Window.unboundedPreceding, 0)
+    before = w.rangeBetween(Window.unboundedPreceding, -span - 1)
+    return {name: F.sum(c).over(upto) - F.coalesce(F.sum(c).over(before), F.lit(0)) for name, c in columns.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.quantiles import exact_percentiles
+from tidewatch.operators.skew import trailing_sums
 
 # Availability target, budget period and (seconds, share of budget, action) per horizon.
 AVAILABILITY = 0.995
@@ -29,17 +30,18 @@ def service_levels(requests: DataFrame) -> DataFrame:
 def error_budget_burn(requests: DataFrame, horizons=BURN_HORIZONS, availability: float = AVAILABILITY) -> DataFrame:
     """Share of the 30-day budget burned in each trailing horizon, per service and minute.
 
-    Counts per minute come first; the range frames then see at most one row
-    per minute and service.
+    Counts per minute come first; the frames then see at most one row per
+    minute and service, and trailing sums are differences of running sums.
     """
     minute = (F.floor(F.unix_seconds("ts") / 60) * 60).alias("second")
     per = requests.groupBy("service", minute).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") >= 500).alias("bad"))
     cells = []
     for seconds, share, action in horizons:
-        w = Window.partitionBy("service").orderBy("second").rangeBetween(-(seconds - 60), 0)
-        burned = F.sum("bad").over(w) / F.sum("n").over(w) / (1 - availability) * (seconds / BUDGET_SECONDS)
-        cells.append((seconds, share, action, burned))
-    wide = per.select("service", "second", *[b.alias(f"b{s}") for s, _, _, b in cells])
+        sums = trailing_sums(["service"], "second", seconds - 60, {f"bad{seconds}": "bad", f"n{seconds}": "n"})
+        cells.append((seconds, share, action, sums))
+    wide = per.select("service", "second", *[c.alias(k) for _, _, _, sums in cells for k, c in sums.items()])
+    wide = wide.select("service", "second", *[
+        (F.col(f"bad{s}") / F.col(f"n{s}") / (1 - availability) * (s / BUDGET_SECONDS)).alias(f"b{s}") for s, _, _, _ in cells])
     rows = F.inline(F.array(*[
         F.struct(F.lit(s).alias("horizon_seconds"), F.col(f"b{s}").alias("burned"), F.lit(a).alias("action"),
                  (F.col(f"b{s}") >= share).alias("breach")) for s, share, a, _ in cells]))

@@ -183,7 +183,7 @@ def s09_current_or_empty(spark, sf):
 
 QUERIES = {
     "a15_row_count_gate": lambda spark, sf: _docs(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) >= 100).alias("passed")),
-    "a16_validation_report": lambda spark, sf: V.validation_report(_docs(spark, sf), "doc_id"),
+    "a16_validation_report": lambda spark, sf: V.validation_report(_docs(spark, sf)),
     "a16_first_violations": lambda spark, sf: V.first_violations(_docs(spark, sf), "doc_id"),
     "a17_baseline_stats": a17_baseline_stats,
     "a18_histogram": a18_histogram,

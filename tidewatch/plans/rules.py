@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import rules as R
+from tidewatch.operators.features import distinct_addresses
 from tidewatch.operators.skew import row_blocks
 from tidewatch.plans.views import COMMON_EVENTS_SQL, common_events, rounded, table
 
@@ -94,17 +95,9 @@ def w03_previous_value(spark, sf):
     return rounded(out.where(~F.col("_halo")).drop("_halo"))
 
 
-def minute_distinct_ips(events):
-    """Distinct source addresses per minute: deduplicate first, then a combinable count."""
-    e = events.where(F.coalesce("src_ip", F.lit("")) != "").select(F.window("ts", "1 minute")["start"].alias("ts"), "src_ip")
-    n = e.distinct().groupBy("ts").agg(F.count(F.lit(1)).alias("value"))
-    return n.select(F.lit("edge:all:distinct_src_ips").alias("metric_key"), F.col("value").cast("double").alias("value"),
-                    "ts", F.unix_seconds("ts").alias("event_id"))
-
-
 def a32_distinct_ips_per_minute(spark, sf):
     """The threshold of ten thousand is lowered to one, which the test data can reach."""
-    out = R.apply_rules(minute_distinct_ips(common_events(spark, sf)), [R.DistinctCount("ddos-distinct-ips", threshold=1)])
+    out = R.apply_rules(distinct_addresses(common_events(spark, sf)), [R.DistinctCount("ddos-distinct-ips", threshold=1)])
     return rounded(out.select("detector", "ts", "value", "baseline", "score"))
 
 
@@ -165,16 +158,20 @@ class Doubled(R.Rule):
     def halo(self):
         return 3
 
-    def columns(self, w):
-        mean = F.avg("value").over(w.rowsBetween(-3, -1))
-        ratio = F.col("value") / F.nullif(2 * mean, F.lit(0.0))
-        return F.coalesce(ratio >= 1, F.lit(False)), mean, ratio
+    def frames(self, w):
+        return {"mean": F.avg("value").over(w.rowsBetween(-3, -1))}
+
+    def decide(self, value, frame):
+        ratio = value / F.nullif(2 * frame["mean"], F.lit(0.0))
+        return F.coalesce(ratio >= 1, F.lit(False)), frame["mean"], ratio
 
 
 @dataclass(frozen=True)
 class LongestRise(R.Rule):
     """A user-written fold: fires on the third rise in a row."""
 
+    folds = True
+
     @property
     def halo(self):
         return 1_000

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import rules as R
 from tidewatch.plans.ingest import BASE_SQL, raw_lines
-from tidewatch.plans.rules import ALL_RULES_SQL
+from tidewatch.plans.rules import ALL_RULES_SQL, SAMPLES_SQL
 from tidewatch.plans.views import COMMON_EVENTS_SQL, common_events, rounded
 from tidewatch.session import scratch_path
 from tidewatch.sources import readers
 from tidewatch.streaming import jobs
+from tidewatch.streaming.rules_stream import stream_rules
 
 # Bounds of the three deliveries the event table is staged in.
 CUTS = ("2024-01-01", "2024-01-11", "2024-01-21", "2100-01-01")
@@ -40,6 +41,24 @@ def d08_score_stream(spark, sf):
                             F.col("baseline").cast("double").alias("baseline"), F.col("score").cast("double").alias("score")))
 
 
+def d12_late_rows(spark, sf):
+    """The newest delivery first: the oldest one lies behind the watermark and stays out.
+
+    Late rows are judged by the watermark of the batch before, so the middle
+    delivery still passes.
+    """
+    e = R.samples_from_events(common_events(spark, sf))
+    path = scratch_path(spark, "late")
+    for i, (a, b) in enumerate(list(zip(CUTS, CUTS[1:]))[::-1]):
+        part = e.where((F.col("ts") >= F.lit(a).cast("timestamp")) & (F.col("ts") < F.lit(b).cast("timestamp")))
+        part.repartition(4).write.parquet(f"{path}/delivery={i}")
+    out = scratch_path(spark, "late-out")
+    found = stream_rules(_stream(spark, e, path, 4), [R.StaticThreshold("error-rate-static")])
+    q = found.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint")
+    q.trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("event_id", "detector")
+
+
 def d10_window_stream(spark, sf):
     e = common_events(spark, sf)
     path = staged(spark, e, "windows", 4)
@@ -67,12 +86,13 @@ def d13_ingest_stream(spark, sf):
     return good.unionByName(bad)
 
 
-QUERIES = {"d08_score_stream": d08_score_stream, "d10_window_stream": d10_window_stream, "d13_ingest_stream": d13_ingest_stream}
+QUERIES = {"d08_score_stream": d08_score_stream, "d10_window_stream": d10_window_stream, "d12_late_rows": d12_late_rows, "d13_ingest_stream": d13_ingest_stream}
 
 ORACLES = {
     "d08_score_stream": f"WITH RECURSIVE {ALL_RULES_SQL} SELECT event_id, detector, metric_key, round(value, 6) AS value, round(baseline, 6) AS baseline, round(score, 6) AS score FROM anomalies",
     "d10_window_stream": f"""WITH {COMMON_EVENTS_SQL} SELECT source, time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS n, count(*) FILTER (status >= 500) AS errors
       FROM common_events GROUP BY ALL HAVING time_bucket(INTERVAL '1 hour', any_value(ts)) + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM common_events)""",
+    "d12_late_rows": f"WITH {SAMPLES_SQL} SELECT event_id, 'error-rate-static' AS detector FROM samples WHERE ts >= TIMESTAMP '2024-01-11' AND value > 0.05",
     "d13_ingest_stream": f"""WITH {BASE_SQL}, r AS (SELECT CASE WHEN event_id % 10 = 7 THEN 'no_match' ELSE 'event' END AS outcome,
         CASE WHEN event_id % 10 <> 7 THEN CASE WHEN status >= 500 THEN 'ERROR' WHEN status >= 400 THEN 'WARN' END END AS severity, event_id, k FROM e)
       SELECT outcome, severity, count(*) AS n FROM r WHERE outcome = 'no_match' OR k % 5 <> 4 GROUP BY ALL""",

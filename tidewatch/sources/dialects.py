@@ -97,7 +97,7 @@ def _any(*conds: Column) -> Column:
 
 def _alb(df: DataFrame) -> DataFrame:
     token = F.regexp_extract_all(F.trim(_line()), F.lit(r'"([^"]*)"|(\S+)'), F.lit(0))
-    df = df.withColumn("_t", F.transform(token, lambda t: F.regexp_replace(t, r'^"|"$', "")))
+    df = df.withColumn("_t", F.transform(token, lambda t: F.btrim(t, F.lit('"'))))
     df = df.withColumn("_p", F.when(F.size("_t") >= 14, F.col("_t")))
     p = [F.get("_p", F.lit(i)) for i in range(14)]
     times = [_number(p[i], "double", ("-", "-1")) for i in (5, 6, 7)]
@@ -107,7 +107,7 @@ def _alb(df: DataFrame) -> DataFrame:
     words = F.split(p[12], " ", 3)
     method = words[0]
     path = F.when(F.size(words) == 3, F.get(words, F.lit(1))).otherwise("")
-    unbalanced = F.length(F.regexp_replace(_line(), r'[^"]', "")) % 2 == 1
+    unbalanced = (F.length(_line()) - F.length(F.replace(_line(), F.lit('"'), F.lit("")))) % 2 == 1
     zero = F.lit(0.0)
     latency = F.coalesce(times[0], zero) * 1000 + times[1] * 1000 + F.coalesce(times[2], zero) * 1000
     return df.select(
