@@ -199,7 +199,7 @@ def i15_merge_log_body(spark, sf):
 
 def i16_pseudonyms(spark, sf):
     e = common_events(spark, sf).withColumn("source", F.when(F.col("source") == "alb", "waf").otherwise(F.col("source")))
-    return pseudonymise(e, b"rotate-me").select("event_id", "source", "user", "src_ip")
+    return pseudonymise(e, SECRET).select("event_id", "source", "user", "src_ip")
 
 
 def i17_redaction(spark, sf):
@@ -340,7 +340,13 @@ QUERIES.update({
     "k09_feature_store": k09_feature_store,
 })
 
-_BAD = "CASE WHEN event_id % 10 = 7 THEN 1 ELSE 0 END"
+SECRET = b"rotate-me"
+
+
+def _hmac_sql(column):
+    """The keyed hash written out in SQL: both padded keys as constants."""
+    inner, outer = (bytes(b ^ pad for b in SECRET.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({column}))))"
 
 
 def _features_sql():
@@ -360,6 +366,8 @@ from tidewatch.plans.drift import STATS_SQL  # noqa: E402
 ORACLES.update({
     "i00_envelope": "SELECT doc_id, 'app' AS source, '' AS host, CAST(length(substr(text, 1, 4000)) AS INT) AS n_chars, md5(substr(text, 1, 4000)) AS digest FROM documents",
     "i15_merge_log_body": f"WITH {BASE_SQL} SELECT event_id, CASE WHEN k % 3 = 0 THEN 'stdout' ELSE 'app' END AS stream, CASE WHEN k % 3 <> 0 THEN event_type END AS level, CASE WHEN k % 3 <> 0 THEN CAST(k AS VARCHAR) END AS k, CASE WHEN k % 3 = 0 THEN event_type END AS log FROM e",
+    "i16_pseudonyms": f"""WITH {COMMON_EVENTS_SQL}, x AS (SELECT event_id, CASE WHEN source = 'alb' THEN 'waf' ELSE source END AS source, "user", src_ip FROM common_events)
+      SELECT event_id, source, {_hmac_sql('"user"')} AS "user", CASE WHEN source = 'waf' THEN src_ip ELSE {_hmac_sql('src_ip')} END AS src_ip FROM x""",
     "i17_redaction": "SELECT event_id, CAST(1 AS INT) AS n, 'Accept=' || event_type AS headers FROM events",
     "u01_all_sources": f"""WITH {BASE_SQL}, s AS (SELECT unnest(['cloudfront', 'alb', 'waf', 'app', 'eks', 'nginx', 'kafka', 'mysql', 'mongodb', 'redis', 'node-metrics', 'container-metrics', 'prometheus', 'otel-traces']) AS source),
       x AS (SELECT source, event_id, CASE
