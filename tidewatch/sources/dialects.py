@@ -361,7 +361,10 @@ def normalize(raw: DataFrame, source: str) -> DataFrame:
         else:
             c = F.lit(None)
         cols.append(c.cast(f.dataType).alias(f.name))
-    return parsed.select(*cols, reason.alias("reason"), "value")
+    out = parsed.select(*cols, reason.alias("reason"), "value")
+    # One-element inline: a filter on the result is not pushed below the parser,
+    # where it would repeat the parsing expressions for every reference.
+    return out.select(F.inline(F.array(F.struct(*out.columns))))
 
 
 def accepted(normalized: DataFrame) -> DataFrame:
