@@ -46,10 +46,6 @@ def _partition(keys: Sequence[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
 
-def _wanted(ranks: Column, first: Column, n: Column) -> Column:
-    return F.exists(ranks, lambda r: (r >= first) & (r < first + n))
-
-
 def _join_keys(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Inner join on null-safe keys; ``right`` has a bounded number of rows per hot group."""
     right = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
@@ -59,37 +55,42 @@ def _join_keys(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFr
     return left.join(F.broadcast(right), cond).drop(*[f"_r_{c}" for c in cols])
 
 
+def _hits_rank(qs: Sequence[float]) -> Column:
+    """Does the run [_first, _first + _n) of a group of ``_total`` rows hold a wanted rank."""
+    pos = [(F.col("_total") - 1) * F.lit(float(q)) for q in qs]
+    out = F.lit(False)
+    for p in pos:
+        for f in (F.floor, F.ceil):
+            out = out | ((f(p) >= F.col("_first")) & (f(p) < F.col("_first") + F.col("_n")))
+    return out
+
+
+def _ranked(counts: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+    """Move ``_first`` to the rank of the first row of each entry within its group."""
+    run = _partition(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("_first", F.col("_first") + F.sum("_n").over(run) - F.col("_n"))
+
+
 def _select_by_refinement(rows: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Three passes over (keys, value); all need the same first counts, which Spark computes once."""
     qs = list(probs.items())
+    wanted = _hits_rank(list(probs.values()))
+    carry = [F.any_value("_first").alias("_first"), F.any_value("_total").alias("_total")]
     rows = rows.withColumn("_s", value_slice(F.col("_v")))
-    running = _partition(keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
 
     coarse = rows.groupBy(*keys, "_s").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    coarse = coarse.withColumn("_total", F.sum("_n").over(_partition(keys))).withColumn(
-        "_first", F.sum("_n").over(running) - F.col("_n")
-    )
-    pos = [(F.col("_total") - 1) * F.lit(float(q)) for _, q in qs]
-    ranks = F.array_distinct(
-        F.array(*[f(p).cast("long") for p in pos for f in (F.floor, F.ceil)])
-    )
-    coarse = coarse.withColumn("_ranks", ranks).where(_wanted(F.col("_ranks"), F.col("_first"), F.col("_n")))
-    targets = coarse.select(*keys, "_s", "_lo", "_hi", "_first", "_total", "_ranks")
-
-    near = _join_keys(rows, targets.select(*keys, "_s", "_lo", "_hi"), [*keys, "_s"])
-    near = near.withColumn("_f", fine_slice(F.col("_v"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-    in_coarse = Window.partitionBy(*keys, "_s").orderBy("_f").rowsBetween(Window.unboundedPreceding, 0)
-    fine = near.groupBy(*keys, "_s", "_f").agg(F.count(F.lit(1)).alias("_n"))
-    fine = _join_keys(fine, targets.drop("_lo", "_hi"), [*keys, "_s"])
-    fine = fine.withColumn("_first", F.col("_first") + F.sum("_n").over(in_coarse) - F.col("_n"))
-    fine = fine.where(_wanted(F.col("_ranks"), F.col("_first"), F.col("_n"))).drop("_n")
-
-    left = _join_keys(near.select(*keys, "_s", "_f", "_v"), fine.select(*keys, "_s", "_f"), [*keys, "_s", "_f"])
-    left = left.groupBy(*keys, "_s", "_f", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    left = _join_keys(left, fine, [*keys, "_s", "_f"])
-    in_fine = Window.partitionBy(*keys, "_s", "_f").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    left = left.withColumn("_first", F.col("_first") + F.sum("_n").over(in_fine) - F.col("_n"))
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.lit(0).cast("long").alias("_first")
+    ).withColumn("_total", F.sum("_n").over(_partition(keys)))
+    coarse = _ranked(coarse, keys, "_s").where(wanted).drop("_n")
+
+    near = _join_keys(rows, coarse, [*keys, "_s"])
+    near = near.withColumn("_f", fine_slice(F.col("_v"), F.col("_lo"), F.col("_hi")))
+    fine = near.groupBy(*keys, "_s", "_f").agg(F.count(F.lit(1)).alias("_n"), *carry)
+    fine = _ranked(fine, [*keys, "_s"], "_f").where(wanted).drop("_n")
+
+    left = _join_keys(near.select(*keys, "_s", "_f", "_v"), fine, [*keys, "_s", "_f"])
+    left = left.groupBy(*keys, "_s", "_f", "_v").agg(F.count(F.lit(1)).alias("_n"), *carry)
+    left = _ranked(left, [*keys, "_s", "_f"], "_v")
 
     aggs = []
     for i, (_, q) in enumerate(qs):
