@@ -178,7 +178,9 @@ def _app(df: DataFrame) -> DataFrame:
     pairs = F.map_from_arrays(F.regexp_extract_all(_line(), pattern, F.lit(1)), F.transform(F.regexp_extract_all(_line(), pattern, F.lit(2)), unquote))
     as_json = F.when(F.ltrim(_line()).startswith("{"), F.from_json(_line(), "map<string,string>"))
     df = df.withColumn("_j", as_json)
-    df = df.withColumn("m", F.when(F.size("_j") > 0, F.col("_j")).when(F.size(pairs) > 0, pairs).otherwise(F.create_map(F.lit("message"), _line())))
+    is_json = F.coalesce(F.size("_j") > 0, F.lit(False))
+    df = df.withColumn("_kv", F.when(~is_json, pairs))
+    df = df.withColumn("m", F.when(is_json, F.col("_j")).when(F.size("_kv") > 0, F.col("_kv")).otherwise(F.create_map(F.lit("message"), _line())))
     m = F.col("m")
     at = lambda k: F.try_element_at(m, F.lit(k))
     ts = _first_of(m, "ts", "timestamp", "@timestamp")
