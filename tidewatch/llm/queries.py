@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import exact_dedup, mixing, quality, sharding, url_filter
+from tidewatch.llm import bpe, exact_dedup, html_text, mixing, quality, sharding, url_filter
 from tidewatch.llm.common import table
 
 
+def vocabulary() -> tuple[str, str]:
+    """Rank file and pre-token pattern of the production tokenizer, from the installed package of public vocabularies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf, "documents"), *vocabulary())
+
+
 def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
 
@@ -16,6 +27,10 @@ def op4_label_propagation_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages"))
+
+
 def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf, "pages"), table(spark, sf, "labels")).drop("host_bound")
 
@@ -30,7 +45,7 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_exact_dedup, op4_label_propagation_shards, op6_url_filter, op8_mixing, op9_quality_rules)}
+    op1_byte_bpe, op3_exact_dedup, op4_label_propagation_shards, op5_html_text, op6_url_filter, op8_mixing, op9_quality_rules)}
 
 ORACLES = {
     "op3_exact_dedup": """
