@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, exact_dedup, html_text, mixing, quality, sharding, url_filter
+from tidewatch.llm import bpe, exact_dedup, html_text, mixing, near_dedup, quality, sharding, url_filter
 from tidewatch.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf, "documents"), *vocabulary())
 
 
+def op2_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
 
@@ -45,7 +49,7 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_byte_bpe, op3_exact_dedup, op4_label_propagation_shards, op5_html_text, op6_url_filter, op8_mixing, op9_quality_rules)}
+    op1_byte_bpe, op2_minhash, op3_exact_dedup, op4_label_propagation_shards, op5_html_text, op6_url_filter, op8_mixing, op9_quality_rules)}
 
 ORACLES = {
     "op3_exact_dedup": """
