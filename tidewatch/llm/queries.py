@@ -4,19 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, exact_dedup, html_text, mixing, near_dedup, quality, sharding, url_filter
+import corpus_pipeline
+from tidewatch.llm import bpe, exact_dedup, html_text, line_dedup, mixing, near_dedup, quality, sharding, url_filter
 from tidewatch.llm.common import table
-
-
-def vocabulary() -> tuple[str, str]:
-    """Rank file and pre-token pattern of the production tokenizer, from the installed package of public vocabularies."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+from tidewatch.llm.vocabulary import production_vocabulary
 
 
 def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf, "documents"), *vocabulary())
+    return bpe.encode_documents(table(spark, sf, "documents"), *production_vocabulary())
 
 
 def op2_minhash(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,6 +34,10 @@ def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf, "pages"), table(spark, sf, "labels")).drop("host_bound")
 
 
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,7 +48,7 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_byte_bpe, op2_minhash, op3_exact_dedup, op4_label_propagation_shards, op5_html_text, op6_url_filter, op8_mixing, op9_quality_rules)}
+    op1_byte_bpe, op2_minhash, op3_exact_dedup, op4_label_propagation_shards, op5_html_text, op6_url_filter, op7_line_dedup, op8_mixing, op9_quality_rules)}
 
 ORACLES = {
     "op3_exact_dedup": """
@@ -134,8 +133,8 @@ ORACLES = {
 
 
 def queries():
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracles():
-    return dict(ORACLES)
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
