@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import bpe, exact_dedup, html_text, line_dedup, mixing, near_dedup, quality, sharding, url_filter
+from tidewatch.llm import bpe, exact_dedup, html_text, line_dedup, mixing, near_dedup, quality, sharding, token_counts, url_filter
 from tidewatch.llm.common import table
 from tidewatch.llm.vocabulary import production_vocabulary
 
@@ -47,8 +47,14 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumn("edits", token_counts.derived_edits())
+    return token_counts.counts_under_edits(docs, *production_vocabulary())
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_byte_bpe, op2_minhash, op3_exact_dedup, op4_label_propagation_shards, op5_html_text, op6_url_filter, op7_line_dedup, op8_mixing, op9_quality_rules)}
+    op1_byte_bpe, op2_minhash, op3_exact_dedup, op4_label_propagation_shards, op5_html_text, op6_url_filter, op7_line_dedup, op8_mixing, op9_quality_rules,
+    op10_token_counts)}
 
 ORACLES = {
     "op3_exact_dedup": """
