@@ -150,10 +150,11 @@ def test_ingest_job_separates_bad_lines(spark, tmp_path):
     from tidewatch.sources.readers import stream_lines
 
     out = str(tmp_path)
-    lines = stream_lines(spark, str(src), max_chars=1000, files_per_trigger=1)
-    jobs.ingest_stream(lines, "app", f"{out}/raw", f"{out}/err", f"{out}/ck", None).awaitTermination()
+    lines = stream_lines(spark, str(src), files_per_trigger=1)
+    jobs.ingest_stream(lines, "app", f"{out}/raw", f"{out}/err", f"{out}/ck", None, max_chars=1000).awaitTermination()
     assert spark.read.parquet(f"{out}/raw").count() == 3
-    assert [(r.reason, r.value) for r in spark.read.json(f"{out}/err").collect()] == [("bad_timestamp", "junk")]
+    bad = sorted((r.reason, r.value) for r in spark.read.json(f"{out}/err").collect())
+    assert bad == [("bad_timestamp", "junk"), ("too_long", "x" * 1000)]
 
 
 def test_windowed_counts_emit_closed_windows(spark, tmp_path):

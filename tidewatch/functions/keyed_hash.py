@@ -14,7 +14,10 @@ _BLOCK, _INNER, _OUTER = 64, 0x36, 0x5C
 
 
 def hmac_sha256(text: Column, key: bytes) -> Column:
-    """Hexadecimal HMAC-SHA256 of a string column; only the two padded keys are computed outside Spark."""
+    """Hexadecimal HMAC-SHA256 of a string column; only the two padded keys are computed outside Spark.
+
+    The padded keys are literals of the plan: whoever may read plans or event logs of the job can read the key.
+    """
     key = hashlib.sha256(key).digest() if len(key) > _BLOCK else key
     key = key.ljust(_BLOCK, b"\0")
     inner, outer = (F.lit(bytearray(b ^ pad for b in key)) for pad in (_INNER, _OUTER))

@@ -14,8 +14,11 @@ RECENT, SIMILAR, PAGE, MAX_PAGE, NOTIFY = 200, 5, 100, 1000, 10
 
 
 def to_alerts(anomalies: DataFrame, created_at: Column) -> DataFrame:
-    """Anomalies as alert rows; the id depends on content only, so a replay writes the same row."""
-    content = F.concat_ws("|", "detector", "metric_key", F.unix_micros("ts").cast("string"))
+    """Anomalies as alert rows; the id depends on content only, so a replay writes the same row.
+
+    The event is part of the content: two events of one key at one instant are two alerts.
+    """
+    content = F.concat_ws("|", "detector", "metric_key", F.unix_micros("ts").cast("string"), F.col("event_id").cast("string"))
     new_id = F.concat(F.lit("al_"), F.substring(F.sha2(content, 256), 1, 16))
     return anomalies.withColumns({"id": new_id, "created_at": created_at, "label": F.lit(None).cast("string")})
 
@@ -55,7 +58,7 @@ def unknown_labels(alerts: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def explain(alerts: DataFrame) -> DataFrame:
-    """Deviation and up to five similar alerts (same key, among the newest 200) of every alert."""
+    """Deviation, explanation and up to five similar alerts (same key, among the newest 200) of every alert."""
     newest = alerts.orderBy(F.desc("created_at"), F.desc("id")).limit(RECENT).select("id", "metric_key", "created_at")
     # At most 200 rows feed this, so the arrays and the broadcast are bounded;
     # one more than needed is kept because an alert is not similar to itself.
@@ -67,6 +70,7 @@ def explain(alerts: DataFrame) -> DataFrame:
     similar = F.transform(F.slice(others, 1, SIMILAR), lambda r: r["id"])
     return out.select(
         "id", "metric_key", "value", "baseline", (F.col("value") - F.col("baseline")).alias("delta"), "score",
+        (F.col("explanation") if "explanation" in alerts.columns else F.lit(None).cast("string")).alias("explanation"),
         F.coalesce(similar, F.array().cast("array<string>")).alias("similar"),
     )
 
@@ -150,8 +154,8 @@ def over_rate_limit(events: DataFrame, key: str, limit: int, seconds: int) -> Da
 def admitted_requests(events: DataFrame, key: str, limit: int, seconds: int = 60) -> DataFrame:
     """A limiter that does not count what it rejects: (key, second, requests, admitted).
 
-    The recurrence runs over per-second counts, so one key brings at most one
-    row per second of the period.
+    The recurrence runs over per-second counts, so one key brings at most one row per second, and it starts anew behind every
+    silence longer than ``seconds``: a group is one unbroken run of requests, not the history of a key.
     """
     per = events.where(F.col(key).isNotNull()).groupBy(key, F.unix_seconds("ts").alias("second")).agg(F.count(F.lit(1)).alias("requests"))
 
@@ -168,7 +172,19 @@ def admitted_requests(events: DataFrame, key: str, limit: int, seconds: int = 60
         return pdf.assign(admitted=admitted)
 
     key_type = per.schema[key].dataType.simpleString()
-    return per.groupBy(key).applyInPandas(run, f"`{key}` {key_type}, second long, requests long, admitted long")
+    runs = unbroken_runs(per, key, "second", seconds)
+    out = runs.groupBy(key, "_run").applyInPandas(run, f"`{key}` {key_type}, second long, requests long, _run long, admitted long")
+    return out.drop("_run")
+
+
+def unbroken_runs(df: DataFrame, key: str, second: str, span: int) -> DataFrame:
+    """Add ``_run``: it grows by one behind each gap of more than ``span`` between neighbours of a key.
+
+    State that forgets after ``span`` does not pass from one run to the next.
+    """
+    w = Window.partitionBy(key).orderBy(second)
+    starts = F.coalesce(F.col(second) - F.lag(second).over(w) > span, F.lit(True)).cast("long")
+    return df.withColumn("_starts", starts).withColumn("_run", F.sum("_starts").over(w)).drop("_starts")
 
 
 def without_repeats(alerts: DataFrame, minutes: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -183,8 +199,8 @@ def without_repeats(alerts: DataFrame, minutes: int, block_rows: int = BLOCK_ROW
 def with_cooldown(alerts: DataFrame, minutes: int) -> DataFrame:
     """(metric_key, second, id) of alerts emitted when each silences its key for ``minutes``.
 
-    Time counts in whole seconds; the first alert (by id) of a second stands
-    for it, so a key folds at most one row per second of the period.
+    Time counts in whole seconds; the first alert (by id) of a second stands for it.  The first alert behind a silence longer
+    than the span is always emitted, so each unbroken run of alerts of a key is folded for itself.
     """
     first = alerts.groupBy("metric_key", F.unix_seconds("created_at").alias("second")).agg(F.min("id").alias("id"))
     quiet = minutes * 60
@@ -197,7 +213,9 @@ def with_cooldown(alerts: DataFrame, minutes: int) -> DataFrame:
             last = s if keep[-1] else last
         return pdf[keep]
 
-    return first.groupBy("metric_key").applyInPandas(run, "metric_key string, second long, id string")
+    runs = unbroken_runs(first, "metric_key", "second", quiet)
+    out = runs.groupBy("metric_key", "_run").applyInPandas(run, "metric_key string, second long, id string, _run long")
+    return out.drop("_run")
 
 
 def platform_events(alerts: DataFrame, window: str = "5 minutes", min_hosts: int = 50) -> DataFrame:

@@ -47,8 +47,9 @@ def with_bin(df: DataFrame) -> DataFrame:
     quotient may land one bin off next to an edge, so the stored edges decide.
     Steps are separate projections to keep each expression evaluated once.
     """
-    n = F.size("edges") - 1
-    lo, hi, v = F.col("edges")[0], F.element_at("edges", -1), F.col("v")
+    n = F.greatest(F.size("edges") - 1, F.lit(0))
+    # a feature without finite values has no edges, and no value falls between them
+    lo, hi, v = F.get("edges", F.lit(0)), F.try_element_at("edges", F.lit(-1)), F.col("v")
     out = df.withColumns({"_lo": lo, "_hi": hi, "_n": n})
     inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
@@ -118,8 +119,11 @@ def baseline(df: DataFrame, features: Sequence[str] | None = None, bins: int = B
 def reference_histogram(df: DataFrame, features: Sequence[str], bins: int = BINS) -> DataFrame:
     """(feature, mean, std, edges, counts): the part of a baseline that drift checks read, computed once."""
     stats = settle(summary(df, features))
-    out = stats.select("feature", "mean", "std").join(F.broadcast(histogram(df, features, stats, bins)), "feature")
-    return settle(out)
+    out = stats.select("feature", "mean", "std").join(F.broadcast(histogram(df, features, stats, bins)), "feature", "left")
+    return settle(out.withColumns({
+        "edges": F.coalesce("edges", F.array().cast("array<double>")),
+        "counts": F.coalesce("counts", F.array().cast("array<bigint>")),
+    }))
 
 
 def constraints(base: DataFrame, sigma: float = TOLERANCE_SIGMA) -> DataFrame:

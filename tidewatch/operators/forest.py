@@ -12,11 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.quantiles import exact_percentiles
-from tidewatch.session import settle
 
 # Tree counts, samples per tree, seed and score limits of the two forests.
 ISOLATION_TREES, ISOLATION_SAMPLES = 200, 256
@@ -24,8 +23,6 @@ CUT_TREES, CUT_SAMPLES = 100, 512
 SEED = 42
 STRONG_CUT_SCORE = 3.0
 BATCH_LIMIT, TOP_SHARE, SMALL_BATCH_SCORE = 100, 0.99, 0.5
-# The sampling pool holds this many times the sample of one tree.
-POOL_FACTOR = 16
 EULER_GAMMA = 0.5772156649015329
 _CHUNK = 512
 
@@ -58,19 +55,27 @@ def sparse(dims: int) -> Layout:
 
 
 def tree_samples(df: DataFrame, key: str, layout: Layout, trees: int, samples: int, seed: int) -> DataFrame:
-    """(tree, h, vector columns): about 1.5 samples per wanted row, ordered by ``h`` within a tree.
+    """(tree, h, vector columns): about 1.5 times ``samples`` rows of the whole table for every tree.
 
-    A pool of the lowest-hash rows is taken once (a bounded top-k); every tree
-    then keeps a hashed share of the pool.
+    Each row enters each tree by chance with one and the same share, drawn from hashes of its key.  The first tree a row enters
+    is drawn at once (the waiting time of such trials is geometric), so rows that enter none leave before anything is
+    multiplied; later trees are tried one by one.
     """
-    size = samples * POOL_FACTOR
-    pool = df.select(key, *layout.columns).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size)
-    pool = settle(pool)
-    n = pool.count()  # at most the pool size
-    rows = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    rows = rows.withColumn("h", F.pmod(F.xxhash64(F.col(key), "tree", F.lit(seed + 1)), F.lit(1 << 30)))
-    share = min(1.0, 1.5 * samples / max(n, 1))
-    return rows.where(F.col("h") < int(share * (1 << 30)))
+    share = min(1.0, 1.5 * samples / max(df.count(), 1))
+    unit = float(1 << 30)
+
+    def draw(*what: Column) -> Column:
+        return F.pmod(F.xxhash64(F.col(key), *what), F.lit(1 << 30))
+
+    if share < 1.0:
+        waiting = F.floor(F.log1p(-draw(F.lit(seed)) / unit) / F.log1p(F.lit(-share))).cast("int")
+        rows = df.select(key, *layout.columns, waiting.alias("_first")).where(F.col("_first") < trees)
+        later = F.when(F.col("_first") + 1 < trees, F.sequence(F.col("_first") + 1, F.lit(trees - 1)))
+        entered = F.filter(later, lambda t: draw(t, F.lit(seed + 2)) < int(share * unit))
+        rows = rows.withColumn("tree", F.explode(F.concat(F.array("_first"), F.coalesce(entered, F.array().cast("array<int>")))))
+    else:
+        rows = df.select(key, *layout.columns, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    return rows.select("tree", draw(F.col("tree"), F.lit(seed + 1)).alias("h"), key, *layout.columns)
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, limit: int, by_range: bool, boxes: bool) -> list[tuple]:

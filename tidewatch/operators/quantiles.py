@@ -128,4 +128,4 @@ def exact_percentiles(
     arr = F.percentile("_v", F.array(*[F.lit(float(q)) for q in probs.values()]))
     small = cold.groupBy(*keys).agg(arr.alias("_p"))
     small = small.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(probs)])
-    return small.unionByName(_select_by_refinement(hot, keys, probs))
+    return small if hot is None else small.unionByName(_select_by_refinement(hot, keys, probs))

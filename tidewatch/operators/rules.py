@@ -23,20 +23,31 @@ from tidewatch.functions.expressions import epoch_seconds, metric_key, metric_sa
 from tidewatch.operators.skew import BLOCK_ROWS, row_blocks
 
 
+def _size(x):
+    """Absolute value of a column or a number."""
+    return F.abs(x) if isinstance(x, Column) else abs(x)
+
+
+def _nonzero(x):
+    """The value, or nothing where it is zero, so that a quotient by it is nothing too."""
+    return F.nullif(x, F.lit(0.0)) if isinstance(x, Column) else x or None
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Extension point: subclass and give the column form (``frames``, ``decide``) or a ``fold``.
+    """Extension point: subclass and state the decision once, in ``decide``, or as a ``fold`` with an ``update``.
 
-    ``key_filter`` is a regular expression on metric_key; None applies the rule
-    to every key.  ``update`` is the per-sample form used on streams: it takes
-    the state of one key (a dict of plain values) and returns
-    ``(baseline, score, explanation)`` or None.
+    ``decide`` is written with operators that work on columns and on plain numbers alike: batches feed it the window columns of
+    ``frames``, streams feed it numbers that ``update`` keeps in the state of a key (a dict of plain values).  The text of an
+    anomaly comes from ``wording`` and ``terms`` in both forms.  ``key_filter`` is a regular expression on metric_key; None
+    applies the rule to every key.
     """
 
     name: str
     key_filter: str | None = None
     # Fold rules see each ordered block as a pandas series instead of columns.
     folds: ClassVar[bool] = False
+    wording: ClassVar[str] = "value %.3f, baseline %.3f, score %.2f"
 
     @property
     def halo(self) -> int:
@@ -46,19 +57,31 @@ class Rule:
         """Window columns over rows ordered in ``w``; each is computed once."""
         return {}
 
-    def decide(self, value: Column, frame: dict[str, Column]) -> tuple[Column, Column, Column]:
-        """(fires, baseline, score) from the value and the columns of ``frames``."""
+    def decide(self, value, frame: dict):
+        """(fires, baseline, score) from the value and what ``frames`` names."""
         raise NotImplementedError
 
     def fold(self, values: pd.Series) -> pd.DataFrame:
         """(baseline, score) per sample of one ordered block; null where the rule is silent."""
         raise NotImplementedError
 
+    def update(self, state: dict, value: float) -> tuple[float, float] | None:
+        """(baseline, score) of one sample of a stream, or None; keeps what the next samples need in ``state``."""
+        fires, baseline, score = self.decide(value, {})
+        return (baseline, score) if fires else None
+
+    def terms(self, value, baseline, score) -> tuple:
+        """What ``wording`` shows."""
+        return value, baseline, score
+
     def explain(self, value: Column, baseline: Column, score: Column) -> Column:
-        return F.format_string("value %.3f, baseline %.3f, score %.2f", value, baseline, score)
+        return F.format_string(self.wording_text(), *self.terms(value, baseline, score))
 
-    def update(self, state: dict, value: float):
-        raise NotImplementedError
+    def say(self, value: float, baseline: float, score: float) -> str:
+        return self.wording_text() % self.terms(value, baseline, score)
+
+    def wording_text(self) -> str:
+        return self.wording
 
     def applies(self) -> Column:
         return F.lit(True) if self.key_filter is None else F.col("metric_key").rlike(self.key_filter)
@@ -79,27 +102,29 @@ class ZScore(Rule):
 
     def frames(self, w):
         frame = w.rowsBetween(-(self.window - 1), 0)
-        return {"mean": F.avg("value").over(frame), "std": F.stddev_samp("value").over(frame), "n": F.count("value").over(frame)}
+        ready = F.count("value").over(frame) >= self.min_samples
+        return {"mean": F.avg("value").over(frame), "spread": F.when(ready, F.nullif(F.stddev_samp("value").over(frame), F.lit(0.0)))}
 
     def decide(self, value, frame):
-        ready = (frame["n"] >= self.min_samples) & (frame["std"] > 0)
-        z = F.abs(value - frame["mean"]) / F.when(ready, frame["std"])
-        return F.coalesce(z >= self.threshold, F.lit(False)), frame["mean"], z / self.threshold
-
-    def explain(self, value, baseline, score):
-        return F.format_string(f"|z|=%.2f (mean=%.3f, threshold={self.threshold})", score * self.threshold, baseline)
+        z = _size(value - frame["mean"]) / frame["spread"]
+        return z >= self.threshold, frame["mean"], z / self.threshold
 
     def update(self, state, value):
-        buf = [*state.get("buffer", ()), value][-self.window:]
-        state["buffer"] = buf
-        if len(buf) < self.min_samples:
+        kept = state["buffer"] = [*state.get("buffer", ()), value][-self.window:]
+        if len(kept) < self.min_samples:
             return None
-        mean = math.fsum(buf) / len(buf)
-        std = math.sqrt(math.fsum((x - mean) ** 2 for x in buf) / (len(buf) - 1))
-        if std == 0 or abs(value - mean) / std < self.threshold:
+        mean = math.fsum(kept) / len(kept)
+        spread = math.sqrt(math.fsum((x - mean) ** 2 for x in kept) / (len(kept) - 1))
+        if spread == 0:
             return None
-        z = abs(value - mean) / std
-        return mean, z / self.threshold, f"|z|={z:.2f} (mean={mean:.3f}, threshold={self.threshold})"
+        fires, baseline, score = self.decide(value, {"mean": mean, "spread": spread})
+        return (baseline, score) if fires else None
+
+    def wording_text(self):
+        return f"|z|=%.2f (mean=%.3f, threshold={self.threshold})"
+
+    def terms(self, value, baseline, score):
+        return score * self.threshold, baseline
 
 
 @dataclass(frozen=True)
@@ -126,18 +151,23 @@ class Ewma(Rule):
         deviation = abs(value - mean)
         if n < self.warmup or band == 0 or deviation <= band:
             return None
-        return mean, deviation / band, f"deviation {deviation:.3f} beyond {self.k_sigma} sigma ({band / self.k_sigma:.3f})"
-
-    def explain(self, value, baseline, score):
-        return F.format_string(f"deviation %.3f beyond {self.k_sigma} sigma", F.abs(value - baseline))
+        return mean, deviation / band
 
     def fold(self, values):
-        state: dict = {}
-        hits = [self.update(state, v) for v in values.tolist()]
-        return pd.DataFrame(
-            {"baseline": [h[0] if h else None for h in hits], "score": [h[1] if h else None for h in hits]},
-            dtype="float64", index=values.index,
-        )
+        """The recurrence for a whole block: the mean before each sample, then the weighted squares of the deviations from it."""
+        mean = values.ewm(alpha=self.alpha, adjust=False).mean().shift(1).fillna(values)
+        deviation = (values - mean).abs()
+        var = (deviation**2).ewm(alpha=self.alpha, adjust=False).mean().shift(1).fillna(0.0)
+        band = self.k_sigma * var**0.5
+        ready = pd.Series(range(1, len(values) + 1), index=values.index) >= self.warmup
+        fires = ready & (band > 0) & (deviation > band)
+        return pd.DataFrame({"baseline": mean.where(fires), "score": (deviation / band.where(band > 0)).where(fires)})
+
+    def wording_text(self):
+        return f"deviation %.3f beyond {self.k_sigma} sigma"
+
+    def terms(self, value, baseline, score):
+        return (_size(value - baseline),)
 
 
 @dataclass(frozen=True)
@@ -149,24 +179,25 @@ class RateOfChange(Rule):
         return 1
 
     def frames(self, w):
-        return {"prev": F.lag("value").over(w)}
+        return {"previous": F.lag("value").over(w)}
 
     def decide(self, value, frame):
-        prev = frame["prev"]
-        pct = (value - prev) / F.abs(F.nullif(prev, F.lit(0.0))) * 100
-        return F.coalesce(pct >= self.threshold_pct, F.lit(False)), prev, pct / self.threshold_pct
-
-    def explain(self, value, baseline, score):
-        return F.format_string("up %.0f%% from %.3f", score * self.threshold_pct, baseline)
+        previous = _nonzero(frame["previous"])
+        if previous is None:
+            return False, None, None
+        change = (value - previous) / _size(previous) * 100
+        return change >= self.threshold_pct, previous, change / self.threshold_pct
 
     def update(self, state, value):
-        prev, state["last"] = state.get("last"), value
-        if not prev:
-            return None
-        pct = (value - prev) / abs(prev) * 100
-        if pct < self.threshold_pct:
-            return None
-        return prev, pct / self.threshold_pct, f"up {pct:.0f}% from {prev:.3f}"
+        fires, baseline, score = self.decide(value, {"previous": state.get("last")})
+        state["last"] = value
+        return (baseline, score) if fires else None
+
+    def wording_text(self):
+        return "up %.0f%% from %.3f"
+
+    def terms(self, value, baseline, score):
+        return score * self.threshold_pct, baseline
 
 
 @dataclass(frozen=True)
@@ -175,18 +206,15 @@ class StaticThreshold(Rule):
     direction: str = ">"
 
     def decide(self, value, frame):
-        t = F.lit(float(self.threshold))
-        fires = value > t if self.direction == ">" else value < t
-        return fires, t, F.abs(value - t) / max(abs(self.threshold), 1e-9)
+        limit = float(self.threshold)
+        beyond = value > limit if self.direction == ">" else value < limit
+        return beyond, limit, _size(value - limit) / max(abs(limit), 1e-9)
 
-    def explain(self, value, baseline, score):
-        return F.format_string(f"%.3f {self.direction} threshold %.3f", value, baseline)
+    def wording_text(self):
+        return f"value %.3f is {'above' if self.direction == '>' else 'below'} the limit of %.3f"
 
-    def update(self, state, value):
-        t = self.threshold
-        if not (value > t if self.direction == ">" else value < t):
-            return None
-        return float(t), abs(value - t) / max(abs(t), 1e-9), f"{value:.3f} {self.direction} threshold {t:.3f}"
+    def terms(self, value, baseline, score):
+        return value, baseline
 
 
 @dataclass(frozen=True)
@@ -194,17 +222,14 @@ class DistinctCount(Rule):
     threshold: int = 10_000
 
     def decide(self, value, frame):
-        t = F.lit(float(self.threshold))
-        return value > t, t, value / t
+        limit = float(self.threshold)
+        return value > limit, limit, value / limit
 
-    def explain(self, value, baseline, score):
-        return F.format_string("distinct count %.0f > %.0f", value, baseline)
+    def wording_text(self):
+        return "%.0f different values, more than %.0f"
 
-    def update(self, state, value):
-        if value <= self.threshold:
-            return None
-        t = float(self.threshold)
-        return t, value / t, f"distinct count {value:.0f} > {t:.0f}"
+    def terms(self, value, baseline, score):
+        return value, baseline
 
 
 def default_rules() -> list[Rule]:
@@ -235,8 +260,11 @@ def _fold_columns(df: DataFrame, folds: Sequence[tuple[int, Rule]]) -> DataFrame
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
         for i, rule in folds:
-            hits = rule.fold(pdf["value"])
-            pdf[f"_b{i}"], pdf[f"_s{i}"] = hits["baseline"], hits["score"]
+            try:
+                hits = rule.fold(pdf["value"])
+                pdf[f"_b{i}"], pdf[f"_s{i}"] = hits["baseline"].astype(float), hits["score"].astype(float)
+            except Exception:  # a rule that fails on a block is silent there; the others go on, as on streams
+                pdf[f"_b{i}"], pdf[f"_s{i}"] = math.nan, math.nan
         return pdf
 
     return df.groupBy("metric_key", "_block").applyInPandas(run, schema)
@@ -263,6 +291,7 @@ def apply_rules(samples: DataFrame, rules: Sequence[Rule] | None = None, block_r
             continue
         frame = {n: F.col(f"_w{i}_{n}") for (j, n) in named if j == i}
         fires, baseline, score = r.decide(F.col("value"), frame)
+        baseline = baseline if isinstance(baseline, Column) else F.lit(baseline)
         scored.append(F.when(fires, baseline).cast("double").alias(f"_b{i}"))
         scored.append(F.when(fires, score).cast("double").alias(f"_s{i}"))
     blocks = blocks.select(*base.columns, "_block", "_halo", *scored)
@@ -271,7 +300,7 @@ def apply_rules(samples: DataFrame, rules: Sequence[Rule] | None = None, block_r
 
     found = []
     for i, r in enumerate(rules):
-        b, s = F.col(f"_b{i}"), F.col(f"_s{i}")
+        b, s = (F.nanvl(F.col(f"_{c}{i}"), F.lit(None).cast("double")) if r.folds else F.col(f"_{c}{i}") for c in "bs")
         hit = F.struct(F.lit(i + 1).alias("rule_ord"), F.lit(r.name).alias("detector"), b.alias("baseline"),
                        s.alias("score"), r.explain(F.col("value"), b, s).alias("explanation"))
         found.append(F.when(s.isNotNull() & r.applies(), hit))

@@ -14,16 +14,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import settle
+
 BLOCK_ROWS = 1_000_000
-# The hot list is broadcast, so its length is fixed.  Keys past the end of the
-# list merely stay on the unsplit path, which gives the same result.
-MAX_HOT_KEYS = 10_000
+# A hot list of up to so many keys is broadcast; a longer one is joined by its keys.
+MAX_BROADCAST_KEYS = 10_000
 
 
 def _hot_keys(df: DataFrame, keys: Sequence[str], limit_rows: int) -> DataFrame:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit_rows)
-    top = counts.orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS)
-    return top.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    return counts.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
 
 
 def _on_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> Column:
@@ -33,9 +33,16 @@ def _on_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], limit_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of keys with more than ``limit_rows`` rows)."""
-    hot = F.broadcast(_hot_keys(df, keys, limit_rows))
+def split_hot(df: DataFrame, keys: Sequence[str], limit_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of keys with more than ``limit_rows`` rows or None where there are none).
+
+    Keys are counted once, at once; the counts say whether the plan needs a second branch at all.
+    """
+    hot = settle(_hot_keys(df, keys, limit_rows))
+    n = hot.count()
+    if n == 0:
+        return df, None
+    hot = F.broadcast(hot) if n <= MAX_BROADCAST_KEYS else hot
     cond = _on_hot(df, hot, keys)
     return df.join(hot, cond, "left_anti"), df.join(hot, cond, "left_semi")
 
@@ -60,6 +67,8 @@ def row_blocks(
         raise ValueError(f"halo of {halo} rows needs blocks larger than {block_rows}")
     cold, hot = split_hot(df, keys, block_rows)
     cold = cold.withColumn("_block", F.lit(0).cast("long")).withColumn("_halo", F.lit(False))
+    if hot is None:
+        return cold
 
     hot = hot.withColumn("_slice", F.floor(F.unix_micros(ts) / F.lit(slice_seconds * 1_000_000)))
     in_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)

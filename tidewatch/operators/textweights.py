@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Gram lengths and vocabulary size.
 MIN_GRAM, MAX_GRAM, MAX_TERMS = 2, 4, 10_000
+# Words end at any Unicode blank.
+UNICODE_BLANKS = r"(?U)\s+"
 
 
 def gram_counts(docs: DataFrame, doc_id: str = "id", text: str = "message", lo: int = MIN_GRAM, hi: int = MAX_GRAM) -> DataFrame:
@@ -14,7 +16,7 @@ def gram_counts(docs: DataFrame, doc_id: str = "id", text: str = "message", lo:
 
     Words are counted per document first, so a repeated word is cut into grams once.
     """
-    words = docs.select(F.col(doc_id).alias("id"), F.explode(F.split(F.lower(text), r"\s+")).alias("w")).where(F.col("w") != "")
+    words = docs.select(F.col(doc_id).alias("id"), F.explode(F.split(F.lower(text), UNICODE_BLANKS)).alias("w")).where(F.col("w") != "")
     words = words.groupBy("id", "w").agg(F.count(F.lit(1)).alias("c"))
     words = words.select("id", "c", F.concat(F.lit(" "), "w", F.lit(" ")).alias("p")).withColumn("len", F.length("p"))
 

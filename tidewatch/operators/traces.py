@@ -16,15 +16,16 @@ from tidewatch.session import settle
 
 # Longest and shortest sequence, duration cap (seconds) and error percentile.
 MAX_SPANS, MIN_SPANS, MAX_SECONDS, ERROR_PERCENTILE = 64, 3, 60.0, 0.95
+UNKNOWN = "unknown"
 
 
 def dense_ids(names: DataFrame, column: str, id_column: str) -> DataFrame:
-    """Distinct names with ids 0, 1, 2, ... in name order.
+    """Distinct names with ids 0, 1, 2, ... in name order; a missing name counts as ``UNKNOWN``.
 
     The distributed sort numbers the rows inside its partitions; adding the
     sizes of the partitions before gives the id, so no task sees all names.
     """
-    distinct = names.select(column).where(F.col(column).isNotNull()).distinct()
+    distinct = names.select(F.coalesce(column, F.lit(UNKNOWN)).alias(column)).distinct()
     ordered = settle(distinct.orderBy(column).withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33)
     sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
@@ -36,8 +37,12 @@ def dense_ids(names: DataFrame, column: str, id_column: str) -> DataFrame:
 
 
 def with_ids(spans: DataFrame, services: DataFrame, ops: DataFrame) -> DataFrame:
-    """Look up the service and operation ids; Spark broadcasts the vocabularies while they are small."""
-    return spans.join(services, "service").join(ops, "op")
+    """Look up the service and operation ids; Spark broadcasts the vocabularies while they are small.
+
+    A span without service or operation keeps its place in the trace under the name ``UNKNOWN``.
+    """
+    named = spans.withColumns({c: F.coalesce(c, F.lit(UNKNOWN)) for c in ("service", "op")})
+    return named.join(services, "service").join(ops, "op")
 
 
 def assemble(spans: DataFrame, order: Sequence[str], max_spans: int = MAX_SPANS, min_spans: int = MIN_SPANS) -> DataFrame:

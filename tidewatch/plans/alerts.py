@@ -27,6 +27,7 @@ def alerts_table(spark, sf):
         "source", "host", "severity", F.col("raw_value").alias("value"),
         (F.col("raw_value") / (1 + F.col("k") % 4)).alias("baseline"), (F.col("k") / 20.0).alias("score"),
         F.col("ts").alias("created_at"), F.expr("CASE WHEN k % 3 = 0 THEN 'ignored' END").alias("label"),
+        F.expr("concat('value beyond ', cast(k AS string))").alias("explanation"),
     )
 
 
@@ -34,7 +35,8 @@ ALERTS_SQL = f"""{COMMON_EVENTS_SQL},
 alerts AS (SELECT 'al_' || event_id AS id,
     CASE k % 5 WHEN 0 THEN 'zscore' WHEN 1 THEN 'ewma' WHEN 2 THEN 'rate-of-change' WHEN 3 THEN 'error-rate-static' ELSE 'iforest-logs' END AS detector,
     source || ':' || host || ':latency_ms' AS metric_key, source, host, severity, raw_value AS value,
-    raw_value / (1 + k % 4) AS baseline, k / 20.0 AS score, ts AS created_at, CASE WHEN k % 3 = 0 THEN 'ignored' END AS label
+    raw_value / (1 + k % 4) AS baseline, k / 20.0 AS score, ts AS created_at, CASE WHEN k % 3 = 0 THEN 'ignored' END AS label,
+    'value beyond ' || k AS explanation
   FROM common_events WHERE severity IN ('ERROR', 'WARN') OR raw_value > 300)"""
 
 
@@ -90,7 +92,7 @@ def _shop(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"), F.col("o_totalprice").alias("total"))
     users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
     items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("quantity"))
-    products = table(spark, sf, "part").where(F.col("p_size") <= 40).select(
+    products = table(spark, sf, "part").select(
         F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
     return orders, users, items, products
 
@@ -111,7 +113,9 @@ def j10_order_lines(spark, sf):
 
 
 def j10_rejected_items(spark, sf):
-    _, _, items, products = _shop(spark, sf)
+    """Items of parts that are no longer sold (the large ones)."""
+    _, _, items, _ = _shop(spark, sf)
+    products = table(spark, sf, "part").where(F.col("p_size") <= 40).select(F.col("p_partkey").alias("product_id"))
     return shop.rejected_items(items, products).groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -233,9 +237,9 @@ QUERIES = {
     "p11_slow_requests": lambda s, d: rounded(common_events(s, d).withColumn("latency_ms", F.col("raw_value") * 100).where(F.col("latency_ms") >= SLOW_REQUEST_MS).select("event_id", "latency_ms")),
     "p12_country_filter": lambda s, d: table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("n_name").isin("NATION_3", "FRANCE", "CHINA")).select("c_custkey", "n_name"),
     "q01_list_alerts": _listing(severity="WARN"),
-    "q02_explain_alerts": lambda s, d: rounded(A.explain(alerts_table(s, d)).select("id", "metric_key", "value", "baseline", "delta", "score", F.size("similar").alias("n_similar"))),
+    "q02_explain_alerts": lambda s, d: rounded(A.explain(alerts_table(s, d)).select("id", "metric_key", "value", "baseline", "delta", "score", "explanation", F.size("similar").alias("n_similar"))),
     "q03_feedback_labels": lambda s, d: A.valid_labels(label_log(s, d)).groupBy("label").agg(F.count(F.lit(1)).alias("n")),
-    "q04_source_health": lambda s, d: rounded(A.source_health(alerts_table(s, d).where("severity = 'ERROR'"))),
+    "q04_source_health": lambda s, d: rounded(A.source_health(alerts_table(s, d))),
     "q05_storm_keys": lambda s, d: A.top_keys(A.list_alerts(alerts_table(s, d), limit=500)),
     "q06_target_breadth": lambda s, d: A.target_breadth(common_events(s, d), few=1),
     "q07_detector_review": lambda s, d: rounded(A.detector_precision(_labelled(s, d)).withColumn("needs_tuning", F.col("precision") < 0.7).drop("true_positives")),
@@ -255,7 +259,7 @@ _PAGE = "ORDER BY created_at DESC, id DESC LIMIT"
 _LIST = "id, detector, source, severity, created_at"
 _SHOP_SQL = """o AS (SELECT o_orderkey AS order_id, o_custkey AS user_id, o_totalprice AS total FROM orders),
 i AS (SELECT l_orderkey AS order_id, l_partkey AS product_id, l_quantity AS quantity FROM lineitem),
-p AS (SELECT p_partkey AS product_id, p_name AS name, p_retailprice AS price FROM part WHERE p_size <= 40)"""
+p AS (SELECT p_partkey AS product_id, p_name AS name, p_retailprice AS price FROM part)"""
 _EDGES = ", ".join(f"('{e}', {e})" for e in slo.LATENCY_EDGES)
 _SIM = f"""{ALERTS_SQL}, rec AS (SELECT id, metric_key, created_at FROM alerts {_PAGE} 200),
 sim AS (SELECT a.id, r.id AS rid, r.created_at, row_number() OVER (PARTITION BY a.id ORDER BY r.created_at DESC, r.id DESC) AS rn FROM alerts a JOIN rec r ON r.metric_key = a.metric_key AND r.id <> a.id),
@@ -297,14 +301,14 @@ ORACLES = {
       SELECT a.id, a.created_at, round(f.value_p50, 6) AS value_p50 FROM alerts a ASOF LEFT JOIN f ON a.source = f.source AND a.host = f.host AND a.created_at >= f.t""",
     "j09_recent_deployments": f"WITH {ALERTS_SQL}, d AS (SELECT host, ts FROM common_events WHERE metric = 'purchase') SELECT a.id, a.host, count(d.ts) AS deployments, max(d.ts) AS last_deployment FROM alerts a LEFT JOIN d ON d.host = a.host AND d.ts BETWEEN a.created_at - INTERVAL 60 MINUTE AND a.created_at GROUP BY a.id, a.host",
     "j10_order_lines": f"WITH {_SHOP_SQL} SELECT product_id, order_id, user_id, total, quantity, name, price FROM o JOIN i USING (order_id) JOIN p USING (product_id)",
-    "j10_rejected_items": f"WITH {_SHOP_SQL} SELECT product_id, count(*) AS n FROM i WHERE product_id NOT IN (SELECT product_id FROM p) GROUP BY product_id",
+    "j10_rejected_items": f"WITH {_SHOP_SQL} SELECT product_id, count(*) AS n FROM i WHERE product_id NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40) GROUP BY product_id",
     "j11_attack_recall": f"""WITH {COMMON_EVENTS_SQL}, {_ROC},
       a AS (SELECT DISTINCT CASE metric WHEN 'error' THEN 'slow-loris' ELSE 'brute-force' END AS attack, source, host, time_bucket(INTERVAL '1 hour', ts) AS w FROM common_events WHERE metric IN ('error', 'signup')),
       h AS (SELECT DISTINCT source, host, time_bucket(INTERVAL '1 hour', ts) AS w FROM roc)
       SELECT attack, count(*) AS windows, count(h.w) AS detected FROM a LEFT JOIN h USING (source, host, w) GROUP BY attack""",
     "k05_notifications": f"WITH {COMMON_EVENTS_SQL}, {_ROC} SELECT event_id, 'rate-of-change' AS detector, round(value, 6) AS value FROM roc ORDER BY ts, event_id LIMIT 10",
     "k10_online_features": f"{LOG_BASE_SQL} SELECT source, host, window_start AS feature_timestamp, request_count FROM feats QUALIFY row_number() OVER (PARTITION BY source, host ORDER BY window_start DESC) = 1",
-    "k11_append_alerts": f"WITH {COMMON_EVENTS_SQL}, {_ROC} SELECT 'al_' || substr(sha256(concat_ws('|', 'rate-of-change', metric_key, CAST(epoch_us(ts) AS VARCHAR))), 1, 16) AS id, 'rate-of-change' AS detector, metric_key, TIMESTAMP '2024-03-01' AS created_at, CAST(NULL AS VARCHAR) AS label FROM roc",
+    "k11_append_alerts": f"WITH {COMMON_EVENTS_SQL}, {_ROC} SELECT 'al_' || substr(sha256(concat_ws('|', 'rate-of-change', metric_key, CAST(epoch_us(ts) AS VARCHAR), CAST(event_id AS VARCHAR))), 1, 16) AS id, 'rate-of-change' AS detector, metric_key, TIMESTAMP '2024-03-01' AS created_at, CAST(NULL AS VARCHAR) AS label FROM roc",
     "k12_retention": f"WITH {COMMON_EVENTS_SQL} SELECT source, CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 'archive' ELSE 'keep' END AS zone, count(*) AS n, min(ts) AS oldest FROM common_events GROUP BY ALL",
     "m16_precision_pause": f"""WITH {LABELLED_SQL}, d AS (SELECT detector, date_trunc('day', created_at) AS day, count(*) FILTER (label = 'true_positive') AS tp, count(*) FILTER (label = 'false_positive') AS fp FROM labelled GROUP BY ALL),
       p AS (SELECT detector, CAST(day AS TIMESTAMP) AS day, tp / (tp + fp) AS pr FROM d WHERE tp + fp > 0)
@@ -315,9 +319,9 @@ ORACLES = {
     "p11_slow_requests": "SELECT event_id, round(value * 100, 6) AS latency_ms FROM events WHERE value * 100 >= 30000",
     "p12_country_filter": "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('NATION_3', 'FRANCE', 'CHINA')",
     "q01_list_alerts": f"WITH {ALERTS_SQL} SELECT {_LIST} FROM alerts WHERE severity = 'WARN' {_PAGE} 100",
-    "q02_explain_alerts": f"WITH {_SIM} SELECT a.id, metric_key, value, round(baseline, 6) AS baseline, round(value - baseline, 6) + 0.0 AS delta, score, CAST(coalesce(n, 0) AS INT) AS n_similar FROM alerts a LEFT JOIN five USING (id)",
+    "q02_explain_alerts": f"WITH {_SIM} SELECT a.id, metric_key, value, round(baseline, 6) AS baseline, round(value - baseline, 6) + 0.0 AS delta, score, explanation, CAST(coalesce(n, 0) AS INT) AS n_similar FROM alerts a LEFT JOIN five USING (id)",
     "q03_feedback_labels": f"WITH {LABELLED_SQL} SELECT label, count(*) AS n FROM good GROUP BY label",
-    "q04_source_health": f"WITH {ALERTS_SQL} SELECT source, max(created_at) AS last_seen, count(*) AS \"count\" FROM alerts WHERE severity = 'ERROR' GROUP BY source",
+    "q04_source_health": f"WITH {ALERTS_SQL} SELECT source, max(created_at) AS last_seen, count(*) AS \"count\" FROM alerts GROUP BY source",
     "q05_storm_keys": f"WITH {ALERTS_SQL}, r AS (SELECT metric_key FROM alerts {_PAGE} 500) SELECT metric_key, count(*) AS n FROM r GROUP BY 1 ORDER BY n DESC, metric_key LIMIT 10",
     "q06_target_breadth": f"WITH {COMMON_EVENTS_SQL} SELECT src_ip, count(*) AS failures, count(DISTINCT \"user\") AS users, CASE WHEN count(DISTINCT \"user\") <= 1 THEN 'account-takeover' ELSE 'stuffing' END AS shape FROM common_events WHERE source = 'app' AND status = 401 AND contains(path, 'login') GROUP BY src_ip",
     "q07_detector_review": f"WITH {LABELLED_SQL}, c AS (SELECT detector, count(*) AS total, count(*) FILTER (label = 'true_positive') AS tp, count(*) FILTER (label = 'false_positive') AS false_positives FROM labelled GROUP BY detector) SELECT detector, total, false_positives, round(tp / (tp + false_positives), 6) AS \"precision\", tp / (tp + false_positives) < 0.7 AS needs_tuning FROM c",

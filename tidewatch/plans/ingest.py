@@ -119,6 +119,13 @@ def _sql(cols, reason):
     return _expect(cols, f"CASE WHEN {CUT} THEN '{reason[0]}' {reason[1]} END", "reason IS NULL")
 
 
+# What becomes of the broken lines of each source: the cut ones, then those with a broken field.
+BROKEN = {
+    "cloudfront": ("too_few_fields", "WHEN event_id % 10 = 3 THEN 'header'"), "alb": ("too_few_fields", "WHEN event_id % 10 = 3 THEN 'bad_number'"),
+    "waf": ("bad_json", ""), "app": ("bad_timestamp", "WHEN event_id % 10 = 4 AND event_id % 3 <> 0 THEN 'bad_number'"), "eks": ("bad_json", ""),
+    "nginx": ("no_match", ""), "kafka": ("no_match", ""), "mysql": ("no_match", ""), "mongodb": ("bad_json", ""), "redis": ("no_match", ""),
+    **{m: ("bad_json", "WHEN event_id % 10 = 4 THEN 'bad_number'") for m in ("node-metrics", "container-metrics", "prometheus", "otel-traces")},
+}
 _IP, _P, _UA = "'10.0.0.' || (user_id % 250)", "'/p/' || event_id", "'ua' || (k % 5)"
 _METRIC_SQL = _sql({"ts": "ts", "host": "'h' || (user_id % 10)", "message": "event_type || '=' || value", "metric": "event_type",
                     "metric_value": "value", "event": "CAST(event_id AS VARCHAR)"}, ("bad_json", "WHEN event_id % 10 = 4 THEN 'bad_number'"))
@@ -308,7 +315,7 @@ def k01_raw_zone(spark, sf):
 
 def k02_error_zone(spark, sf):
     path = scratch_path(spark, "errors")
-    n = D.normalize_all({s: raw_lines(spark, sf, s) for s in ("alb", "app", "prometheus")})
+    n = D.normalize_all({s: raw_lines(spark, sf, s) for s in SOURCES})
     sinks.write_errors(D.quarantined(n), path)
     return spark.read.json(path).groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -326,7 +333,7 @@ def k09_feature_store(spark, sf):
 
     path = scratch_path(spark, "feature-store")
     sinks.write_features(feature_records(log_window_counts(common_events(spark, sf), DAY)), path)
-    f = spark.read.parquet(path).where(F.col("date") >= F.lit("2024-01-10").cast("date"))
+    f = spark.read.parquet(path)
     return rounded(f.select("feature_key", "feature_timestamp", "request_count"))
 
 
@@ -386,7 +393,9 @@ ORACLES.update({
     "s10_stored_baseline": f'WITH {STATS_SQL} SELECT feature, "count", round(p50, 6) AS p50, round(mean - 3 * std, 6) AS "min", round(mean + 3 * std, 6) AS "max", CAST(0.05 AS DOUBLE) AS max_missing_rate FROM stats',
     "s11_alert_history": f"WITH {COMMON_EVENTS_SQL}, {_KEY} SELECT 'error-rate-static' AS detector, metric_key, count(*) AS n, round(sum(value), 6) AS total, max(ts) AS newest FROM sm WHERE value > 0.05 GROUP BY metric_key",
     "s12_feature_csv": f"{_features_sql()} SELECT count(*) AS n, {', '.join(f'round(sum({c}), 4) AS {c}' for c in _CSV)} FROM feats",
-    "k02_error_zone": f"WITH {BASE_SQL} SELECT source, reason, count(*) AS n FROM (SELECT 'alb' AS source, CASE WHEN event_id % 10 = 7 THEN 'too_few_fields' WHEN event_id % 10 = 3 THEN 'bad_number' END AS reason FROM e UNION ALL SELECT 'app', CASE WHEN event_id % 10 = 7 THEN 'bad_timestamp' WHEN event_id % 10 = 4 AND event_id % 3 <> 0 THEN 'bad_number' END FROM e UNION ALL SELECT 'prometheus', CASE WHEN event_id % 10 = 7 THEN 'bad_json' WHEN event_id % 10 = 4 THEN 'bad_number' END FROM e) x WHERE reason IS NOT NULL GROUP BY ALL",
+    "k02_error_zone": f"WITH {BASE_SQL} SELECT source, reason, count(*) AS n FROM (" + " UNION ALL ".join(
+        f"SELECT '{name}' AS source, CASE WHEN {CUT} THEN '{cut}' {more} END AS reason FROM e" for name, (cut, more) in BROKEN.items())
+    + ") x WHERE reason IS NOT NULL GROUP BY ALL",
     "k04_anomaly_zone": f"WITH {COMMON_EVENTS_SQL}, {_KEY}, l AS (SELECT *, lag(value) OVER (PARTITION BY metric_key ORDER BY ts, event_id) AS prev FROM sm) SELECT 2024 AS year, 3 AS month, 1 AS day, 5 AS hour, 'rate-of-change' AS detector, count(*) AS n, round(sum(value), 6) AS total FROM l WHERE prev <> 0 AND (value - prev) / abs(prev) * 100 >= 200",
-    "k09_feature_store": f"{_features_sql()} SELECT concat_ws('|', source, host, strftime(window_start, '%Y-%m-%dT%H:%M:%SZ')) AS feature_key, window_start AS feature_timestamp, request_count FROM feats WHERE window_start >= TIMESTAMP '2024-01-10'",
+    "k09_feature_store": f"{_features_sql()} SELECT concat_ws('|', source, host, strftime(window_start, '%Y-%m-%dT%H:%M:%SZ')) AS feature_key, window_start AS feature_timestamp, request_count FROM feats",
 })

@@ -15,7 +15,7 @@ from tidewatch.session import scratch_path, settle
 from tidewatch.sources import sinks
 
 SPAN_ORDER = ("ts", "l_linenumber", "l_partkey", "l_suppkey", "dur_ms")
-# Longest order of the test data has 13 lines, so the cut is tested at 8.
+# Longest order of the test data has 13 lines, so truncation (A30, T01b) is tested at 8; encoding and fit use the real limit.
 CUT = 8
 
 
@@ -69,7 +69,7 @@ def t01b_sorted_truncated(spark, sf):
 def _encoded(spark, sf):
     svc, ops = _vocab(spark, sf)
     n_svc, n_ops = svc.count(), ops.count()  # vocabulary sizes fix the vector length
-    return traces.encode(traces.assemble(traces.with_ids(spans(spark, sf), svc, ops), SPAN_ORDER, CUT), n_svc, n_ops, CUT)
+    return traces.encode(traces.assemble(traces.with_ids(spans(spark, sf), svc, ops), SPAN_ORDER, traces.MAX_SPANS), n_svc, n_ops, traces.MAX_SPANS)
 
 
 def m09_trace_encoding(spark, sf):
@@ -108,7 +108,7 @@ def m07_text_weights(spark, sf):
                                        F.sum(F.col("weight") * F.col("weight")).alias("length")), 5)
 
 
-TEXT_SQL = r"""w AS (SELECT doc_id AS id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL),
+TEXT_SQL = r"""w AS (SELECT doc_id AS id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\s\x0B\x{85}\p{Z}]+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL),
 p AS (SELECT id, c, ' ' || w || ' ' AS p, length(w) + 2 AS len FROM w),
 g AS (SELECT id, c, substr(p, CAST(i AS INT), CAST(n AS INT)) AS gram FROM (SELECT id, c, p, n, unnest(range(1, len - n + 2)) AS i FROM p CROSS JOIN (VALUES (2), (3), (4)) t(n) WHERE n <= len)),
 tf AS (SELECT id, gram, sum(c) AS tf FROM g GROUP BY ALL),
@@ -279,11 +279,11 @@ ORACLES = {
     "m04_serving_flags": f"WITH {SCORED_SQL} SELECT event_id, score, predicted AS is_anomaly FROM fl",
     "m07_text_vocabulary": f"WITH {TEXT_SQL} SELECT gram, total, df, round(idf, 6) AS idf FROM v",
     "m07_text_weights": f"WITH {TEXT_SQL} SELECT id, count(*) AS terms, round(sum(weight), 5) AS total, round(max(weight), 5) AS largest, round(sum(weight * weight), 5) AS \"length\" FROM wt GROUP BY id",
-    "m09_trace_encoding": f"""WITH {SPANS_SQL}, t AS (SELECT DISTINCT trace_id FROM seq), grid AS (SELECT trace_id, i AS pos FROM t CROSS JOIN range(0, 8) r(i))
+    "m09_trace_encoding": f"""WITH {SPANS_SQL}, whole AS (SELECT * FROM rk WHERE pos <= 64 AND n >= 3), t AS (SELECT DISTINCT trace_id FROM whole), grid AS (SELECT trace_id, i AS pos FROM t CROSS JOIN range(0, 64) r(i))
       SELECT grid.trace_id, CAST(grid.pos AS INT) AS pos, CASE WHEN s.pos IS NULL THEN 0.0 ELSE 1.0 END AS mask,
         CAST((SELECT count(*) FROM sv) + (SELECT count(*) FROM ov) + 2 AS INT) AS dims,
         round(coalesce(2 + least(dur_ms / 1000, 60) + status, 0), 6) AS total, CASE WHEN s.pos IS NOT NULL THEN CAST(svc + 1 AS BIGINT) END AS service_at
-      FROM grid LEFT JOIN seq s ON s.trace_id = grid.trace_id AND s.pos = grid.pos + 1""",
+      FROM grid LEFT JOIN whole s ON s.trace_id = grid.trace_id AND s.pos = grid.pos + 1""",
     "m11_cut_evaluation": f"""{METRIC_BASE_SQL}, {_z_sql(METRIC_FEATURES, 'feats')},
       l AS (SELECT z AS score, z >= (SELECT quantile_cont(z, 0.95) FROM zz) AS truth, z >= 3 AS predicted FROM zz), a AS (SELECT *, {_MID} FROM l)
       SELECT count(*) AS n_test, round(count(*) FILTER (truth AND predicted) / count(*) FILTER (predicted), 6) AS "precision", round(count(*) FILTER (truth AND predicted) / count(*) FILTER (truth), 6) AS recall,

@@ -30,6 +30,8 @@ EKS_SEVERITY = {
 }
 MONGODB_SEVERITY = {"D1": "DEBUG", "D2": "DEBUG", "I": "INFO", "W": "WARN", "E": "ERROR", "F": "CRITICAL"}
 REDIS_SEVERITY = {".": "DEBUG", "-": "INFO", "*": "INFO", "#": "WARN"}
+# Span status codes by name.
+OTEL_STATUS = {"STATUS_CODE_UNSET": "0", "STATUS_CODE_OK": "1", "STATUS_CODE_ERROR": "2"}
 # Line patterns.
 NGINX_LINE = r'^(\S+) \S+ (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\d+|-) "([^"]*)" "([^"]*)"'
 KAFKA_LINE = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3})\] (DEBUG|INFO|WARN|ERROR|FATAL|TRACE) (.*?)(?: \(([\w.]+)\))?$"
@@ -95,6 +97,13 @@ def _any(*conds: Column) -> Column:
     return out
 
 
+def _last_map(entries: Column) -> Column:
+    """A map of (key, value) entries; of repeated keys the last counts, whatever the session says about duplicates."""
+    named = F.filter(entries, lambda e: e["key"].isNotNull())
+    lone = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(lone)
+
+
 def _alb(df: DataFrame) -> DataFrame:
     token = F.regexp_extract_all(F.trim(_line()), F.lit(r'"([^"]*)"|(\S+)'), F.lit(0))
     df = df.withColumn("_t", F.transform(token, lambda t: F.btrim(t, F.lit('"'))))
@@ -152,16 +161,19 @@ def _waf(df: DataFrame) -> DataFrame:
         "nonTerminatingMatchingRules string, httpRequest struct<clientIp: string, uri: string, httpMethod: string, "
         "country: string, headers: array<struct<name: string, value: string>>>"))
     r, h = F.col("r"), F.col("r.httpRequest")
-    headers = F.map_from_entries(F.transform(redact_headers(h["headers"]), lambda x: F.struct(F.lower(x["name"]), x["value"])))
+    agents = F.filter(redact_headers(h["headers"]), lambda x: F.lower(x["name"]) == "user-agent")
     action = F.coalesce(_blank_to_null(r["action"]), r["terminatingRuleId"], F.lit(""))
     ts = r["timestamp"]
-    millis = F.when(ts.rlike(r"^\d{10,16}$"), F.timestamp_millis(ts.try_cast("bigint")))
+    # epoch seconds have ten digits until the year 2286, milliseconds thirteen
+    number, digits = ts.try_cast("bigint"), F.length(ts)
+    epoch = F.when(ts.rlike(r"^\d{10,16}$"), F.when(digits <= 10, F.timestamp_seconds(number)).when(digits <= 13, F.timestamp_millis(number))
+                   .otherwise(F.timestamp_micros(number)))
     q = F.lit("?")
     return df.select(
         "value", _json_problem(r, F.to_json(r) == "{}").alias("reason"),
-        ts.alias("ts_raw"), F.coalesce(millis, _iso(ts)).alias("ts"), r["webaclId"].alias("host"),
+        ts.alias("ts_raw"), F.coalesce(epoch, _iso(ts)).alias("ts"), r["webaclId"].alias("host"),
         _lookup(action, WAF_SEVERITY).alias("severity"), h["clientIp"].alias("src_ip"), h["uri"].alias("path"),
-        F.try_element_at(headers, F.lit("user-agent")).alias("user_agent"),
+        F.try_element_at(agents, F.lit(-1))["value"].alias("user_agent"),
         F.concat_ws(" ", action, F.coalesce(h["httpMethod"], q), F.coalesce(h["uri"], q)).alias("message"),
         F.to_json(F.struct(action.alias("action"), r["terminatingRuleId"].alias("terminating_rule"),
                            r["rateBasedRuleList"].alias("rate_based_rule_list"),
@@ -175,11 +187,13 @@ def _app(df: DataFrame) -> DataFrame:
         return F.when(x.rlike(r'^".*"$') & (F.length(x) > 1), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('\\"'), F.lit('"'))).otherwise(x)
 
     pattern = F.lit(KEY_VALUE)
-    pairs = F.map_from_arrays(F.regexp_extract_all(_line(), pattern, F.lit(1)), F.transform(F.regexp_extract_all(_line(), pattern, F.lit(2)), unquote))
+    entries = F.zip_with(F.regexp_extract_all(_line(), pattern, F.lit(1)), F.regexp_extract_all(_line(), pattern, F.lit(2)),
+                         lambda k, v: F.struct(k.alias("key"), unquote(v).alias("value")))
     as_json = F.when(F.ltrim(_line()).startswith("{"), F.from_json(_line(), "map<string,string>"))
     df = df.withColumn("_j", as_json)
     is_json = F.coalesce(F.size("_j") > 0, F.lit(False))
-    df = df.withColumn("_kv", F.when(~is_json, pairs))
+    df = df.withColumn("_e", F.when(~is_json, entries))
+    df = df.withColumn("_kv", _last_map(F.col("_e")))
     df = df.withColumn("m", F.when(is_json, F.col("_j")).when(F.size("_kv") > 0, F.col("_kv")).otherwise(F.create_map(F.lit("message"), _line())))
     m = F.col("m")
     at = lambda k: F.try_element_at(m, F.lit(k))
@@ -306,17 +320,18 @@ def _metric(df: DataFrame) -> DataFrame:
         "value", F.coalesce(_json_problem(r, F.trim(_line()).isin("{}", "null")), F.when(number.isNull(), "bad_number")).alias("reason"),
         r["ts"].alias("ts_raw"), _iso(r["ts"]).alias("ts"), _first_of(labels, "instance", "pod", "node").alias("host"),
         F.concat(r["name"], F.lit("="), number.cast("string")).alias("message"),
-        F.to_json(F.map_concat(own, labels)).alias("attrs"),
+        F.to_json(F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(labels, k)), labels)).alias("attrs"),
     )
 
 
 def _otel(df: DataFrame) -> DataFrame:
     df = df.withColumn("r", _from_json(
         "traceId string, spanId string, parentSpanId string, name string, startTimeUnixNano string, endTimeUnixNano string, "
-        "status struct<code: int>, attributes array<struct<key: string, value: struct<stringValue: string, intValue: string, doubleValue: string>>>"))
+        "status struct<code: string>, attributes array<struct<key: string, value: struct<stringValue: string, intValue: string, doubleValue: string>>>"))
     r = F.col("r")
-    entry = lambda a: F.struct(a["key"], F.coalesce(_blank_to_null(a["value"]["stringValue"]), a["value"]["intValue"], a["value"]["doubleValue"]))
-    df = df.withColumn("a", F.map_from_entries(F.transform(r["attributes"], entry)))
+    entry = lambda a: F.struct(a["key"].alias("key"), F.coalesce(_blank_to_null(a["value"]["stringValue"]), a["value"]["intValue"], a["value"]["doubleValue"]).alias("value"))
+    df = df.withColumn("_e", F.transform(r["attributes"], entry)).withColumn("a", _last_map(F.col("_e")))
+    code = F.coalesce(r["status"]["code"].try_cast("int"), _lookup(r["status"]["code"], OTEL_STATUS).cast("int"))
     nanos = {n: F.coalesce(r[c], F.lit("0")).try_cast("bigint") for n, c in (("_start", "startTimeUnixNano"), ("_end", "endTimeUnixNano"))}
     df = df.withColumns(nanos)
     start, end = F.col("_start"), F.col("_end")
@@ -327,12 +342,12 @@ def _otel(df: DataFrame) -> DataFrame:
         F.coalesce(_json_problem(r, F.trim(_line()).isin("{}", "null")), F.when(start.isNull() | end.isNull(), "bad_number")).alias("reason"),
         r["startTimeUnixNano"].alias("ts_raw"), F.timestamp_micros(F.expr("_start div 1000")).alias("ts"),
         F.coalesce(_blank_to_null(at("host.name")), at("k8s.pod.name")).alias("host"),
-        F.when(r["status"]["code"] == 2, "ERROR").otherwise("INFO").alias("severity"), ms.alias("latency_ms"),
+        F.when(code == 2, "ERROR").otherwise("INFO").alias("severity"), ms.alias("latency_ms"),
         F.format_string("%s (%.1fms)", F.coalesce(r["name"], F.lit("?")), ms).alias("message"),
         F.to_json(F.struct(
             r["traceId"].alias("trace_id"), r["spanId"].alias("span_id"), r["parentSpanId"].alias("parent_span_id"),
             r["name"].alias("name"), at("service.name").alias("service.name"), at("http.status_code").alias("http.status_code"),
-            r["status"]["code"].alias("status_code"))).alias("attrs"),
+            code.alias("status_code"))).alias("attrs"),
     )
 
 
@@ -401,5 +416,5 @@ def merge_log_body(record: Column, field: str = "log") -> Column:
     """
     body = F.try_element_at(record, F.lit(field))
     parsed = F.when(F.ltrim(body).startswith("{"), F.from_json(body, "map<string,string>"))
-    rest = F.map_filter(record, lambda k, _: k != field)
+    rest = F.map_filter(record, lambda k, _: (k != field) & ~F.map_contains_key(parsed, k))
     return F.when(parsed.isNotNull(), F.map_concat(rest, parsed)).otherwise(record)

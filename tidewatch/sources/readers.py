@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,22 +34,33 @@ def read_raw_zone(spark: SparkSession, path: str, merge_schema: bool = False) ->
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON files that hold either one array or one object per line, told apart per file.
+    """The records of ``record_lines`` that could be read."""
+    return record_lines(spark, path, schema).where(F.col("reason").isNull()).select(*schema.names)
 
-    No record line of an object file starts with a bracket, so one pass over
-    the text names the array files; only those need the whole-file parser.
+
+def record_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(columns of ``schema``, value, reason) of JSON files that hold either one array or one object per line.
+
+    The first character of a file that is no blank tells which, found in the block at its start.  Object files are read line by
+    line and split like any text; a line that is no object keeps its text in ``value`` and gets a ``reason``.  Array files go
+    through the streaming parser, one file per task, because an array may be laid out in any way; only their names visit the
+    driver, which lists all files anyway.
     """
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.input_file_name().alias("file"))
-    arrays = lines.where(F.ltrim("value").startswith("[")).select("file").distinct()
-    array_files = [r.file for r in arrays.collect()]  # file names only, as in any listing
-    all_files = spark.read.option("recursiveFileLookup", True).schema(schema).json(path).inputFiles()
-    wanted = set(array_files)
-    line_files = [f for f in all_files if f not in wanted]
-    out = spark.createDataFrame([], schema)
-    if line_files:
-        out = out.unionByName(spark.read.schema(schema).json(line_files))
-    if array_files:
-        out = out.unionByName(spark.read.schema(schema).option("multiLine", True).json(array_files))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"))
+    lines = lines.where(F.trim("value") != "")
+    heads = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    names = [r.file for r in heads.where(F.ltrim("head").startswith("[")).select("file").collect()]
+    raw = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    options = {"columnNameOfCorruptRecord": "_corrupt"}
+    parsed = lines.where(~F.col("file").isin(names)) if names else lines
+    parsed = parsed.select("value", F.from_json("value", raw, options).alias("r"))
+    broken = F.col("r").isNull() | F.col("r._corrupt").isNotNull() | ~F.ltrim("value").startswith("{")
+    out = parsed.select("r.*", "value", F.when(broken, "bad_json").alias("reason")).drop("_corrupt")
+    if names:
+        whole = spark.read.schema(raw).options(multiLine=True, **options).json([unquote(n) for n in names])
+        out = out.unionByName(whole.select(*schema.names, F.col("_corrupt").alias("value"), F.when(F.col("_corrupt").isNotNull(), "bad_json").alias("reason")))
     return out
 
 
@@ -107,10 +119,9 @@ def stream_events(spark: SparkSession, path: str, schema: T.StructType = EVENT,
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def stream_lines(spark: SparkSession, path: str, max_chars: int = 32_768, files_per_trigger: int = 100) -> DataFrame:
-    """Log files as a stream of lines; over-long lines are skipped, as the collectors do."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    return lines.where(F.length("value") <= max_chars)
+def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """Log files as a stream of lines; the ingest job sends over-long ones to the error zone."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
 
 
 def stream_kafka(spark: SparkSession, servers: str, topics: Sequence[str] = TOPICS) -> DataFrame:

@@ -17,6 +17,8 @@ from tidewatch.streaming.rules_stream import stream_rules
 # Delivery interval of the raw zone and allowed lateness of events.
 DELIVERY_SECONDS = 300
 LATENESS = "10 minutes"
+# Longest line the collectors pass on.
+MAX_LINE = 32_768
 
 
 def _start(df: DataFrame, sink, checkpoint: str, seconds: int | None) -> StreamingQuery:
@@ -34,15 +36,21 @@ def _replace_batch(df: DataFrame, batch_id: int, path: str, form: str, folders:
 
 
 def ingest_stream(lines: DataFrame, source: str, raw_path: str, error_path: str, checkpoint: str,
-                  seconds: int | None = DELIVERY_SECONDS, by: Sequence[str] = HOUR_PARTITIONS) -> StreamingQuery:
-    """Lines of one source into the raw zone (by event hour, or coarser) and the error zone (by reason)."""
+                  seconds: int | None = DELIVERY_SECONDS, by: Sequence[str] = HOUR_PARTITIONS, max_chars: int = MAX_LINE) -> StreamingQuery:
+    """Lines of one source into the raw zone (by event hour, or coarser) and the error zone (by reason).
+
+    Lines of more than ``max_chars`` characters are not parsed: their beginning goes to the error zone as ``too_long``.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = normalize(batch, source).persist()
+        long = F.length("value") > max_chars
+        rows = normalize(batch.where(~F.coalesce(long, F.lit(False))), source).persist()
+        cut = batch.where(long).select(F.lit(source).alias("source"), F.lit("too_long").alias("reason"),
+                                       F.substring("value", 1, max_chars).alias("value"), F.current_timestamp().alias("ingest_ts"))
         try:
             events = with_hour_partitions(accepted(rows), F.col("ts"))
             _replace_batch(events, batch_id, raw_path, "parquet", ["source", *by])
-            _replace_batch(quarantined(rows), batch_id, error_path, "json", ["reason"])
+            _replace_batch(quarantined(rows).unionByName(cut), batch_id, error_path, "json", ["reason"])
         finally:
             rows.unpersist()
 
@@ -56,15 +64,17 @@ def score_stream(events: DataFrame, anomaly_path: str, notify_path: str, checkpo
     def sink(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         try:
-            found = with_hour_partitions(rows, F.current_timestamp())
+            found = with_hour_partitions(rows, F.col("_at")).drop("_at")
             _replace_batch(found, batch_id, anomaly_path, "json", HOUR_PARTITIONS)
-            top = notifications(rows).withColumn("batch_id", F.lit(batch_id))
+            top = notifications(rows.drop("_at")).withColumn("batch_id", F.lit(batch_id))
             writer = top.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
             writer.option("timestampFormat", JSON_TIME).json(notify_path)
         finally:
             rows.unpersist()
 
-    return _start(stream_rules(samples_from_events(events), rules, watermark), sink, checkpoint, seconds)
+    # The time of a batch is logged with its offsets: a replay finds the same folder again.
+    scored = stream_rules(samples_from_events(events), rules, watermark).withColumn("_at", F.current_timestamp())
+    return _start(scored, sink, checkpoint, seconds)
 
 
 def windowed_counts(events: DataFrame, window: str = "5 minutes", watermark: str = LATENESS) -> DataFrame:

@@ -49,10 +49,11 @@ class RuleProcessor(StatefulProcessor):
             for i, rule in enumerate(self.rules):
                 try:
                     hit = rule.update(states[i], value)
+                    text = rule.say(value, *hit) if hit else None
                 except Exception:
                     hit = None
-                if hit is not None:
-                    out.append((event_id, i + 1, rule.name, key[0], ts, value, *hit))
+                if hit:
+                    out.append((event_id, i + 1, rule.name, key[0], ts, value, *hit, text))
         self.state.update((json.dumps(states),))
         yield pd.DataFrame(out, columns=OUTPUT.names)
 
