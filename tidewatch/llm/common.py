@@ -59,3 +59,23 @@ def join_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: str,
                          F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt_k"))
     on = reduce(lambda a, b: a & b, [same(left[k], right[f"_k_{k}"]) for k in keys], left["_salt"] == right["_salt_k"])
     return left.join(right, on, how).drop("_salt", "_salt_k", *[f"_k_{k}" for k in keys])
+
+
+#: 64-bit words of the filter below: a table of a fixed size (a few megabytes), however long the list of keys is.
+FILTER_WORDS = 1 << 17
+
+
+def prefiltered(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Most rows whose ``key`` is not among ``wanted`` (one column of that name) leave before any shuffle; a join must follow.
+
+    The wanted keys set bits of a hashed bitmap of fixed size, which is broadcast.  No wanted row is lost; a crowded bitmap only
+    lets more of the others through.
+    """
+    def place(h: str) -> tuple[Column, Column]:
+        return F.expr(f"pmod({h}, {FILTER_WORDS}L)").alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(shiftright({h}, 32), 64L) as int))")
+
+    word, bit = place("_h")
+    bits = wanted.select(F.xxhash64(key).alias("_h")).select(word, bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    hashed = rows.withColumn("_h", F.xxhash64(key))
+    joined = hashed.withColumn("_at", F.expr(f"pmod(_h, {FILTER_WORDS}L)")).join(F.broadcast(bits), F.col("_at") == F.col("_word"))
+    return joined.filter(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)

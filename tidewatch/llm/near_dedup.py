@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import join_by_key, stored, text_or_empty
+from tidewatch.llm.common import join_by_key, prefiltered, stored, text_or_empty
 from tidewatch.llm.components import components
 
 SHINGLE = 5
@@ -190,7 +190,7 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     buckets = stored(rows.join(shared, "key").distinct(), "near-buckets")
     candidates = buckets.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = prefiltered(docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", candidates)
     sets = stored(shingle_sets(texts.join(candidates, "doc_id", "left_semi")), "near-sets")
     alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(
         F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other").groupBy("node").agg(
