@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import has_error_word
@@ -136,9 +137,16 @@ def _tasks(spark):
     return spark.sparkContext.defaultParallelism
 
 
+def _tree_shape(model, deepest):
+    """Per tree: the sample at the root, the rows in its leaves, and whether it keeps within the depth limit."""
+    leaf = F.col("dim") < 0
+    return model.groupBy("tree").agg(
+        F.max(F.when(F.col("node") == 0, F.col("mass"))).alias("sample"), F.sum(F.when(leaf, F.col("mass"))).alias("in_leaves"),
+        (F.count_if(leaf) == F.count_if(~leaf) + 1).alias("binary"), (F.max("depth") <= deepest).alias("within_limit"))
+
+
 def m02_isolation_fit(spark, sf):
-    model = forest.fit_isolation_forest(_log_vectors(spark, sf), "key", LOGS)
-    return model.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("deepest"), F.max("mass").alias("sample"))
+    return _tree_shape(forest.fit_isolation_forest(_log_vectors(spark, sf), "key", LOGS), 8)
 
 
 def m03_isolation_scores(spark, sf):
@@ -147,8 +155,95 @@ def m03_isolation_scores(spark, sf):
 
 
 def m05_cut_fit(spark, sf):
-    model = forest.fit_cut_forest(_metric_vectors(spark, sf), "key", METRICS)
-    return model.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("deepest"), F.max("mass").alias("sample"))
+    return _tree_shape(forest.fit_cut_forest(_metric_vectors(spark, sf), "key", METRICS), 10_000)
+
+
+# A small model, given in numbers, so that the scores of the whole table can be stated in SQL as well.
+FIXED_ISOLATION = ((0, 0, 1, 2, 0, 2.0, 16, 0), (0, 1, -1, -1, -1, 0.0, 10, 1), (0, 2, 3, 4, 1, 0.5, 6, 1), (0, 3, -1, -1, -1, 0.0, 2, 2),
+                   (0, 4, -1, -1, -1, 0.0, 4, 2), (1, 0, 1, 2, 1, 0.25, 16, 0), (1, 1, -1, -1, -1, 0.0, 1, 1), (1, 2, -1, -1, -1, 0.0, 15, 1))
+FIXED_CUT = ((0, 0, 1, 2, 0, 50.0, 8, 0, [0.0, 0.0], [100.0, 100.0]), (0, 1, -1, -1, -1, 0.0, 5, 1, [0.0, 10.0], [40.0, 90.0]),
+             (0, 2, -1, -1, -1, 0.0, 3, 1, [60.0, 0.0], [100.0, 100.0]))
+
+
+def _fixed_model(spark, nodes):
+    return spark.createDataFrame([n if len(n) == 10 else (*n, None, None) for n in nodes], forest.NODES)
+
+
+def m03_fixed_forest(spark, sf):
+    shape = forest.dense(["request_count", "rate_5xx"])
+    return rounded(forest.isolation_scores(_log_vectors(spark, sf), "key", shape, _fixed_model(spark, FIXED_ISOLATION), _tasks(spark)))
+
+
+def m06_fixed_forest(spark, sf):
+    shape = forest.dense(["value_p50", "value_max"])
+    return rounded(forest.cut_scores(_metric_vectors(spark, sf), "key", shape, _fixed_model(spark, FIXED_CUT), _tasks(spark)))
+
+
+def m08_fixed_forest(spark, sf):
+    """The isolation model over the weights of the first two terms of the vocabulary, read from the sparse rows."""
+    w, vocab = _weights(spark, sf)
+    rows = textweights.sparse_rows(w, settle(traces.dense_ids(vocab, "gram", "idx")))
+    nodes = [(*n[:5], n[5] / 100, *n[6:]) for n in FIXED_ISOLATION]
+    return rounded(forest.isolation_scores(rows, "id", forest.sparse(textweights.MAX_TERMS), _fixed_model(spark, nodes), _tasks(spark)))
+
+
+def m10_fixed_autoencoder(spark, sf):
+    """Errors under a given mean (zero) and two given components: the first service and the seconds."""
+    e = _encoded(spark, sf)
+    dims = e.select(F.size(F.col("x")[0])).first()[0]
+    components = np.zeros((dims, 2))
+    components[0, 0] = components[dims - 2, 1] = 1.0
+    return rounded(traces.reconstruction_error(e, np.zeros(dims), components))
+
+
+def _gate_row(report, model, metric, value, n_train):
+    gated = E.gate(report.select(F.lit(model).alias("model"), F.lit(metric).alias("metric"), F.col(value).alias("value"), "n_test"))
+    return rounded(gated.withColumn("n_train", F.lit(n_train)))
+
+
+def _parts(df, key, kind):
+    s = settle(E.seeded_split(df, [key], kind))
+    train = s.where("NOT is_test").drop("is_test")
+    return train, s.where("is_test").drop("is_test"), train.count()
+
+
+def m12_isolation_pipeline(spark, sf):
+    """Split, fit on the train part, score the test part, evaluate that score against the z-score labels, gate."""
+    train, test, n = _parts(_log_vectors(spark, sf), "key", "features")
+    scores = forest.isolation_scores(test, "key", LOGS, forest.fit_isolation_forest(train, "key", LOGS), _tasks(spark))
+    truth = E.flag_top(E.max_z(test, LOG_FEATURES), "z", 0.99, "truth").select("key", "truth")
+    judged = E.flag_top(settle(scores.join(truth, "key")), "score", 0.99, "predicted")
+    return _gate_row(E.classification_report(judged, "truth", "predicted"), "iforest-logs", "precision_at_top1pct", "precision", n)
+
+
+def m11_cut_pipeline(spark, sf):
+    train, test, n = _parts(_metric_vectors(spark, sf), "key", "features")
+    scores = forest.cut_scores(test, "key", METRICS, forest.fit_cut_forest(train, "key", METRICS), _tasks(spark))
+    truth = E.flag_top(E.max_z(test, METRIC_FEATURES), "z", 0.95, "truth").select("key", "truth")
+    judged = settle(scores.join(truth, "key")).withColumn("predicted", F.col("score") >= forest.STRONG_CUT_SCORE)
+    return _gate_row(E.classification_report(judged, "truth", "predicted"), "rcf-metrics", "f1", "f1", n)
+
+
+def m13_text_pipeline(spark, sf):
+    """Documents stand for log lines, low quality for anomalies."""
+    w, vocab = _weights(spark, sf)
+    rows = textweights.sparse_rows(w, settle(traces.dense_ids(vocab, "gram", "idx")))
+    train, test, n = _parts(rows, "id", "text")
+    shape = forest.sparse(textweights.MAX_TERMS)
+    scores = forest.isolation_scores(test, "id", shape, forest.fit_isolation_forest(train, "id", shape), _tasks(spark))
+    truth = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("truth"))
+    judged = E.flag_top(settle(scores.join(truth, "id")), "score", 0.99, "predicted")
+    return _gate_row(E.classification_report(judged, "truth", "predicted"), "log-embedding", "precision_at_top1pct", "precision", n)
+
+
+def m10_trace_pipeline(spark, sf):
+    """Traces with a slow span are the anomalies; the error of the test traces is judged by its area under the curve."""
+    train, test, n = _parts(_encoded(spark, sf), "trace_id", "traces")
+    errors = traces.reconstruction_error(test, *traces.fit_autoencoder(train, 4))
+    truth = test.select("trace_id", F.exists("spans", lambda s: s["dur_ms"] > 60_000).alias("truth"))
+    judged = settle(errors.join(truth, "trace_id"))
+    report = E.auc(judged, "truth", "score").crossJoin(F.broadcast(judged.agg(F.count(F.lit(1)).alias("n_test"))))  # one row each
+    return _gate_row(report, "trace-autoencoder", "auc", "auc", n)
 
 
 def m06_cut_scores(spark, sf):
@@ -253,7 +348,9 @@ QUERIES = {
     "m04_serving_flags": m04_serving_flags, "m05_cut_fit": m05_cut_fit, "m06_cut_scores": m06_cut_scores, "m07_text_vocabulary": m07_text_vocabulary,
     "m07_text_weights": m07_text_weights, "m08_text_forest": m08_text_forest, "m09_trace_encoding": m09_trace_encoding, "m10_trace_errors": m10_trace_errors,
     "m11_cut_evaluation": m11_cut_evaluation, "m12_isolation_evaluation": m12_isolation_evaluation, "m13_text_evaluation": m13_text_evaluation,
-    "m14_auc": m14_auc, "m15_gate": m15_gate, "w06_top_percent": w06_top_percent, "w08_max_z": w08_max_z,
+    "m03_fixed_forest": m03_fixed_forest, "m06_fixed_forest": m06_fixed_forest, "m08_fixed_forest": m08_fixed_forest,
+    "m10_fixed_autoencoder": m10_fixed_autoencoder, "m10_trace_pipeline": m10_trace_pipeline, "m11_cut_pipeline": m11_cut_pipeline,
+    "m12_isolation_pipeline": m12_isolation_pipeline, "m13_text_pipeline": m13_text_pipeline, "m14_auc": m14_auc, "m15_gate": m15_gate, "w06_top_percent": w06_top_percent, "w08_max_z": w08_max_z,
 }
 
 
@@ -267,7 +364,55 @@ _AUC = "(sum(CASE WHEN truth THEN r END) - sum(CASE WHEN truth THEN 1 ELSE 0 END
 _MID = "(rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0) AS r"
 SCORED_SQL = r"sc AS (SELECT event_id, value AS score, event_type = 'error' AS truth FROM events), fl AS (SELECT *, score >= (SELECT quantile_cont(score, 0.99) FROM sc) AS predicted FROM sc)"
 
+def _c_sql(n):
+    """Mean depth of a search among n points, as a number."""
+    return repr(float(forest.average_path(np.array([n]))[0]))
+
+
+def _isolation_sql(a, b, scale=1.0):
+    leaf = lambda depth, mass: f"({depth} + {_c_sql(mass)})"
+    first = f"CASE WHEN {a} <= {2.0 * scale} THEN {leaf(1, 10)} WHEN {b} <= {0.5 * scale} THEN {leaf(2, 2)} ELSE {leaf(2, 4)} END"
+    second = f"CASE WHEN {b} <= {0.25 * scale} THEN {leaf(1, 1)} ELSE {leaf(1, 15)} END"
+    return f"round(power(2.0, -(({first}) + ({second})) / (2 * {_c_sql(16)})), 6)"
+
+
+_KEY_SQL = "concat_ws('|', {0}, CAST(epoch(window_start) AS BIGINT))"
+_LOGS_HOUR_SQL = LOG_BASE_SQL.replace("1 day", "1 hour")
+_OUT = "(greatest({v} - {hi}, 0) + greatest({lo} - {v}, 0))"
+
+
+def _box_out(lo, hi):
+    return " + ".join(_OUT.format(v=v, lo=l, hi=h) for v, l, h in zip(("value_p50", "value_max"), lo, hi))
+
+
+def _cut_sql():
+    """Score of the three-node model: cut off at the root with the share its box grows by, else judged at a leaf."""
+    root, left, right = FIXED_CUT
+
+    def leaf(node):
+        equal = float((1 - node[6] / 16) / (1 + np.log2(node[6] + 1.0)))
+        return f"CASE WHEN {_box_out(node[8], node[9])} > 0 THEN 0.5 ELSE {equal!r} END"
+
+    out = _box_out(root[8], root[9])
+    share = f"(({out}) / (({out}) + 200.0))"
+    below = f"(CASE WHEN value_p50 <= 50.0 THEN {leaf(left)} ELSE {leaf(right)} END)"
+    return f"round(({share} + (1 - {share}) * {below}) * log2(9.0), 6)"
+
+
+def _shape_sql(src, trees, samples):
+    return f"SELECT CAST(t AS INT) AS tree, least({samples}, n) AS sample, least({samples}, n) AS in_leaves, true AS \"binary\", true AS within_limit FROM (SELECT count(*) AS n FROM {src}), range(0, {trees}) r(t)"
+
+
 ORACLES = {
+    "m02_isolation_fit": f"{_LOGS_HOUR_SQL} {_shape_sql('feats', 200, 256)}",
+    "m03_fixed_forest": f"{_LOGS_HOUR_SQL} SELECT {_KEY_SQL.format('source, host')} AS key, {_isolation_sql('request_count', 'rate_5xx')} AS score FROM feats",
+    "m05_cut_fit": f"{METRIC_BASE_SQL} {_shape_sql('feats', 100, 512)}",
+    "m06_fixed_forest": f"{METRIC_BASE_SQL} SELECT {_KEY_SQL.format('host, metric')} AS key, {_cut_sql()} AS score FROM feats",
+    "m08_fixed_forest": f"""WITH {TEXT_SQL}, first AS (SELECT gram, row_number() OVER (ORDER BY gram) - 1 AS idx FROM vocab),
+      x AS (SELECT id, coalesce(sum(weight) FILTER (idx = 0), 0) AS a, coalesce(sum(weight) FILTER (idx = 1), 0) AS b FROM wt JOIN first USING (gram) GROUP BY id)
+      SELECT id, {_isolation_sql('a', 'b', 0.01)} AS score FROM x""",
+    "m10_fixed_autoencoder": f"""WITH {SPANS_SQL}, d AS (SELECT (SELECT count(*) FROM sv) + (SELECT count(*) FROM ov) + 2 AS dims)
+      SELECT trace_id, round(avg((CASE WHEN svc = 0 THEN 0 ELSE 1 END + 1 + status * status) / dims), 6) AS score FROM rk, d WHERE pos <= 64 AND n >= 3 GROUP BY trace_id""",
     "a29_vocabulary": f"WITH {SPANS_SQL} SELECT 'service' AS kind, service AS name, svc AS id FROM sv UNION ALL SELECT 'op', op, op_id FROM ov",
     "a30_trace_sequences": f"WITH {SPANS_SQL} SELECT trace_id, CAST(pos AS INT) AS pos, svc, op_id, round(dur_ms, 6) AS dur_ms, status FROM seq",
     "j03_span_ids": f"WITH {SPANS_SQL} SELECT svc, op_id, count(*) AS n FROM rk GROUP BY ALL",
