@@ -17,12 +17,12 @@ SYMBOLS = "#*$%&|<>"
 
 #: The statistic vector and the least spread that each coordinate is credited with.  Most clean texts have no symbol and no
 #: repetition at all, so the estimated spread of those coordinates is often zero; the floors state what is still ordinary.
-FLOORS = {"z_length": 0.06, "z_symbols": 0.5, "z_repeats": 0.12, "z_lines": 0.15}
+FLOORS = {"z_length": 0.06, "z_symbols": 0.4, "z_repeats": 0.16, "z_lines": 0.2}
 #: Share of rows that the covariance determinant is minimised over, concentration steps, and the squared distance beyond
-#: which a text is an outlier (six standard deviations).
+#: which a text is an outlier (seven standard deviations).
 CORE_SHARE = 0.75
 STEPS = 3
-CUT = 36.0
+CUT = 49.0
 #: Groups of fewer rows are estimated together: first per language, then all of them; fewer rows than LEAST give no verdict.
 MIN_GROUP = 50
 LEAST = 20
@@ -87,7 +87,7 @@ def vectors() -> dict[str, Column]:
 def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept), a row per row.
 
-    A row is kept unless it fails a base rule or its statistic vector lies further than six robust standard deviations from
+    A row is kept unless it fails a base rule or its statistic vector lies further than seven robust standard deviations from
     the centre of its (language, source) group.  Centre and covariance come from the minimum-covariance-determinant method:
     start at median and median deviation, then repeat concentration steps, each of which re-estimates from the three quarters
     of the group that lie nearest.  Rows that fail a base rule do not take part in the estimates.
