@@ -70,7 +70,7 @@ def test_every_source_gives_its_event(spark):
             assert d[k] == (pytest.approx(v) if isinstance(v, float) else v), (r.source, k)
         attrs = json.loads(d["attrs"])
         if r.source == "app":
-            assert attrs == {"tenant": "3"}
+            assert attrs == {"tenant": 3}
         if r.source == "mongodb":
             assert json.loads(attrs["attr"]) == {"a": {"b": 1}}
         if r.source.endswith("metrics"):

@@ -179,3 +179,15 @@ def test_a_cluster_without_shared_folder_is_told(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_attributes_keep_their_types(spark):
+    a, kv = parsed(spark, "app", '{"ts":"2024-01-01T00:00:00Z","tenant":3,"ok":true,"nest":{"a":[1,2.5]},"tenant":4}', "ts=2024-01-01T00:00:00Z msg=x tenant=3")
+    assert json.loads(a.attrs) == {"tenant": 4, "ok": True, "nest": {"a": [1, 2.5]}}
+    assert json.loads(kv.attrs) == {"tenant": "3"}
+    m, = parsed(spark, "node-metrics", json.dumps({"name": "cpu", "labels": {"instance": "h"}, "value": 0.42, "ts": "2024-01-01T00:00:00Z"}))
+    assert json.loads(m.attrs) == {"metric": "cpu", "value": 0.42, "instance": "h"}
+    d, = parsed(spark, "mongodb", '{"t":{"$date":"2024-01-01T00:00:00Z"},"s":"I","c":"C","msg":"m","attr":{"n":1,"ok":false}}')
+    assert json.loads(d.attrs)["attr"] == {"n": 1, "ok": False}
+    w, = parsed(spark, "waf", '{"timestamp":"1704067200000","action":"ALLOW","rateBasedRuleList":[{"limit":5}],"httpRequest":{"uri":"/"}}')
+    assert json.loads(w.attrs)["rate_based_rule_list"] == [{"limit": 5}]

@@ -157,8 +157,8 @@ def redact_headers(headers: Column) -> Column:
 
 def _waf(df: DataFrame) -> DataFrame:
     df = df.withColumn("r", _from_json(
-        "timestamp string, webaclId string, action string, terminatingRuleId string, rateBasedRuleList string, "
-        "nonTerminatingMatchingRules string, httpRequest struct<clientIp: string, uri: string, httpMethod: string, "
+        "timestamp string, webaclId string, action string, terminatingRuleId string, rateBasedRuleList variant, "
+        "nonTerminatingMatchingRules variant, httpRequest struct<clientIp: string, uri: string, httpMethod: string, "
         "country: string, headers: array<struct<name: string, value: string>>>"))
     r, h = F.col("r"), F.col("r.httpRequest")
     agents = F.filter(redact_headers(h["headers"]), lambda x: F.lower(x["name"]) == "user-agent")
@@ -199,7 +199,9 @@ def _app(df: DataFrame) -> DataFrame:
     at = lambda k: F.try_element_at(m, F.lit(k))
     ts = _first_of(m, "ts", "timestamp", "@timestamp")
     bad = F.map_contains_key(m, F.lit("latency_ms")) & at("latency_ms").try_cast("double").isNull()
-    rest = F.map_filter(m, lambda k, _: ~k.isin(*APP_KEYS))
+    # the other keys keep their types: numbers, booleans and nested values of a JSON record stay what they are
+    typed = _last_map(F.map_entries(F.from_json(_line(), "map<string,variant>")))
+    rest = F.map_filter(F.when(is_json, typed).otherwise(F.transform_values(m, lambda _, v: v.cast("variant"))), lambda k, _: ~k.isin(*APP_KEYS))
     level = F.coalesce(at("level"), at("severity"))
     return df.select(
         "value", F.when(bad, "bad_number").alias("reason"), ts.alias("ts_raw"), _iso(ts).alias("ts"),
@@ -289,7 +291,7 @@ def _mysql(df: DataFrame) -> DataFrame:
 
 
 def _mongodb(df: DataFrame) -> DataFrame:
-    df = df.withColumn("r", _from_json("t struct<`$date`: string>, s string, c string, ctx string, id string, msg string, host string, attr string"))
+    df = df.withColumn("r", _from_json("t struct<`$date`: string>, s string, c string, ctx string, id string, msg string, host string, attr variant"))
     r = F.col("r")
     ts = r["t"]["$date"]
     return df.select(
@@ -314,13 +316,14 @@ def _metric(df: DataFrame) -> DataFrame:
     df = df.withColumn("r", _from_json("name string, labels map<string,string>, value string, ts string"))
     r = F.col("r")
     number = r["value"].try_cast("double")
-    own = F.create_map(F.lit("metric"), r["name"], F.lit("value"), number.cast("string"))
+    own = F.create_map(F.lit("metric"), r["name"].cast("variant"), F.lit("value"), number.cast("variant"))
     labels = F.coalesce(r["labels"], F.create_map().cast("map<string,string>"))
+    typed = F.transform_values(labels, lambda _, v: v.cast("variant"))
     return df.select(
         "value", F.coalesce(_json_problem(r, F.trim(_line()).isin("{}", "null")), F.when(number.isNull(), "bad_number")).alias("reason"),
         r["ts"].alias("ts_raw"), _iso(r["ts"]).alias("ts"), _first_of(labels, "instance", "pod", "node").alias("host"),
         F.concat(r["name"], F.lit("="), number.cast("string")).alias("message"),
-        F.to_json(F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(labels, k)), labels)).alias("attrs"),
+        F.to_json(F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(labels, k)), typed)).alias("attrs"),
     )
 
 
