@@ -65,27 +65,39 @@ class Transducer:
         self.readings = [start]
         self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
 
-    def merged(self, word: bytes) -> list[int]:
-        """The definition: merge the pair of lowest rank, the leftmost first, until none is left.  For words of two tokens."""
+    def stays(self, left: bytes, right: bytes) -> bool:
+        """The definition, for one token or two: merge the pair of lowest rank, the leftmost first, until none is left.
+
+        True if no merge crosses from the left part to the right one and both end as single tokens; an empty left part asks
+        whether the right one is reached by merges at all.
+        """
+        word, get, never = left + right, self.ranks.get, 1 << 60
         parts = [word[i:i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            pair = parts[best] + parts[best + 1]
-            if pair not in self.ranks:
+        ranks = [get(x + y, never) for x, y in zip(parts, parts[1:])]
+        border = len(left)
+        while ranks:
+            best = min(ranks)
+            if best == never:
                 break
-            parts[best:best + 2] = [pair]
-        return [self.ranks[p] for p in parts]
+            at = ranks.index(best)
+            if at + 1 == border:
+                return False
+            border -= at + 1 < border
+            parts[at] += parts.pop(at + 1)
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], never)
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at], never)
+        return len(parts) == (2 if left else 1)
 
     def follows(self, last: int, token: int) -> bool:
+        """Whether a token may stand behind another one, or (last < 0) at the beginning."""
         known = self.fits.get((last, token))
         if known is None:
-            word = self.token[token] if last < 0 else self.token[last] + self.token[token]
-            known = self.merged(word) == ([token] if last < 0 else [last, token])
-            if last >= 0:
-                known = known and self.follows(-1, token)
             if len(self.fits) > 4 * MAX_STATES:
                 self.fits.clear()
-            self.fits[last, token] = known
+            known = self.fits[last, token] = self.stays(self.token[last] if last >= 0 else b"", self.token[token])
         return known
 
     def arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:

@@ -37,6 +37,12 @@ class Counter:
                 self.known[word] = n
         return n
 
+    def total(self, words: list[str]) -> int:
+        counts = list(map(self.known.get, words))
+        if None in counts:
+            counts = [self.of(w) if n is None else n for w, n in zip(words, counts)]
+        return sum(counts)
+
     def pieces(self, text: str) -> Iterator[list[str]]:
         """Pre-tokens of a text, a leaf's worth at a time."""
         if len(text) <= CHUNK:
@@ -65,7 +71,7 @@ class CountTree:
 
     @classmethod
     def of_text(cls, counter: Counter, text: str) -> CountTree:
-        return cls(counter, [("".join(p), len(p), sum(map(counter.of, p))) for p in counter.pieces(text)])
+        return cls(counter, [("".join(p), len(p), counter.total(p)) for p in counter.pieces(text)])
 
     @classmethod
     def of_leaves(cls, counter: Counter, text: str, chars: list[int], words: list[int], tokens: list[int]) -> CountTree:
@@ -150,7 +156,7 @@ class CountTree:
         new = []
         for k in range(count):
             part = words[k * per:(k + 1) * per]
-            new.append(("".join(part), len(part), sum(map(self.counter.of, part))))
+            new.append(("".join(part), len(part), self.counter.total(part)))
         self.leaves[first:slots] = new
         if per > 4 * LEAF:
             self._fill([leaf for text, _, _ in self.leaves for leaf in self._split(text)])
@@ -165,7 +171,7 @@ class CountTree:
             low, high = low // 2, high // 2
 
     def _split(self, text: str) -> list[tuple[str, int, int]]:
-        return [("".join(p), len(p), sum(map(self.counter.of, p))) for p in self.counter.pieces(text)]
+        return [("".join(p), len(p), self.counter.total(p)) for p in self.counter.pieces(text)]
 
 
 TREE = "leaf_chars array<int>, leaf_words array<int>, leaf_tokens array<int>"
