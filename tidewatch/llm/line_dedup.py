@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import join_by_key, stored, text_or_empty
+from tidewatch.llm.common import join_by_key, prefiltered, stored, text_or_empty
 
 #: Lines of fewer characters (headings, list marks) are left alone.
 MIN_CHARS = 20
 #: Lines within so many edits of an earlier line are its repetition.  The partition below is the one for this threshold.
 THRESHOLD = 1
-#: Groups of more lines are split by a longer shared part before any pair is made.
+#: Groups of more lines are split by a longer shared part before any pair is made: the part that may differ is cut in so many.
 GROUP = 32
+PARTS = 4
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def near_lines(lines: DataFrame, texts_of) -> DataFrame:
 
     ``lines`` has h, first (document and position of the first occurrence) and entries; ``texts_of`` fetches the lines that are
     candidates.  Groups of up to GROUP lines give their pairs.  A larger group is split: each of its lines is entered again for
-    both halves of its gap, so that two lines meet only if they share still more, down to a gap of one character, where all lines
+    the PARTS parts of its gap, so that two lines meet only if they share still more, down to a gap of one character, where all lines
     of one length are within one edit and only the earliest is paired with the others; insertions go on to an empty gap, which
     at most one line can index.  So no pairs are made beyond GROUP per line and level, and none are lost.
     """
@@ -71,13 +72,13 @@ def near_lines(lines: DataFrame, texts_of) -> DataFrame:
     while not large.isEmpty():
         one = F.col("b") - F.col("a") == 1
         pairs += [_star(large.filter(one & ~F.col("longer")), F.col("first")), _star(large.filter("a = b"), F.col("longer"))]
-        middle = ((F.col("a") + F.col("b")) / 2).cast("int")
-
-        def gap(a: Column, b: Column) -> Column:
-            return F.struct(a.alias("a"), b.alias("b"))
-
         a, b = F.col("a"), F.col("b")
-        gaps = F.when(b - a > 1, F.array(gap(a, middle), gap(middle, b))).when(one, F.array(gap(a, a), gap(b, b)))
+        width = b - a
+        parts = F.least(width, F.lit(PARTS))
+        border = lambda i: a + F.floor(width * i / parts).cast("int")
+        split = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(border(i).alias("a"), border(i + 1).alias("b")))
+        empty = F.array(*[F.struct(x.alias("a"), x.alias("b")) for x in (a, b)])
+        gaps = F.when(one, empty).otherwise(split)
         finer = large.filter("a < b").select("h", "first", "longer", F.explode(gaps).alias("g")).select(
             "h", "first", "longer", "g.*").distinct().join(texts, "h")
         length = F.length("line") - F.when(F.col("longer"), 1).otherwise(0)
@@ -184,9 +185,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.first("entries").alias("entries")), "lines")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        at = wanted.select(F.col("h").alias("_h"), F.col("first.doc_id").alias("_doc"), F.col("first.pos").alias("_pos"))
-        return found.join(at, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("pos") == F.col("_pos")) & (F.col("h") == F.col("_h"))) \
-            .select("h", "line").dropDuplicates(["h"])
+        at = wanted.select(F.col("h").alias("_line"), F.col("first.doc_id").alias("_doc"), F.col("first.pos").alias("_pos"))
+        near = prefiltered(found.select("doc_id", "pos", "line", "h"), "h", wanted.select("h"))
+        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("pos") == F.col("_pos")) & (F.col("h") == F.col("_line"))
+        return near.join(at, same).select("h", "line").dropDuplicates(["h"])
 
     near = near_lines(lines, texts_of).withColumn("near", F.lit(True))
     hit = lines.join(near, "h", "left").filter("near or n > 1").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
