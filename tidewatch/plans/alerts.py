@@ -334,6 +334,16 @@ ORACLES = {
     "t01c_product_listing": f"WITH {_SHOP_SQL} SELECT * FROM p ORDER BY product_id",
     "t01d_loudest_false_positives": f"WITH {LABELLED_SQL}, c AS (SELECT detector, metric_key, count(*) AS n FROM labelled WHERE label = 'false_positive' GROUP BY ALL) SELECT detector, metric_key, n FROM c QUALIFY row_number() OVER (PARTITION BY detector ORDER BY n DESC, metric_key DESC) = 1",
     "w04_latest_label": f"WITH {LABELLED_SQL} SELECT * FROM latest",
+    "w05_admitted_requests": f"""WITH RECURSIVE {COMMON_EVENTS_SQL}, per AS (
+      SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY second) AS i FROM (
+        SELECT "user", epoch_us(ts) // 1000000 AS second, count(*) AS requests FROM common_events WHERE "user" IS NOT NULL GROUP BY ALL)),
+      walk AS (
+        SELECT "user", second, requests, i, least(requests, 3) AS admitted, [{{'s': second, 'a': least(requests, 3)}}] AS past FROM per WHERE i = 1
+        UNION ALL
+        SELECT "user", second, requests, i, admitted, list_append(past, {{'s': second, 'a': admitted}}) FROM (
+          SELECT p."user", p.second, p.requests, p.i, past, least(p.requests, 3 - coalesce(list_sum([x.a for x in past if p.second - x.s <= 86400]), 0)) AS admitted
+          FROM walk w JOIN per p ON p."user" = w."user" AND p.i = w.i + 1))
+      SELECT "user", second, requests, CAST(admitted AS BIGINT) AS admitted FROM walk""",
     "w05_rate_limit": f"""WITH {COMMON_EVENTS_SQL}, per AS (SELECT "user", epoch_us(ts) // 1000000 AS second, count(*) AS requests FROM common_events GROUP BY ALL),
       t AS (SELECT *, CAST(sum(requests) OVER (PARTITION BY "user" ORDER BY second RANGE BETWEEN 43200 PRECEDING AND CURRENT ROW) AS BIGINT) AS "trailing" FROM per) SELECT * FROM t WHERE "trailing" > 2""",
     "w07_without_repeats": f"WITH {ALERTS_SQL}, g AS (SELECT id, created_at - lag(created_at) OVER (PARTITION BY metric_key ORDER BY created_at, id) AS gap FROM alerts) SELECT id FROM g WHERE gap IS NULL OR gap > INTERVAL 120 MINUTE",
