@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpus_texts import changed, prose
 from tidewatch.llm import exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, url_filter
@@ -89,6 +90,48 @@ def test_near_groups_of_chains_and_passages(spark):
     assert 20 < len({w[2] for w in want}) < 110
 
 
+@pytest.mark.parametrize("slice_", [7, 4096])
+def test_intersections_of_blocks(slice_, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(near_dedup, "SLICE", slice_)
+    rng = np.random.default_rng(slice_)
+    pool = rng.integers(-2**63, 2**63 - 1, 60)
+    sides = [[rng.permutation(pool)[:rng.integers(1, 50)] for _ in range(k)] for k in (9, 6)]
+    got = near_dedup._intersections(*sides)
+    assert got.tolist() == [[len(set(a) & set(b)) for b in sides[1]] for a in sides[0]]
+
+
+def test_families_of_many_blocks(spark, monkeypatch):
+    """A family of which the first meetings leave many components: all its blocks are compared with each other."""
+    rng = random.Random(12)
+    base = prose(rng, 90)
+    rows = [(i, changed(rng, base, rng.randint(1, 7))) for i in range(90)]
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_dedup.shingle_sets(docs)
+    able = sets.select("node", "n")
+    meetings = spark.createDataFrame([(0, i) for i in range(1, 90)], "a long, b long")
+    none = spark.createDataFrame([], "node long, component long")
+    found = components(near_dedup.crossing(able, sets, meetings, none)).collect()
+    comp = {r.node: r.component for r in found}
+    assert [(i, comp.get(i, i)) for i, _ in rows] == [(i, c) for i, _, c in brute_components(rows)]
+
+
+def test_prefilter_loses_no_wanted_row(spark, monkeypatch):
+    from tidewatch.llm import common
+
+    rows = spark.range(20_000).select("id", F.lit("x").alias("_h2"))
+    wanted = spark.range(0, 20_000, 400)
+    left = common.prefiltered(rows, "id", wanted)
+    assert left.columns == rows.columns
+    kept = {r.id for r in left.collect()}
+    assert set(range(0, 20_000, 400)) <= kept and len(kept) < 300
+    monkeypatch.setattr(common, "FILTER_WORDS", 1)
+    assert set(range(0, 20_000, 400)) <= {r.id for r in common.prefiltered(rows, "id", wanted).collect()}
+    assert common.prefiltered(rows, "id", wanted.limit(0)).collect() == []
+
+
 def test_near_groups_of_nothing(nothing):
     assert near_dedup.near_groups(nothing).collect() == []
 

@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ MAX_WORDS = 400_000
 BLANK = re.compile(rb"[\x20\x09-\x0d]")
 #: Shingles whose signatures are computed together, so that the arrays stay in the processor's cache.
 TOGETHER = 32_768
+#: Nodes of a block, and shingles of a slice of it, when the rest of a family is compared.
+BLOCK, SLICE = 256, 4096
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD],
                    dtype=np.uint64)
 
@@ -158,8 +161,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     2. Nodes that share a band key with another node are candidates; their full sets are made once more and stored.
     3. A candidate of whose shingles more than a quarter occur in no other candidate cannot reach the similarity with anyone:
        an exact bound, which takes out nearly all chance meetings (shared passages) before any pair exists.
-    4. In every bucket the least node is paired with the others, and pairs are verified on the full sets.  Then only pairs are
-       left to be looked at whose nodes are in different components so far but share a bucket: they are verified too.
+    4. In every bucket the least node is paired with the others, and pairs are verified on the full sets.  Then only nodes are
+       left to be looked at that are in different components so far but were brought together by buckets (see ``crossing``).
     5. Components are contracted from the verified links.
 
     Texts without words have an empty set, are their own component and are kept, null and empty ones as well.  Rows that repeat an
@@ -202,16 +205,66 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
     pairs = buckets.join(stars, "key").filter("a < node").select("a", F.col("node").alias("b")).distinct()
     tried = stored(verified(pairs, sets), "near-stars")
     first = tried.filter("linked").select("a", "b")
-    comps = components(first)
-    placed = buckets.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    placed = stored(placed.join(mixed, "key"), "near-mixed")
-    other = placed.select(*[F.col(c).alias(f"{c}_b") for c in placed.columns])
-    fits = (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b"))
-    crossing = placed.join(other, (F.col("key") == F.col("key_b")) & (F.col("component") < F.col("component_b")) & fits) \
-        .select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct() \
-        .join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    return stored(first.unionByName(verified(crossing, sets).filter("linked").select("a", "b")), "near-links")
+    return stored(first.unionByName(crossing(able, sets, tried.select("a", "b"), components(first))), "near-links")
+
+
+def crossing(able: DataFrame, sets: DataFrame, meetings: DataFrame, comps: DataFrame) -> DataFrame:
+    """Verified links (a, b) between nodes that are in different components so far.
+
+    Nodes that are connected by meetings in buckets form a family.  Most families are one component already and need nothing.  In
+    the others every two nodes of different components are compared on their full sets, but no pair becomes a row: the nodes of a
+    family are dealt into blocks, a task takes two blocks, counts all intersections as products of sparse rows, and gives back
+    only links that join components, fewer than it has nodes.
+    """
+    families = components(meetings).withColumnRenamed("component", "family")
+    placed = able.join(families, "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")) \
+        .filter("x < y").select("family", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(mixed, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.select("node", "family", "component", "block", "blocks").join(sets.select("node", "n", "shingles"), "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "shingles")
+    return rows.groupBy("family", "i", "j").applyInPandas(_join_blocks, "a long, b long")
+
+
+def _join_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between two blocks, or inside one, that join components."""
+    pdf = pdf.sort_values("node")
+    left = pdf if (one := pdf["i"].iloc[0] == pdf["j"].iloc[0]) else pdf[pdf["block"] == pdf["i"]]
+    right = pdf if one else pdf[pdf["block"] == pdf["j"]]
+    if left.empty or right.empty:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    common = _intersections(left["shingles"].tolist(), right["shingles"].tolist())
+    union = left["n"].to_numpy()[:, None] + right["n"].to_numpy()[None, :] - common
+    apart = left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(apart & (100 * common >= PERCENT * union))):
+        x, y = root(left["component"].iloc[i]), root(right["component"].iloc[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((left["node"].iloc[i], right["node"].iloc[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, in slices of the shingles that both lists hold."""
+    shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
+    counts = np.zeros((len(left), len(right)), dtype=np.int64)
+    places = [[np.sort(np.searchsorted(shared, s[np.isin(s, shared, assume_unique=True)])) for s in side] for side in (left, right)]
+    for at in range(0, len(shared), SLICE):
+        x, y = (np.zeros((len(side), SLICE), dtype=np.float32) for side in places)
+        for matrix, side in ((x, places[0]), (y, places[1])):
+            for row, place in enumerate(side):
+                matrix[row, place[np.searchsorted(place, at):np.searchsorted(place, at + SLICE)] - at] = 1
+        counts += (x @ y.T).astype(np.int64)
+    return counts
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
