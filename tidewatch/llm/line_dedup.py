@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import join_by_key, prefiltered, stored, text_or_empty
 
-#: Lines of fewer characters (headings, list marks) are left alone.
+#: Lines of fewer characters (headings, list marks) take no part in the edit join; equal ones are removed on request (``short``).
 MIN_CHARS = 20
 #: Lines within so many edits of an earlier line are its repetition.  The partition below is the one for this threshold.
 THRESHOLD = 1
@@ -21,10 +21,15 @@ GROUP = 32
 PARTS = 4
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line, h) of every line that counts; h is a 128-bit digest of the line."""
+def _long(line: Column) -> Column:
+    return F.length(F.trim(line)) >= MIN_CHARS
+
+
+def occurrences(docs: DataFrame, short: bool = False) -> DataFrame:
+    """(doc_id, pos, line, h) of every line that counts, with ``short`` all that have a word; h is a 128-bit digest of the line."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("pos", "line"))
-    return lines.filter(F.length(F.trim("line")) >= MIN_CHARS).withColumn("h", F.unhex(F.md5("line")))
+    counts = _long(F.col("line")) | F.col("line").rlike(r"[^\x20\x09-\x0D]") if short else _long(F.col("line"))
+    return lines.filter(counts).withColumn("h", F.unhex(F.md5("line")))
 
 
 def _gap_key(line: Column, length: Column, a: Column, b: Column, longer: Column) -> Column:
@@ -174,14 +179,15 @@ def _codes(lines: list[str], width: int) -> np.ndarray:
     return out
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, drop): the positions of the lines that repeat an earlier line, for documents that have some.
 
     Earlier is by (doc_id, position).  A line goes if the same line stands earlier, or if an earlier line is within one edit.
     """
-    found = occurrences(docs)
+    found = occurrences(docs, short)
     line = F.col("line")
-    lines = stored(found.select("h", F.struct("doc_id", "pos").alias("at"), _halves(line).alias("entries")).groupBy("h").agg(
+    entries = F.when(_long(line), _halves(line)).otherwise(F.slice(_halves(line), 1, 0)) if short else _halves(line)
+    lines = stored(found.select("h", F.struct("doc_id", "pos").alias("at"), entries.alias("entries")).groupBy("h").agg(
         F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.first("entries").alias("entries")), "lines")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
@@ -198,16 +204,17 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text): every row with its text without the lines that repeat an earlier line.
 
-    Lines are cut at \\n; only lines of MIN_CHARS characters or more (blanks at the ends not counted) take part, the others stay.
+    Lines are cut at \\n.  Lines of MIN_CHARS characters or more (blanks at the ends not counted) take part; with ``short``, as in the
+    registered query and the pipeline, shorter lines that have a word go as well if the same line stands earlier.
     Null text is empty and has one empty line.  Rows that repeat an id are the same document: equal lines at equal positions do not
     remove each other.  Null ids sort first, and such rows share their positions.  The order of lines is kept.  Only doc_id and text
     are read.  An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return _without(rows, dropped_lines(docs)).select("doc_id", "n_lines", "n_dropped", "text")
+    return _without(rows, dropped_lines(docs, short)).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
@@ -223,12 +230,12 @@ def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
         "n_dropped", F.greatest(F.col("n_dropped"), F.lit(0)))
 
 
-def documents_without_repeats(docs: DataFrame) -> DataFrame:
+def documents_without_repeats(docs: DataFrame, short: bool = False) -> DataFrame:
     """The rows of ``docs`` with their repeated lines removed (and ``n_chars`` in step).
 
     Documents of which nothing but blanks is left go: all they said stands elsewhere.  Documents that lost no line stay as they are.
     """
-    out = _without(docs, dropped_lines(docs)).filter((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", "\n", " ")) != ""))
+    out = _without(docs, dropped_lines(docs, short)).filter((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", "\n", " ")) != ""))
     columns = [F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
                if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*columns)

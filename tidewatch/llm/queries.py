@@ -35,7 +35,7 @@ def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf, "documents"))
+    return line_dedup.dedup_lines(table(spark, sf, "documents"), short=True)
 
 
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
