@@ -3,7 +3,7 @@
 import hashlib
 from collections import Counter
 
-from tidewatch.llm import line_dedup
+from tidewatch.llm import line_dedup, url_filter
 
 
 def test_short_lines_go_when_they_repeat_exactly(spark):
@@ -18,3 +18,22 @@ def test_short_lines_go_when_they_repeat_exactly(spark):
     assert sum(r.n_dropped for r in out.values()) == 39 + 19 + 19
     kept = {r.doc_id: r.text for r in line_dedup.documents_without_repeats(docs, short=True).collect()}
     assert kept == {i: r.text for i, r in out.items()}
+
+
+def test_unlabelled_hosts_take_the_reputation_of_their_domain(spark):
+    """New hosts go to their domain, then to the suffix, then to the overall rate; labelled hosts keep their own bound."""
+    pages, labels = [], []
+    for i in range(1200):
+        pages.append((i, f"http://{['h%d.farm.biz' % (i // 4 % 20), 'h%d.site.org' % (i // 4 % 20), 'a.ware.biz', 'www.fine.com'][i % 4]}/x"))
+        labels.append((i, 0 if i % 2 == 0 else 1))
+    pages += [(5000 + i, f"http://{h}/x") for i, h in enumerate(["new.farm.biz", "new.site.org", "new.biz", "x.other.info"])] + [(None, None)]
+    pages, labels = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    before = {r.host: r for r in url_filter.filter_urls(pages, labels).collect()}
+    after = {r.host: r for r in url_filter.filter_urls(pages, labels, inherit=True).collect()}
+    new = {"new.farm.biz": "block", "new.site.org": "allow", "new.biz": "block", "x.other.info": "allow"}
+    assert {h: after[h].verdict for h in new} == new
+    assert all(after[h].host_bound is not None for h in new) and after[""].host_bound is None
+    assert before["new.farm.biz"].verdict == "allow" and before["new.farm.biz"].host_bound is None
+    assert all(after[h].host_bound == before[h].host_bound for h in before if h not in new)
+    nothing = url_filter.filter_urls(pages, labels.limit(0), inherit=True).collect()
+    assert len(nothing) == 1205 and {(r.verdict, r.host_bound) for r in nothing} == {("allow", None)}

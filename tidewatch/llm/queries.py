@@ -31,7 +31,7 @@ def op5_html_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf, "pages"), table(spark, sf, "labels")).drop("host_bound")
+    return url_filter.filter_urls(table(spark, sf, "pages"), table(spark, sf, "labels"), inherit=True).drop("host_bound")
 
 
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:

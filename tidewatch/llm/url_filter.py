@@ -71,8 +71,11 @@ def _strength(children: DataFrame, by: list[str], n: str, k: str) -> DataFrame:
                         .alias("strength"))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, n, k, lower): a lower posterior bound on the share of bad pages of each host that has outcomes.
+def host_reputation(outcomes: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(host, n, k, lower): a lower posterior bound on the share of bad pages of each host that has outcomes, or is in ``others``.
+
+    ``others`` has distinct hosts; those without outcomes count n = k = 0 and take the posterior mean of their domain, else of
+    their suffix, else the overall rate, each with the prior strength of the host level.  Without any outcome there is no bound.
 
     ``outcomes`` has host and bad (0/1).  Rates are shrunk from level to level: the overall rate is the prior of each suffix,
     the suffix's posterior mean that of each registered domain, the domain's that of each host; each level's prior strength is
@@ -89,26 +92,38 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
                                         .withColumnRenamed("strength", "m_s"))) \
         .crossJoin(F.broadcast(_strength(domains, ["suffix"], "dn", "dk").withColumnRenamed("strength", "m_d"))) \
         .crossJoin(F.broadcast(_strength(hosts, ["domain"], "n", "k").withColumnRenamed("strength", "m_h")))
-    rates = suffixes.crossJoin(F.broadcast(one)).withColumn("s_mean", _mean("sk", "sn", "rate", "m_s"))
-    rates = domains.join(rates, "suffix").withColumn("d_mean", _mean("dk", "dn", "s_mean", "m_d")) \
+    one = one if others is None else stored(one, "url-priors")
+    by_suffix = suffixes.crossJoin(F.broadcast(one)).withColumn("s_mean", _mean("sk", "sn", "rate", "m_s"))
+    rates = domains.join(by_suffix, "suffix").withColumn("d_mean", _mean("dk", "dn", "s_mean", "m_d")) \
         .select("domain", "d_mean", "m_h")
+    known = hosts.join(rates, "domain")
+    if others is not None:
+        new = others.join(hosts.select("host"), "host", "left_anti").select(
+            "host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), domain.alias("domain"), suffix.alias("suffix"))
+        # one domain may have most of the new hosts: spread by host
+        new = join_by_key(new, rates.select("domain", "d_mean"), ["domain"], "host", how="left")
+        new = join_by_key(new, by_suffix.select("suffix", "s_mean"), ["suffix"], "host", how="left")
+        new = new.crossJoin(F.broadcast(one.filter("rate is not null").select("rate", "m_h"))).withColumn(
+            "d_mean", F.coalesce("d_mean", "s_mean", "rate"))
+        known = known.select("host", "n", "k", "d_mean", "m_h").unionByName(new.select("host", "n", "k", "d_mean", "m_h"))
     a = F.col("k") + F.col("m_h") * F.col("d_mean")
     b = F.col("n") - F.col("k") + F.col("m_h") * (1 - F.col("d_mean"))
     lower = a / (a + b) - Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.join(rates, "domain").select("host", "n", "k", lower.alias("lower"))
+    return known.select("host", "n", "k", lower.alias("lower"))
 
 
 def _mean(k: str, n: str, prior: str, strength: str) -> Column:
     return (F.col(k) + F.col(strength) * F.col(prior)) / (F.col(n) + F.col(strength))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, inherit: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict, host_bound), one row per page.
 
     The longest fitting rule decides; without one, a page is blocked if the reputation of its host says that more than
     ``BAD_SHARE`` of its pages are bad, at the posterior bound.  Outcomes are the labelled pages: label rows whose id is the
     page's id, bad if the quality label is 0 (the largest outcome, if an id has several; null labels are no outcome).  Hosts
-    without outcomes, and pages without a host, have no reputation and are allowed.
+    without outcomes are allowed, or with ``inherit``, as in the registered query, judged by their domain, its suffix or the overall
+    rate.  Pages without a host have no reputation and are allowed.
 
     A null url has empty host and path.  Null page ids are judged by their url but match no label.  Repeated rows are judged
     one by one.  Only page_id and url are read of the pages.  An empty table gives no rows.
@@ -117,7 +132,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     outcome = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("page_id")) \
         .agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
-    reputation = host_reputation(parsed.filter("host <> ''").join(outcome, "page_id").select("host", "bad"))
+    named = parsed.filter("host <> ''")
+    reputation = host_reputation(named.join(outcome, "page_id").select("host", "bad"), named.select("host").distinct() if inherit else None)
     judged = join_by_key(parsed, stored(reputation.select("host", F.col("lower").alias("host_bound")), "reputation"),
                          ["host"], "page_id", how="left")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
