@@ -3,7 +3,9 @@
 import hashlib
 from collections import Counter
 
-from tidewatch.llm import line_dedup, url_filter
+import pytest
+
+from tidewatch.llm import html_text, line_dedup, url_filter
 
 
 def test_short_lines_go_when_they_repeat_exactly(spark):
@@ -37,3 +39,24 @@ def test_unlabelled_hosts_take_the_reputation_of_their_domain(spark):
     assert all(after[h].host_bound == before[h].host_bound for h in before if h not in new)
     nothing = url_filter.filter_urls(pages, labels.limit(0), inherit=True).collect()
     assert len(nothing) == 1205 and {(r.verdict, r.host_bound) for r in nothing} == {("allow", None)}
+
+
+STORY = "The council has agreed to build the bridge over the river, and work begins in the spring of next year. " * 20
+AROUND = '<nav><a href="/">Home</a></nav>{}<div id="comments" class="comments-area"><article class="comment-body"><p>' + "I liked it all. " * 20 + \
+    '</p></article></div><div class="related-posts"><p>More of the same is found on other pages of this site.</p></div><footer>Nobody</footer>'
+
+
+@pytest.mark.parametrize("page", [
+    '<article class="post tag-news category-alert">{}</article>', '<article class="alert">{}</article>', '<main class="sidebar">{}</main>',
+    '<div class="content has-sidebar"><p>{}</p></div>', '<div class="content sidebar-left"><article>{}</article></div>',
+    '<select><option>{}<p>{}', '<article><object><p>{}</p></article>', '<video src="a"><article><p>{}</p></article>', '<svg><article>{}</article>',
+    '<map><article>{}</article><map></map>', '<video><!-- <video> -->old</video><article>{}</article>'])
+def test_names_and_open_elements_do_not_lose_the_article(page):
+    body = page.replace("{}", "one", 1).replace("{}", STORY) if page.count("{}") == 2 else page.replace("{}", STORY)
+    assert html_text.main_text(AROUND.format(body)) == STORY.strip()
+
+
+def test_silent_elements_stay_silent():
+    page = "<article><p>" + STORY + "</p><svg><g><svg><text>x</text></svg><text>" + STORY + "</text></g></svg><select><option>" + STORY + "</select></article>"
+    assert html_text.main_text(page) == STORY.strip()
+    assert html_text.main_text("<script>" + STORY) == html_text.main_text("<textarea>" + STORY) == ""

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Elements that never hold text of the page, that stand around an article, that hold one, that start a block.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea "
                    "datalist map".split())
+#: Of the silent ones: their text is no markup at all, so without an end tag it goes to the end of the page.
+RAW = frozenset("script style textarea title iframe".split())
 AROUND = frozenset("nav header footer aside form button dialog menu fieldset label figure".split())
 CONTENT = frozenset("article main".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -31,6 +33,10 @@ BAD_NAME = re.compile(
     r"gdpr|notice\w*|notification\w*|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|promo\w*|sponsor\w*|related|"
     r"recommend\w*|share|sharing|social|sidebar\w*|side|widget\w*|menu\w*|nav|navbar|navigation|footer\w*|masthead|header|topbar|toolbar|"
     r"pagination|pager|tags?|toc|copyright|legal|disclaimer|complementary|contentinfo|search|skip)(?![a-z])")
+#: Class names that say what stands elsewhere on the page, or what a post is about.
+ASIDE_NAME = re.compile(r"(?:(?:has|with|without|no|is|not|show|hide)[-_]|tags?[-_]).*", re.S)
+#: An article of such a name is not the one of the page.
+MINOR_NAME = re.compile(r"(?<![a-z])(comments?|commentlist|reply|replies|respond|related|recommend\w*|promo\w*|sponsor\w*|ads?|advert\w*|widget\w*)(?![a-z])")
 GOOD_NAME = re.compile(r"(?<![a-z])(article|articlebody|post|entry|content|story|main|body|text|prose)(?![a-z])")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
                    r"<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -56,7 +62,11 @@ class Block:
 
 def blocks_of(page: str) -> list[tuple[str, float, tuple[int, ...]]]:
     """(text, evidence for content, path of element numbers) of each block with text, in page order."""
-    stack: list[tuple[str, int, float]] = []  # element, its number, evidence from its name
+    stack: list[tuple[str, int, float]] = []  # element, its number, its evidence
+    named: dict[int, float] = {}  # penalty for the name of an element
+    spared: set[int] = set()  # main, the first article, and the elements around them: their names cost nothing
+    article = False
+    silent: dict[str, dict[int, int]] = {}
     found: list[Block] = []
     now: Block | None = None
     count, at, links = 0, 0, 0
@@ -101,10 +111,16 @@ def blocks_of(page: str) -> list[tuple[str, float, tuple[int, ...]]]:
         if tag in SILENT:
             # the text of these is no markup: go on behind the end tag
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                if tag == "head" and end is None:
-                    end = re.compile(r"(?=<body[\s>])", re.I).search(page, at)
-                at = end.end() if end else size
+                if tag in RAW:
+                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                    at = end.end() if end else size
+                    continue
+                if tag not in silent:
+                    silent[tag] = _ends(page, tag)
+                end = silent[tag].get(m.start())
+                if tag == "head" and end is None and (body := re.compile(r"(?=<body[\s>])", re.I).search(page, at)):
+                    end = body.end()
+                at = at if end is None else end  # without an end tag only the start tag is passed over
             continue
         if tag == "br":
             text(" ")
@@ -120,27 +136,52 @@ def blocks_of(page: str) -> list[tuple[str, float, tuple[int, ...]]]:
             stack.pop()
         count += 1
         links += tag == "a"
-        stack.append((tag, count, _evidence(tag, attributes)))
+        score, penalty, minor = _evidence(tag, attributes)
+        stack.append((tag, count, score))
+        if penalty:
+            named[count] = penalty
+        if tag == "main" or tag == "article" and not article and not minor:
+            article = article or tag == "article"
+            spared.update(n for _, n, _ in stack)
     out = []
     for b in found:
         line = " ".join("".join(b.parts).split())
         if line:
-            out.append((line, b.score + _own(line, b), b.path))
+            names = sum(named[n] for n in b.path if n in named and n not in spared) if named else 0.0
+            out.append((line, b.score + names + _own(line, b), b.path))
     return out
 
 
-def _evidence(tag: str, attributes: str) -> float:
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each element of a kind begins and ends; those without an end tag of their own are left out."""
+    token = re.compile(rf"<!--.*?(?:-->|\Z)|<script[\s>].*?(?:</script\s*>|\Z)|<(/?){re.escape(tag)}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I | re.S)
+    opened: list[int] = []
+    ends = {}
+    for m in token.finditer(page):
+        if m.group(1) == "/":
+            if opened:
+                ends[opened.pop()] = m.end()
+        elif m.group(1) == "" and not m.group(0).endswith("/>"):
+            opened.append(m.start())
+    return ends
+
+
+def _evidence(tag: str, attributes: str) -> tuple[float, float, bool]:
+    """Evidence from an element and what its name adds against it; whether the name is one of comments or teasers."""
     score = W_CONTENT if tag in CONTENT else W_AROUND if tag in AROUND else 0.0
+    penalty, minor = 0.0, False
     if attributes and tag not in ("body", "html"):
         names = " ".join(x or y or z for _, x, y, z in NAMED.findall(attributes)).lower()
+        names = " ".join(x for x in names.split() if not ASIDE_NAME.fullmatch(x))
         if names:
+            minor = MINOR_NAME.search(names) is not None
             if BAD_NAME.search(names):
-                score += W_BAD_NAME
+                penalty = W_BAD_NAME
             elif GOOD_NAME.search(names):
                 score += W_GOOD_NAME
         if HIDDEN.search(attributes):
             score += W_HIDDEN
-    return score
+    return score, penalty, minor
 
 
 def _own(line: str, block: Block) -> float:
