@@ -1,11 +1,13 @@
 """Cases of the second review: each failed before its finding was settled."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
 
-from tidewatch.llm import html_text, line_dedup, url_filter
+from corpus_texts import prose
+from tidewatch.llm import html_text, line_dedup, quality, url_filter
 
 
 def test_short_lines_go_when_they_repeat_exactly(spark):
@@ -60,3 +62,19 @@ def test_silent_elements_stay_silent():
     page = "<article><p>" + STORY + "</p><svg><g><svg><text>x</text></svg><text>" + STORY + "</text></g></svg><select><option>" + STORY + "</select></article>"
     assert html_text.main_text(page) == STORY.strip()
     assert html_text.main_text("<script>" + STORY) == html_text.main_text("<textarea>" + STORY) == ""
+
+
+def test_repetition_that_passes_the_base_rules_can_reject(spark):
+    """Planted among clean texts: 40 to 48 percent of the words in repeated lines, or lines of two words that repeat."""
+    rng = random.Random(21)
+    rows = [(i, "\n".join(prose(rng, 10) for _ in range(rng.randint(8, 30)))) for i in range(400)]
+    planted = {}
+    for k in range(20, 25):  # k of 50 lines of ten words stand in pairs: 40 to 48 % of the words
+        lines = [prose(rng, 10) for _ in range(k // 2)]
+        planted[1000 + k] = "\n".join(lines * 2 + [prose(rng, 10) for _ in range(50 - len(lines) * 2)])
+    planted[2000] = "\n".join([prose(rng, 200)] + ["so there"] * 20)  # 90 % of the lines, 17 % of the words
+    docs = spark.createDataFrame(rows + list(planted.items()), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'web' AS source")
+    out = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert not any(out[i].base_failed or out[i].kept for i in planted)
+    assert all(out[i].kept for i, _ in rows)
+    assert quality._chi2_quantile(1 - 1e-6, 4) == pytest.approx(33.377, abs=0.001)

@@ -15,14 +15,15 @@ MAX_REPEAT_PERCENT = 50
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
-#: The statistic vector and the least spread that each coordinate is credited with.  Most clean texts have no symbol and no
-#: repetition at all, so the estimated spread of those coordinates is often zero; the floors state what is still ordinary.
-FLOORS = {"z_length": 0.06, "z_symbols": 0.4, "z_repeats": 0.16, "z_lines": 0.2}
-#: Share of rows that the covariance determinant is minimised over, concentration steps, and the squared distance beyond
-#: which a text is an outlier (seven standard deviations).
+#: The statistic vector and the least spread of each coordinate, which holds where the estimate is smaller.  Most clean texts have
+#: no symbol and no repetition at all, so the estimated spread of those coordinates is often zero; the floors state what is still
+#: ordinary, and leave each coordinate room to reject by itself what the base rules let pass.
+FLOORS = {"z_length": 0.06, "z_symbols": 0.4, "z_repeats": 0.13, "z_lines": 0.16}
+#: Share of rows that the covariance determinant is minimised over, concentration steps, and the share of normal vectors
+#: that lie beyond the squared distance at which a text is an outlier.
 CORE_SHARE = 0.75
 STEPS = 3
-CUT = 49.0
+TAIL = 1e-6
 #: Groups of fewer rows are estimated together: first per language, then all of them; fewer rows than LEAST give no verdict.
 MIN_GROUP = 50
 LEAST = 20
@@ -87,8 +88,8 @@ def vectors() -> dict[str, Column]:
 def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept), a row per row.
 
-    A row is kept unless it fails a base rule or its statistic vector lies further than seven robust standard deviations from
-    the centre of its (language, source) group.  Centre and covariance come from the minimum-covariance-determinant method:
+    A row is kept unless it fails a base rule or its statistic vector lies further from the centre of its (language, source)
+    group than all but a share of TAIL of normal vectors do (chi-square quantile of the squared robust distance).  Centre and covariance come from the minimum-covariance-determinant method:
     start at median and median deviation, then repeat concentration steps, each of which re-estimates from the three quarters
     of the group that lie nearest.  Rows that fail a base rule do not take part in the estimates.
 
@@ -104,7 +105,7 @@ def judge(docs: DataFrame) -> DataFrame:
     estimate = fit(pooled.filter("not base_failed and sized"))
     return with_distance(pooled, estimate, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.col("d2").alias("distance"), (~F.col("base_failed") & ~F.coalesce(F.col("d2") > CUT, F.lit(False))).alias("kept"))
+        F.col("d2").alias("distance"), (~F.col("base_failed") & ~F.coalesce(F.col("d2") > _chi2_quantile(1 - TAIL, len(FLOORS)), F.lit(False))).alias("kept"))
 
 
 def with_units(rows: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def fit(rows: DataFrame) -> DataFrame:
     spreads = centred.groupBy("unit").agg(
         *[F.first(f"c_{i}").alias(f"c_{i}") for i in range(len(names))],
         *[F.percentile_approx(F.abs(F.col(z) - F.col(f"c_{i}")), 0.5, 1000).alias(f"m_{i}") for i, z in enumerate(names)])
-    start = {f"s_{i}_{i}": (1.4826 * F.col(f"m_{i}")) ** 2 + floor**2 for i, floor in enumerate(FLOORS.values())}
+    start = {f"s_{i}_{i}": F.greatest((1.4826 * F.col(f"m_{i}")) ** 2, F.lit(floor**2)) for i, floor in enumerate(FLOORS.values())}
     start |= {f"s_{i}_{j}": F.lit(0.0) for i in range(len(names)) for j in range(i)}
     estimate = stored(_factor(spreads.select("*", *[c.alias(k) for k, c in start.items()])), "mcd")
     for _ in range(STEPS):
@@ -155,10 +156,14 @@ def _moments(core: DataFrame) -> DataFrame:
         *[F.avg(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"p_{i}_{j}") for i in range(len(names)) for j in range(i + 1)])
     widen = consistency(CORE_SHARE, len(names))
     floors = list(FLOORS.values())
+
+    def spread(i: int, j: int) -> Column:
+        return widen * (F.col(f"p_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}"))
+
     return sums.select(
         "unit", *[(F.col(f"o_{i}") + F.col(f"a_{i}")).alias(f"c_{i}") for i in range(len(names))],
-        *[(widen * (F.col(f"p_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) + (floors[i] ** 2 if i == j else 0.0))
-          .alias(f"s_{i}_{j}") for i in range(len(names)) for j in range(i + 1)])
+        *[(F.greatest(spread(i, j), F.lit(floors[i] ** 2)) if i == j else spread(i, j)).alias(f"s_{i}_{j}")
+          for i in range(len(names)) for j in range(i + 1)])
 
 
 def _factor(estimates: DataFrame) -> DataFrame:
@@ -186,11 +191,15 @@ def with_distance(rows: DataFrame, estimate: DataFrame, how: str = "inner") -> D
 
 def consistency(share: float, p: int) -> float:
     """Factor that makes the covariance of the nearest ``share`` of normal vectors estimate that of all of them."""
+    return share / _chi2_below(_chi2_quantile(share, p), p + 2)
+
+
+def _chi2_quantile(share: float, p: int) -> float:
     low, high = 0.0, 200.0
     for _ in range(100):
         mid = (low + high) / 2
         low, high = (mid, high) if _chi2_below(mid, p) < share else (low, mid)
-    return share / _chi2_below(low, p + 2)
+    return low
 
 
 def _chi2_below(x: float, p: int) -> float:
