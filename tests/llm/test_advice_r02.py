@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from corpus_texts import prose
-from tidewatch.llm import html_text, line_dedup, quality, url_filter
+from tidewatch.llm import html_text, line_dedup, near_dedup, quality, url_filter
 
 
 def test_short_lines_go_when_they_repeat_exactly(spark):
@@ -78,3 +78,12 @@ def test_repetition_that_passes_the_base_rules_can_reject(spark):
     assert not any(out[i].base_failed or out[i].kept for i in planted)
     assert all(out[i].kept for i, _ in rows)
     assert quality._chi2_quantile(1 - 1e-6, 4) == pytest.approx(33.377, abs=0.001)
+
+
+def test_an_id_of_several_texts_ties_all_of_them(spark):
+    """Id 9 repeats with the texts of ids 1 to 5: all of them are one component, also those between the least and the greatest."""
+    rng = random.Random(5)
+    texts = [prose(rng, 60) for _ in range(7)]
+    rows = [(i, texts[i]) for i in range(7)] + [(9, texts[i]) for i in range(1, 6)]
+    out = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(0, 0), (6, 6), (9, 1)} | {(i, 1) for i in range(1, 6)}

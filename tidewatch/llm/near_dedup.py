@@ -178,8 +178,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
                                    .alias("bands")), "near-members")
     found = links(docs, members)
     # one id with several texts ties the nodes of these texts
-    split_ids = members.filter("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")) \
-        .filter("a < b").select("a", "b")
+    named = members.filter("node is not null").select("doc_id", "node")
+    least = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("doc_id", "a")
+    split_ids = join_by_key(named, least, ["doc_id"], "node").filter("a < node").select("a", F.col("node").alias("b")).distinct()
     comps = components(found.unionByName(split_ids))
     out = join_by_key(members.drop("bands"), comps, ["node"], "doc_id", salts=16, how="left")
     component = F.coalesce("component", "node", "doc_id")
