@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import bpe, exact_dedup, html_text, line_dedup, mixing, near_dedup, quality, sharding, token_counts, url_filter
+from tidewatch.llm import (bpe, exact_dedup, html_text, line_dedup, mixing, near_dedup, quality, resampling, sharding, token_counts,
+                           url_filter)
 from tidewatch.llm.common import table
 from tidewatch.llm.vocabulary import production_vocabulary
 
@@ -52,9 +53,13 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.counts_under_edits(docs, *production_vocabulary())
 
 
+def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_minhash, op3_exact_dedup, op4_label_propagation_shards, op5_html_text, op6_url_filter, op7_line_dedup, op8_mixing, op9_quality_rules,
-    op10_token_counts)}
+    op10_token_counts, op11_importance_resampling)}
 
 ORACLES = {
     "op3_exact_dedup": """
