@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import prefiltered, stored, text_or_empty
+from tidewatch.llm.common import packed, prefiltered, text_or_empty
 from tidewatch.llm.suffix_sort import longest_shared
 
 #: A string of so many bytes that stands twice is removed.
@@ -115,20 +115,18 @@ def _anchors(length: int, span: int):
     return run
 
 
-def _shared(rows: DataFrame, key: str, wanted: bool = False) -> DataFrame:
+def _shared(rows: DataFrame, key: str) -> DataFrame:
     """Rows of the groups of ``key`` that have two rows or more, one of them open, with the first and last place of the group.
 
-    Rows need (rid, start, open).  Counts are combined per (key, salt) before they meet per key, and rows join the salted
+    Rows need (rid, start, open).  The keys that matter are counted first, on their own; most other rows leave by a bitmap of
+    these keys (a few more may stay).  Places are combined per (key, salt) before they meet per key, and rows join the salted
     groups, so a key that holds a third of the rows is spread over SALTS tasks.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("rid", "start"), F.lit(SALTS)).cast("int"))
+    wanted = packed(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("o")).filter("n > 1 and o").select(key), "suffix-keys")
+    salted = prefiltered(rows, key, wanted).withColumn("_salt", F.pmod(F.xxhash64("rid", "start"), F.lit(SALTS)).cast("int"))
     place = F.struct("rid", "start")
-    parts = salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("o"), F.min(place).alias("a"), F.max(place).alias("z"))
-    groups = parts.groupBy(key).agg(F.sum("n").alias("n"), F.max("o").alias("o"), F.min("a").alias("low"), F.max("z").alias("high")) \
-        .filter("n > 1 and o").select(key, "low", "high")
-    if wanted:  # most rows are alone: they leave before the second shuffle
-        groups = stored(groups, "suffix-groups")
-        salted = prefiltered(salted, key, groups.select(key))
+    parts = salted.groupBy(key, "_salt").agg(F.min(place).alias("a"), F.max(place).alias("z"))
+    groups = parts.groupBy(key).agg(F.min("a").alias("low"), F.max("z").alias("high")).filter(F.col("low") != F.col("high"))
     named = parts.select(key, "_salt").join(groups, key)
     return salted.join(named, [key, "_salt"]).drop("_salt")
 
@@ -171,10 +169,10 @@ def repeated_parts(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
        ones.  For these each window is hashed; rows of windows that meet the same partner at the same distance make one part,
        and the suffixes at both its ends are sorted in the same way.  Again the sort decides, the hashes only propose.
     """
-    anchors = stored(texts.select("rid", "body").mapInArrow(_anchors(length, span), "rid long, tag long, start int, last int, size int"), "suffix-anchors")
-    kept = _shared(anchors.withColumn("open", F.lit(True)), "tag", wanted=True).select("rid", "start", "last", "size", "tag")
-    kept = stored(kept, "suffix-starts")
-    busy = stored(_with_cuts(prefiltered(texts.select("rid", "body"), "rid", kept.select("rid").distinct()), kept, ["start", "size", "tag"]), "suffix-texts")
+    anchors = packed(texts.select("rid", "body").mapInArrow(_anchors(length, span), "rid long, tag long, start int, last int, size int"), "suffix-anchors")
+    kept = _shared(anchors.withColumn("open", F.lit(True)), "tag").select("rid", "start", "last", "size", "tag")
+    kept = packed(kept, "suffix-starts")
+    busy = packed(_with_cuts(prefiltered(texts.select("rid", "body"), "rid", kept.select("rid").distinct()), kept, ["start", "size", "tag"]), "suffix-texts")
     order = longest_shared(busy, "suffix")
     placed = order.join(kept.select("rid", "start", "last"), ["rid", "start"]) \
         .withColumn("since", F.greatest("start", F.expr(f"start + lcp - {length} + 1"))) \
@@ -182,7 +180,7 @@ def repeated_parts(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
     doubtful = _shared(placed.filter("open or first").select("rid", "start", "last", "since", "open", "tag"), "tag") \
         .select("rid", "start", "last", "since")
     windows = _with_cuts(busy, doubtful, ["start", "last", "since"]).mapInArrow(_windows(length), "rid long, start int, key long, open boolean")
-    met = _shared(stored(windows, "suffix-windows"), "key").filter("open")
+    met = _shared(packed(windows, "suffix-windows"), "key").filter("open")
     own = F.struct("rid", "start")
     met = met.withColumn("other", F.when(own == F.col("low"), F.col("high")).otherwise(F.col("low"))) \
         .select("rid", "start", F.col("other.rid").alias("to"), (F.col("start") - F.col("other.start")).alias("shift"))
@@ -191,7 +189,7 @@ def repeated_parts(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
         .agg(F.min("start").alias("start"), (F.count(F.lit(1)) + length - 1).cast("int").alias("size"))
     both = F.explode(F.array(F.struct("rid", "start", "size"), F.struct(F.col("to").alias("rid"), (F.col("start") - F.col("shift")).alias("start"), "size")))
     cuts = parts.select(both.alias("c")).groupBy("c.rid", "c.start").agg(F.max("c.size").alias("size")).withColumn("tag", F.lit(0).cast("long"))
-    rest = longest_shared(stored(_with_cuts(busy, cuts, ["start", "size", "tag"]), "suffix-rest"), "suffix-rest")
+    rest = longest_shared(packed(_with_cuts(busy, cuts, ["start", "size", "tag"]), "suffix-rest"), "suffix-rest")
     return order.unionByName(rest).filter(F.col("lcp") >= length).select("rid", "start", F.col("lcp").alias("size"))
 
 
@@ -228,7 +226,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, wit
     """
     body = text_or_empty().cast("binary")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"))
-    rows = stored(rows.withColumn("n_bytes", F.length("body").cast("long")).withColumn("sha", F.sha2("body", 256)), "suffix-bodies")
+    rows = packed(rows.withColumn("n_bytes", F.length("body").cast("long")).withColumn("sha", F.sha2("body", 256)), "suffix-bodies")
     parts = repeated_parts(rows.filter(F.col("n_bytes") >= length), length, span)
     touched = prefiltered(rows.select("rid", "body"), "rid", parts.select("rid").distinct())
     cut = _with_cuts(touched, parts, ["start", "size"]).mapInArrow(_cut_out, "rid long, removed long, spans long, kept_bytes binary")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import packed
 
 #: Bytes of suffixes that a task sorts at a time (a run), and bytes that one range of the order should hold.
 RUN_BYTES = 48 << 20
@@ -234,10 +234,10 @@ def longest_shared(texts: DataFrame, name: str) -> DataFrame:
                     .limit(4 * SAMPLES * ranges).collect()) if ranges > 1 else []
     splitters = sorted({bytes(sample[k * len(sample) // ranges]) for k in range(1, ranges)}) if sample else []
 
-    runs = stored(texts.select("rid", "body", "cuts").mapInArrow(_runs(splitters), RUN), f"{name}-runs")
+    runs = packed(texts.select("rid", "body", "cuts").mapInArrow(_runs(splitters), RUN), f"{name}-runs")
     done = runs.filter("range = -1").mapInArrow(_settled, SORTED)
     order = runs.filter("range >= 0").groupBy("range").applyInPandas(_merged, SORTED)
-    out = stored(order.unionByName(done), f"{name}-order")
+    out = packed(order.unionByName(done), f"{name}-order")
     edges = sorted((r.range, r.edge, r.rid, r.start, r.tag) for r in out.filter("edge is not null").collect())
     grown = []
     for a, b in zip(edges, edges[1:]):
