@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import (bpe, exact_dedup, html_text, line_dedup, mixing, near_dedup, quality, resampling, sharding, suffix_dedup,
-                           token_counts, url_filter)
+from tidewatch.llm import (bpe, exact_dedup, html_text, line_dedup, mixing, near_dedup, quality, resampling, sharding, spelling,
+                           suffix_dedup, token_counts, url_filter)
 from tidewatch.llm.common import table
 from tidewatch.llm.vocabulary import production_vocabulary
 
@@ -57,13 +57,18 @@ def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf, "documents"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.without_repeats(table(spark, sf, "documents"), with_bytes=False)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_minhash, op3_exact_dedup, op4_label_propagation_shards, op5_html_text, op6_url_filter, op7_line_dedup, op8_mixing, op9_quality_rules,
-    op10_token_counts, op11_importance_resampling, op13_suffix_dedup)}
+    op10_token_counts, op11_importance_resampling, op12_spelling_variants,
+    op13_suffix_dedup)}
 
 ORACLES = {
     "op3_exact_dedup": """
