@@ -57,6 +57,12 @@ def _least(values: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(since[:n], upto[span - 1:span - 1 + n])
 
 
+def _anchor_places(values: np.ndarray, span: int) -> np.ndarray:
+    """For each window the place of the least of its first ``span`` hashes, the leftmost of equal ones."""
+    least = _least((values & ~np.uint64(0xFFFFFF)) | np.arange(len(values), dtype=np.uint64), span)
+    return (least & np.uint64(0xFFFFFF)).astype(np.int64)
+
+
 def window_starts(body: np.ndarray, hashes: _Hashes, length: int, span: int) -> list[tuple[int, int, int, int]]:
     """(core, lo, hi, size): the windows of ``length`` bytes starting at lo..hi hold one anchor, with the hash ``core``.
 
@@ -70,8 +76,7 @@ def window_starts(body: np.ndarray, hashes: _Hashes, length: int, span: int) ->
     for at in range(0, n_windows, BLOCK):
         block = body[at:at + BLOCK + length - 1]
         values = hashes.of(block, core)
-        packed = _least((values & ~np.uint64(0xFFFFFF)) | np.arange(len(values), dtype=np.uint64), span)
-        anchors = (packed & np.uint64(0xFFFFFF)).astype(np.int64)
+        anchors = _anchor_places(values, span)
         begins = np.append(0, np.flatnonzero(np.diff(anchors)) + 1)
         names = values[anchors[begins]].view(np.int64)
         ends = np.append(begins[1:], len(anchors)) - 1
@@ -137,7 +142,13 @@ def _with_cuts(texts: DataFrame, cuts: DataFrame, columns: list[str]) -> DataFra
     return texts.select("rid", "body").join(lists, "rid")
 
 
-def _windows(length: int):
+def _windows(length: int, span: int, group: int):
+    """Groups of up to ``group`` neighbouring windows of one anchor, with a hash of what all of them hold in common.
+
+    Windows at the distances b, ..., b + group - 1 before the anchor share ``length - group + 1`` bytes.  Equal windows lie at
+    equal distances, so if any window of a group is repeated, these bytes are, in a group of the same distances.
+    """
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
@@ -146,15 +157,25 @@ def _windows(length: int):
                 for cut in cuts.as_py():
                     for at in range(cut["start"], cut["last"] + 1, BLOCK):
                         upto = min(cut["last"], at + BLOCK - 1)
-                        places = np.arange(at, upto + 1, dtype=np.int32)
+                        block = data[at:upto + length]
+                        anchors = _anchor_places(hashes.of(block, length - span + 1), span)
+                        places = np.arange(len(anchors))
+                        bucket = (anchors - places) // group
+                        begins = np.append(0, np.flatnonzero((np.diff(anchors) != 0) | (np.diff(bucket) != 0)) + 1)
+                        ends = np.append(begins[1:], len(anchors)) - 1
+                        keys = hashes.of(block, length - group + 1)[anchors[begins] - bucket[begins] * group]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(places), rid)), pa.array(places),
-                             pa.array(hashes.of(data[at:upto + length], length).view(np.int64)), pa.array(places >= cut["since"])],
-                            names=["rid", "start", "key", "open"])
+                            [pa.array(np.full(len(begins), rid)), pa.array((at + begins).astype(np.int32)), pa.array((at + ends).astype(np.int32)),
+                             pa.array(keys.view(np.int64)), pa.array(at + ends >= cut["since"]),
+                             pa.array(np.full(len(begins), cut["since"], np.int32))],
+                            names=["rid", "start", "last", "key", "open", "since"])
 
     return run
 
 
+WINDOWS = "rid long, start int, last int, key long, open boolean, since int"
+
+
 def repeated_parts(texts: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
     """(rid, start, size): parts of the texts (rid, body) all of whose strings of ``length`` bytes start somewhere else as well.
 
@@ -166,7 +187,7 @@ def repeated_parts(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
     2. For every other anchor the suffix at its first window is sorted among all of them, so that the longest prefix shared
        with any other is known.  It settles the windows that lie in that prefix, exactly.
     3. What is left are windows just after the place where a repeat begins, up to its first anchor in both texts, and unique
-       ones.  For these each window is hashed; rows of windows that meet the same partner at the same distance make one part,
+       ones.  For these groups of windows, and of what is left each window, are hashed; rows of windows that meet the same partner at the same distance make one part,
        and the suffixes at both its ends are sorted in the same way.  Again the sort decides, the hashes only propose.
     """
     anchors = packed(texts.select("rid", "body").mapInArrow(_anchors(length, span), "rid long, tag long, start int, last int, size int"), "suffix-anchors")
@@ -179,8 +200,10 @@ def repeated_parts(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
         .withColumn("open", F.col("since") <= F.col("last"))
     doubtful = _shared(placed.filter("open or first").select("rid", "start", "last", "since", "open", "tag"), "tag") \
         .select("rid", "start", "last", "since")
-    windows = _with_cuts(busy, doubtful, ["start", "last", "since"]).mapInArrow(_windows(length), "rid long, start int, key long, open boolean")
-    met = _shared(packed(windows, "suffix-windows"), "key").filter("open")
+    for group in sorted({max(1, span // 16), 1}, reverse=True):
+        windows = _with_cuts(busy, doubtful, ["start", "last", "since"]).mapInArrow(_windows(length, span, group), WINDOWS)
+        doubtful = _shared(packed(windows, "suffix-windows"), "key")
+    met = doubtful.filter("open")
     own = F.struct("rid", "start")
     met = met.withColumn("other", F.when(own == F.col("low"), F.col("high")).otherwise(F.col("low"))) \
         .select("rid", "start", F.col("other.rid").alias("to"), (F.col("start") - F.col("other.start")).alias("shift"))

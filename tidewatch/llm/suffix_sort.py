@@ -89,7 +89,9 @@ def _runs(splitters: list[bytes]):
 
 def _packed(part: dict) -> dict:
     kinds = {"shared": np.int32, "sizes": np.int32, "rids": np.int64, "starts": np.int32, "tags": np.int64, "twins": np.uint8}
-    return {k: v if k == "range" else b"".join(v) if k == "rest" else np.array(v, kinds[k]).tobytes() for k, v in part.items()}
+    rest = b"".join(part["rest"])
+    return {k: v if k == "range" else pa.compress(rest, codec="zstd", asbytes=True) if k == "rest" else np.array(v, kinds[k]).tobytes()
+            for k, v in part.items()}
 
 
 RUN_TYPES = pa.schema([("range", pa.int32()), *((n, pa.binary()) for n in ("shared", "sizes", "rest", "rids", "starts", "tags", "twins"))])
@@ -109,7 +111,8 @@ class _Run:
 
     def __init__(self, row) -> None:
         self.shared, self.sizes = np.frombuffer(row.shared, np.int32).tolist(), np.frombuffer(row.sizes, np.int32).tolist()
-        self.rest, self.at, self.n, self.text = row.rest, 0, -1, b""
+        self.rest = pa.decompress(row.rest, sum(self.sizes) - sum(self.shared), codec="zstd", asbytes=True)
+        self.at, self.n, self.text = 0, -1, b""
 
     def step(self) -> int | None:
         """Moves to the next suffix; its common prefix with the one before, None at the end."""
