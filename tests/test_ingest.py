@@ -72,9 +72,9 @@ def test_every_source_gives_its_event(spark):
         if r.source == "app":
             assert attrs == {"tenant": 3}
         if r.source == "mongodb":
-            assert json.loads(attrs["attr"]) == {"a": {"b": 1}}
+            assert attrs["attr"] == {"a": {"b": 1}}
         if r.source.endswith("metrics"):
-            assert attrs == {"metric": "cpu", "value": "0.42", "instance": "i-1", "zone": "z"}
+            assert attrs == {"metric": "cpu", "value": 0.42, "instance": "i-1", "zone": "z"}
         if r.source == "waf":
             assert attrs["country"] == "DE" and "Cookie" not in d["attrs"]
 
@@ -148,6 +148,15 @@ def test_readers(spark, tmp_path):
     (tmp_path / "in" / "deep" / "b.jsonl").write_text('{"k": 3}\n\n{"k": 4}\n')
     got = readers.read_records(spark, str(tmp_path / "in"), D.EVENT.__class__.fromDDL("k int"))
     assert sorted(r.k for r in got.where("k IS NOT NULL").collect()) == [1, 2, 3, 4]
+    names = "value double, reason string, file string, at int, r int, text string, record string, _corrupt string"
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "a.json").write_text('[{"value": 1.5, "reason": "x", "_corrupt": "y"}, {"file": "f", "at": 3}]')
+    (tmp_path / "odd" / "b.jsonl").write_text('{"value": 2.5, "text": "t", "record": "q"}\n{"r": 4}\nno object\n')
+    odd = readers.record_lines(spark, str(tmp_path / "odd"), D.EVENT.__class__.fromDDL(names)).collect()
+    assert sorted((r.reason, r.text) for r in odd if r.reason) == [("bad_json", "no object")]
+    assert sorted((tuple(r.record) for r in odd if not r.reason), key=repr) == sorted([
+        (1.5, "x", None, None, None, None, None, "y"), (None, None, "f", 3, None, None, None, None),
+        (2.5, None, None, None, None, "t", "q", None), (None, None, None, None, 4, None, None, None)], key=repr)
     (tmp_path / "slow.log").write_text(LINES["mysql"] + "\n" + LINES["mysql"].replace("1.500", "0.2") + "\n")
     blocks = D.normalize(readers.read_mysql_blocks(spark, str(tmp_path / "slow.log")), "mysql")
     assert [(r.severity, r.message, r.reason) for r in blocks.collect()] == [("WARN", "SELECT *\nFROM t", None), ("INFO", "SELECT *\nFROM t", None)]

@@ -29,7 +29,7 @@ def test_a_bracket_line_does_not_turn_a_file_into_an_array(spark, tmp_path):
     schema = T.StructType([T.StructField("k", T.LongType())])
     assert sorted(r.k for r in readers.read_records(spark, str(tmp_path), schema).collect()) == [1, 2, 3, 4, 5]
     bad = readers.record_lines(spark, str(tmp_path), schema).where("reason is not null").collect()
-    assert sorted(r.value for r in bad) == ["17", "[oops"]
+    assert sorted(r.text for r in bad) == ["17", "[oops"]
 
 
 def test_repeated_keys_count_once(spark):

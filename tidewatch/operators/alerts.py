@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.skew import BLOCK_ROWS, row_blocks, time_blocks, trailing_sums
-from tidewatch.schema import ALERT_LABELS
+from tidewatch.operators.skew import BLOCK_ROWS, join_on, row_blocks, time_blocks, trailing_sums
+from tidewatch.schema import ALERT, ALERT_LABELS
+from tidewatch.session import settle
 
 # Size of the recent set, of a similar list, of a listing and of a notification.
 RECENT, SIMILAR, PAGE, MAX_PAGE, NOTIFY = 200, 5, 100, 1000, 10
+# Recurrences over time run in blocks of so many seconds: as many rows a key at most.
+BLOCK_SECONDS = 1_000_000
 
 
 def to_alerts(anomalies: DataFrame, created_at: Column) -> DataFrame:
@@ -23,6 +27,30 @@ def to_alerts(anomalies: DataFrame, created_at: Column) -> DataFrame:
     return anomalies.withColumns({"id": new_id, "created_at": created_at, "label": F.lit(None).cast("string")})
 
 
+def full_alerts(found: DataFrame, events: DataFrame, created_at: Column) -> DataFrame:
+    """Anomalies, or fused verdicts, as complete rows of the alert table: with source, severity and the event itself.
+
+    ``found`` has event_id, detector, metric_key, value, baseline and score; anomalies have ``ts_seen`` and ``explanation`` too.
+    Verdicts (``is_anomaly``) that found nothing are left out.  ``events`` has one row per event_id; an anomaly whose event is
+    not there keeps its place with these columns null.
+    """
+    if "is_anomaly" in found.columns:
+        found = found.where("is_anomaly")
+    own = events.select("event_id", F.col("ts").alias("_ts"), F.col("source").alias("_source"), F.col("severity").alias("_severity"),
+                        F.to_json(F.struct(*[c for c in events.columns])).alias("raw_event"))
+    rows = found.join(own, "event_id", "left")
+    seen = F.unix_micros("_ts") / F.lit(1e6)
+    said = F.format_string("%s scored %.6g at %.6g, expected %.6g", "detector", "score", "value", "baseline")
+    have = set(found.columns)
+    rows = rows.withColumns({
+        "ts": F.col("ts") if "ts" in have else F.col("_ts"),
+        "ts_seen": F.coalesce(F.col("ts_seen"), seen) if "ts_seen" in have else seen,
+        "explanation": F.coalesce(F.col("explanation"), said) if "explanation" in have else said,
+        "source": F.col("_source"), "severity": F.col("_severity"),
+    })
+    return to_alerts(rows, created_at).select(*ALERT.names)
+
+
 def list_alerts(alerts: DataFrame, since=None, source=None, severity=None, limit: int = PAGE) -> DataFrame:
     """Newest first; ``limit`` between 1 and 1000."""
     if not 1 <= limit <= MAX_PAGE:
@@ -151,40 +179,50 @@ def over_rate_limit(events: DataFrame, key: str, limit: int, seconds: int) -> Da
     return out.where(~F.col("_halo") & (F.col("trailing") > limit)).select(key, "second", "requests", "trailing")
 
 
-def admitted_requests(events: DataFrame, key: str, limit: int, seconds: int = 60) -> DataFrame:
+def admitted_requests(events: DataFrame, key: str, limit: int, seconds: int = 60, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """A limiter that does not count what it rejects: (key, second, requests, admitted).
 
-    The recurrence runs over per-second counts, so one key brings at most one row per second, and it starts anew behind every
-    silence longer than ``seconds``: a group is one unbroken run of requests, not the history of a key.
+    The recurrence runs over per-second counts, so one key brings at most one row per second.  Time is cut into blocks; a block
+    whose first request comes more than ``seconds`` after the last one of the key starts anew, any other needs the last
+    ``seconds`` of the block before.  Blocks are worked off by their distance from such a start, all keys side by side, and the
+    admitted counts at their end are handed on.  A task sees one block of a key; there are as many rounds as the longest
+    unbroken row of blocks, whatever the number of requests.
     """
     per = events.where(F.col(key).isNotNull()).groupBy(key, F.unix_seconds("ts").alias("second")).agg(F.count(F.lit(1)).alias("requests"))
+    width = max(block_seconds, seconds + 1)
+    per = settle(per.withColumn("_block", F.floor(F.col("second") / F.lit(width))))
+    chain = Window.partitionBy(key).orderBy("_block")
+    spans = per.groupBy(key, "_block").agg(F.min("second").alias("_first"), F.max("second").alias("_last"))
+    anew = F.coalesce(F.col("_first") - F.lag("_last").over(chain) > seconds, F.lit(True))
+    rounds = spans.withColumn("_run", F.sum(anew.cast("int")).over(chain))
+    rounds = rounds.withColumn("_round", F.row_number().over(Window.partitionBy(key, "_run").orderBy("_block")) - 1)
+    rounds = settle(rounds.select(F.col(key).alias("_key"), F.col("_block").alias("_b"), "_round"))
+    rows = per.join(rounds, (F.col(key) == F.col("_key")) & (F.col("_block") == F.col("_b"))).select(per[key], "second", "requests", "_block", "_round")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("second")
-        sec, req = pdf["second"].to_numpy(), pdf["requests"].to_numpy()
+        sec, req, known = (pdf[c].tolist() for c in ("second", "requests", "admitted"))
         admitted, used, tail = [], 0, 0
         for i in range(len(sec)):
             while sec[i] - sec[tail] > seconds:
                 used -= admitted[tail]
                 tail += 1
-            admitted.append(int(min(req[i], limit - used)))
+            admitted.append(int(min(req[i], limit - used)) if known[i] < 0 else known[i])
             used += admitted[-1]
-        return pdf.assign(admitted=admitted)
-
-    key_type = per.schema[key].dataType.simpleString()
-    runs = unbroken_runs(per, key, "second", seconds)
-    out = runs.groupBy(key, "_run").applyInPandas(run, f"`{key}` {key_type}, second long, requests long, _run long, admitted long")
-    return out.drop("_run")
-
-
-def unbroken_runs(df: DataFrame, key: str, second: str, span: int) -> DataFrame:
-    """Add ``_run``: it grows by one behind each gap of more than ``span`` between neighbours of a key.
-
-    State that forgets after ``span`` does not pass from one run to the next.
-    """
-    w = Window.partitionBy(key).orderBy(second)
-    starts = F.coalesce(F.col(second) - F.lag(second).over(w) > span, F.lit(True)).cast("long")
-    return df.withColumn("_starts", starts).withColumn("_run", F.sum("_starts").over(w)).drop("_starts")
+        return pdf.assign(admitted=admitted)[pdf["admitted"] < 0]
+
+    schema = f"`{key}` {per.schema[key].dataType.simpleString()}, second long, requests long, _block long, admitted long"
+    out, done = None, None
+    for n in range((rounds.agg(F.max("_round")).first()[0] or 0) + 1):
+        open_ = rows.where(F.col("_round") == n).drop("_round").withColumn("admitted", F.lit(-1).cast("long"))
+        if done is not None:
+            tail = done.where((F.col("_block") + 1) * width - F.col("second") <= seconds).withColumn("_block", F.col("_block") + 1)
+            wanted = open_.select(F.col(key).alias("_key"), F.col("_block").alias("_b")).distinct()
+            tail = tail.join(wanted, (F.col(key) == F.col("_key")) & (F.col("_block") == F.col("_b")), "left_semi")
+            open_ = open_.unionByName(tail)
+        done = settle(open_.groupBy(key, "_block").applyInPandas(run, schema))
+        out = done if out is None else out.unionByName(done)
+    return out.drop("_block")
 
 
 def without_repeats(alerts: DataFrame, minutes: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -196,26 +234,69 @@ def without_repeats(alerts: DataFrame, minutes: int, block_rows: int = BLOCK_ROW
     return out.where(F.col("_gap").isNull() | (F.col("_gap") > minutes * 60_000_000)).select(*alerts.columns)
 
 
-def with_cooldown(alerts: DataFrame, minutes: int) -> DataFrame:
+def with_cooldown(alerts: DataFrame, minutes: int, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """(metric_key, second, id) of alerts emitted when each silences its key for ``minutes``.
 
-    Time counts in whole seconds; the first alert (by id) of a second stands for it.  The first alert behind a silence longer
-    than the span is always emitted, so each unbroken run of alerts of a key is folded for itself.
+    Time counts in whole seconds; the first alert (by id) of a second stands for it.  Time is cut into blocks of at least the
+    silence.  Where a block is entered depends on the last alert emitted before it, and only the alerts of its first ``minutes``
+    can be the entry.  So each block is summed up by the alert that it ends with for every possible entry; these jumps from
+    block to block are followed in doubled steps, and every block then emits from the entry that was reached.  A task sees one
+    block of a key, and the number of rounds is the logarithm of the number of blocks.
     """
     first = alerts.groupBy("metric_key", F.unix_seconds("created_at").alias("second")).agg(F.min("id").alias("id"))
     quiet = minutes * 60
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    width = max(block_seconds, quiet + 1)
+    rows = settle(first.withColumn("_block", F.floor(F.col("second") / F.lit(width))))
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        sec = np.sort(pdf["second"].to_numpy())
+        after = np.searchsorted(sec, sec + quiet, side="right").tolist()
+        last = list(range(len(sec)))
+        for i in range(len(sec) - 1, -1, -1):
+            if after[i] < len(sec):
+                last[i] = last[after[i]]
+        block = int(pdf["_block"].iloc[0])
+        n = min(len(sec), int(np.searchsorted(sec, block * width + quiet, side="right")) + 1)
+        return pd.DataFrame({"metric_key": pdf["metric_key"].iloc[0], "_block": block, "entry": sec[:n], "leave": sec[last[:n]] + quiet})
+
+    entries = settle(rows.groupBy("metric_key", "_block").applyInPandas(summary, "metric_key string, _block long, entry long, leave long"))
+    chain = Window.partitionBy("metric_key").orderBy("_block")
+    ahead = [F.lead(c, k).over(chain).alias(f"{c}_{k}") for k in (1, 2) for c in ("_block", "_first")]
+    blocks = settle(entries.groupBy("metric_key", "_block").agg(F.min("entry").alias("_first")).select("*", *ahead))
+    same = ["metric_key", "_block"]
+    leaving = join_on(entries, blocks, same).where("_block_1 is not null")
+    # the first entry of the next block behind the silence; if there is none, the first alert of the block after that
+    marks = leaving.select("metric_key", F.col("_block_1").alias("_into"), F.col("leave").alias("at"), F.lit(1).alias("kind"), F.struct(
+        "_block", "entry", "_block_2", "_first_2").alias("jump"), F.lit(None).cast("long").alias("entry"))
+    marks = marks.unionByName(entries.select("metric_key", F.col("_block").alias("_into"), F.col("entry").alias("at"), F.lit(0).alias("kind"),
+                                             F.lit(None).cast(marks.schema["jump"].dataType).alias("jump"), "entry"))
+    behind = Window.partitionBy("metric_key", "_into").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    found = marks.withColumn("next", F.min("entry").over(behind)).where("kind = 1")
+    jumps = settle(found.select(
+        "metric_key", F.col("jump._block").alias("_block"), F.col("jump.entry").alias("entry"),
+        F.when(F.col("next").isNotNull(), F.struct(F.col("_into").alias("b"), F.col("next").alias("e")))
+        .when(F.col("jump._block_2").isNotNull(), F.struct(F.col("jump._block_2").alias("b"), F.col("jump._first_2").alias("e"))).alias("to"),
+    ).where("to is not null"))
+    start = blocks.groupBy("metric_key").agg(F.min_by(F.struct("_block", F.col("_first").alias("entry")), "_block").alias("s"))
+    reached = settle(start.select("metric_key", "s._block", "s.entry"))
+    place, n = ["metric_key", "_block", "entry"], -1
+    while n != (now := reached.count()):
+        n = now
+        step = join_on(reached, jumps, place).select("metric_key", F.col("to.b").alias("_block"), F.col("to.e").alias("entry"))
+        reached = settle(reached.unionByName(step).distinct())
+        onward = jumps.select("metric_key", F.col("to.b").alias("_block"), F.col("to.e").alias("entry"), F.struct("_block", "entry").alias("from"))
+        jumps = settle(join_on(onward, jumps, place).select("metric_key", F.col("from._block").alias("_block"), F.col("from.entry").alias("entry"), "to"))
+
+    def emitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("second")
-        keep, last = [], None
+        keep, until = [], None
         for s in pdf["second"]:
-            keep.append(last is None or s - last > quiet)
-            last = s if keep[-1] else last
+            keep.append(until is None or s > until)
+            until = s + quiet if keep[-1] else until
         return pdf[keep]
 
-    runs = unbroken_runs(first, "metric_key", "second", quiet)
-    out = runs.groupBy("metric_key", "_run").applyInPandas(run, "metric_key string, second long, id string, _run long")
-    return out.drop("_run")
+    live = join_on(rows, reached, same).where(F.col("second") >= F.col("entry")).drop("entry")
+    return live.groupBy("metric_key", "_block").applyInPandas(emitted, "metric_key string, second long, id string, _block long").drop("_block")
 
 
 def platform_events(alerts: DataFrame, window: str = "5 minutes", min_hosts: int = 50) -> DataFrame:

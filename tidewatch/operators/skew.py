@@ -94,6 +94,86 @@ def row_blocks(
     return cold.unionByName(hot)
 
 
+def equal_depth_pieces(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    piece: str = "hour",
+    limit_rows: int = BLOCK_ROWS,
+    early: Column | None = None,
+) -> DataFrame:
+    """Add ``_piece``, a struct that orders like time inside a key; no (keys, _piece) holds more than about twice ``limit_rows``.
+
+    Pieces of time with more rows than the limit are cut at equal depth, by running counts per second and, where one second
+    is too much, per microsecond.  Rows of a single instant beyond the limit are dealt by a hash; those with ``early`` false
+    come after, those with ``early`` true before the dealt ones, as they do inside an instant.
+    """
+    none = F.lit(0).cast("long")
+    coarse = df.withColumn("_p0", F.date_trunc(piece, F.col(ts)))
+    level, parent, done = coarse, [*keys, "_p0"], []
+    for n, slice_ in ((1, F.unix_seconds(ts)), (2, F.unix_micros(ts))):
+        cold, level = split_hot(level, parent, limit_rows)
+        zeros = [none.alias(f"_p{k}") for k in range(n, 4)]
+        done.append(cold.select("*", *zeros))
+        if level is None:
+            break
+        # rows of hot pieces are stored between the levels, so each level is planned and computed once
+        level = settle(_cut_by_counts(level.withColumn("_slice", slice_), parent, limit_rows, f"_p{n}"))
+        parent = [*parent, f"_p{n}"]
+    else:
+        cold, level = split_hot(level, parent, limit_rows)
+        done.append(cold.withColumn("_p3", none))
+        if level is not None:
+            done.append(settle(_deal_instant(level, parent, ts, limit_rows, early)))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("_piece", F.struct("_p0", "_p1", "_p2", "_p3")).drop("_p0", "_p1", "_p2", "_p3")
+
+
+def join_on(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join by ``keys``, null keys meeting null keys."""
+    renamed = small.select(*[F.col(k).alias(f"_o_{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & df[k].eqNullSafe(renamed[f"_o_{k}"])
+    return df.join(renamed, cond).drop(*[f"_o_{k}" for k in keys])
+
+
+def _cut_by_counts(df: DataFrame, parent: Sequence[str], limit_rows: int, name: str) -> DataFrame:
+    """Number the stretches of about ``limit_rows`` rows of each parent piece, along ``_slice``."""
+    before = Window.partitionBy(*parent).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*parent, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    cuts = counts.withColumn(name, F.floor(ahead / F.lit(limit_rows)).cast("long")).drop("_n")
+    return join_on(df, cuts, [*parent, "_slice"]).drop("_slice")
+
+
+def _deal_instant(df: DataFrame, parent: Sequence[str], ts: str, limit_rows: int, early: Column | None) -> DataFrame:
+    """Deal the rows of the instant that makes a piece too large: it is the last one of the piece."""
+    sizes = df.groupBy(*parent).agg(F.max(ts).alias("_instant"), F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_n", F.ceil(F.col("_n") / F.lit(limit_rows)).cast("long"))
+    dealt = 1 + F.pmod(F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t and "variant" not in t]), F.col("_n"))
+    if early is not None:
+        dealt = F.when(early.isNull(), dealt).when(early, F.lit(0).cast("long")).otherwise(F.col("_n") + 1)
+    joined = join_on(df, sizes, parent)
+    return joined.withColumn("_p3", F.when(F.col(ts) < F.col("_instant"), F.lit(0).cast("long")).otherwise(dealt)).drop("_instant", "_n")
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], ts: str, value: str, name: str, piece: str = "hour", limit_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add the sum of ``value`` over the rows of a key up to each row; ``ts`` must not repeat inside a key.
+
+    Sums of equal-depth pieces are added up first, one row per piece, so no task sees a whole key.
+    """
+    rows = equal_depth_pieces(df, keys, ts, piece, limit_rows)
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy(*keys, "_piece").agg(F.sum(value).alias("_sum"))
+    ahead = ahead.withColumn("_ahead", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    upto = Window.partitionBy(*keys, "_piece").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("_part", F.sum(value).over(upto))
+    return join_on(summed, ahead, [*keys, "_piece"]).select(*df.columns, (F.col("_ahead") + F.col("_part")).alias(name))
+
+
 def time_blocks(df: DataFrame, seconds: str | Column, block_seconds: int, halo_seconds: int) -> DataFrame:
     """Add ``_block`` and ``_halo`` cut by time, for frames that look back a fixed span.
 

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.quantiles import exact_percentiles
+from tidewatch.operators.quantiles import exact_percentiles, rolling_percentiles
 from tidewatch.operators.skew import trailing_sums
 
 # Availability target, budget period and (seconds, share of budget, action) per horizon.
 AVAILABILITY = 0.995
-BUDGET_SECONDS = 30 * 86400
+SLO_DAYS = 30
+BUDGET_SECONDS = SLO_DAYS * 86400
 BURN_HORIZONS = ((3600, 0.02, "page"), (6 * 3600, 0.05, "page"), (3 * 86400, 0.10, "ticket"))
 # Upper edges (seconds) of the request latency histogram.
 LATENCY_EDGES = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
@@ -27,6 +28,22 @@ def service_levels(requests: DataFrame) -> DataFrame:
     return base.join(exact_percentiles(requests, ["service"], "latency_ms", {"p99_latency_ms": 0.99}), "service", "left")
 
 
+def rolling_service_levels(requests: DataFrame, days: int = SLO_DAYS) -> DataFrame:
+    """Service levels over the trailing ``days`` of each day with requests: (service, day, requests, availability, error_rate, p99_latency_ms).
+
+    Everything is built from counts per service and day (and value slice), so a window costs as much as its days, not its rows.
+    """
+    rows = requests.withColumn("_d", F.unix_date(F.to_date("ts")).cast("long"))
+    good = F.col("status").between(200, 299) | F.col("status").between(400, 499)
+    daily = rows.groupBy("service", "_d").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("ok"), F.count_if(F.col("status") >= 500).alias("bad"))
+    trailing = Window.partitionBy("service").orderBy("_d").rangeBetween(-(days - 1), 0)
+    n, ok, bad = (F.sum(c).over(trailing) for c in ("n", "ok", "bad"))
+    levels = daily.select("service", "_d", n.alias("requests"), (ok / n).alias("availability"), (bad / n).alias("error_rate"))
+    slow = rolling_percentiles(rows, ["service"], "_d", "latency_ms", {"p99_latency_ms": 0.99}, days)
+    return levels.join(slow, ["service", "_d"], "left").select(
+        "service", F.date_from_unix_date(F.col("_d").cast("int")).alias("day"), "requests", "availability", "error_rate", "p99_latency_ms")
+
+
 def error_budget_burn(requests: DataFrame, horizons=BURN_HORIZONS, availability: float = AVAILABILITY) -> DataFrame:
     """Share of the 30-day budget burned in each trailing horizon, per service and minute.
 

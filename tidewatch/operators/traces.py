@@ -99,6 +99,107 @@ def reconstruction_error(encoded: DataFrame, mean: np.ndarray, components: np.nd
     return encoded.select("trace_id", "x", "mask").mapInPandas(run, f"trace_id {kind}, score double")
 
 
+def sparse_spans(sequences: DataFrame, n_services: int, n_ops: int) -> DataFrame:
+    """(trace_id, hot, seconds, status): per span the two dimensions that are one, and the two measured values.
+
+    The same vectors as ``encode`` makes, of n_services + n_ops + 2 dimensions, without their zeros and without padding.
+    """
+    hot = F.transform("spans", lambda s: F.array(s["svc"], s["op_id"] + n_services))
+    return sequences.select("trace_id", F.flatten(hot).alias("hot"),
+                            F.transform("spans", lambda s: F.least(s["dur_ms"] / 1000, F.lit(MAX_SECONDS))).alias("seconds"),
+                            F.transform("spans", lambda s: s["status"].cast("double")).alias("status"))
+
+
+def _flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hot dimensions, two a span; measured values, two a span; spans of each trace)."""
+    lengths = pdf["seconds"].map(len).to_numpy(np.int64)
+    if not len(lengths) or not lengths.sum():
+        return np.zeros((0, 2), np.int64), np.zeros((0, 2)), lengths
+    measured = np.stack([np.concatenate(pdf["seconds"].to_list()), np.concatenate(pdf["status"].to_list())], axis=1)
+    return np.concatenate(pdf["hot"].to_list()).reshape(-1, 2).astype(np.int64), measured, lengths
+
+
+def _times(hot: np.ndarray, measured: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Sparse spans times a dense matrix of few columns."""
+    return matrix[hot[:, 0]] + matrix[hot[:, 1]] + measured @ matrix[-2:]
+
+
+def fit_sparse_autoencoder(spans: DataFrame, dims: int, k: int, seed: int = 42, extra: int = 8, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, components) of a linear autoencoder over all spans, by a randomised range finder.
+
+    The leading directions of the centred spans X are found by iterating Q <- orth(X'XQ) from a random Q of k + ``extra``
+    columns.  Tasks multiply their sparse spans with Q and add up the products per dimension, for the dimensions they meet
+    only; these sums are combined by Spark.  The driver holds matrices of dims x (k + extra), never dims x dims.
+    """
+    width = min(dims, k + extra)
+
+    def product(q: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        shift = mean @ q
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                hot, measured, _ = _flat(pdf)
+                y = _times(hot, measured, q) - shift
+                ones, at = np.unique(hot, return_inverse=True)
+                sums = np.zeros((len(ones), q.shape[1]))
+                np.add.at(sums, at.reshape(hot.shape)[:, 0], y)
+                np.add.at(sums, at.reshape(hot.shape)[:, 1], y)
+                parts = [*zip(ones.tolist(), sums), *zip((dims - 2, dims - 1), measured.T @ y), (-1, y.sum(axis=0))]
+                for dim, part in parts:
+                    total[dim] = total[dim] + part if dim in total else part
+            yield pd.DataFrame({"dim": list(total), "part": [p.tolist() for p in total.values()]})
+
+        rows = spans.mapInPandas(run, "dim int, part array<double>")
+        cells = rows.select("dim", F.posexplode("part").alias("c", "v")).groupBy("dim", "c").agg(F.sum("v").alias("v"))
+        out, whole = np.zeros((dims, q.shape[1])), np.zeros(q.shape[1])
+        for r in cells.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("row")).toLocalIterator():
+            values = [x.v for x in r.row]
+            if r.dim < 0:
+                whole = np.array(values)
+            else:
+                out[r.dim] = values
+        return out - np.outer(mean, whole)
+
+    counts = spans.select(F.explode("hot").alias("dim")).groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
+    values = spans.select(F.explode(F.arrays_zip("seconds", "status")).alias("s")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("s.seconds").alias("seconds"), F.sum("s.status").alias("status")).first()
+    mean = np.zeros(dims)
+    if not values.n:
+        return mean, np.eye(dims, min(k, dims))
+    for r in counts.toLocalIterator():
+        mean[r.dim] = r.n
+    mean[-2:] = values.seconds, values.status
+    mean /= values.n
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, width)))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(product(q, mean))[0]
+    small = q.T @ product(q, mean)
+    _, vectors = np.linalg.eigh((small + small.T) / 2)
+    return mean, q @ vectors[:, ::-1][:, :k]
+
+
+def sparse_reconstruction_error(spans: DataFrame, mean: np.ndarray, components: np.ndarray) -> DataFrame:
+    """(trace_id, score) as ``reconstruction_error``, from sparse spans and orthonormal ``components``.
+
+    What a projection leaves of a span is its squared length less that of its coordinates, so no span is written out.
+    """
+    dims = len(mean)
+    center, length = mean @ components, float(mean @ mean)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            hot, measured, lengths = _flat(pdf)
+            coords = _times(hot, measured, components) - center
+            own = 2 + (measured ** 2).sum(axis=1) - 2 * _times(hot, measured, mean[:, None])[:, 0] + length
+            left = np.maximum(own - (coords ** 2).sum(axis=1), 0.0) / dims
+            total = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=left, minlength=len(lengths))
+            yield pd.DataFrame({"trace_id": pdf["trace_id"], "score": total / np.maximum(lengths, 1)})
+
+    kind = spans.schema["trace_id"].dataType.simpleString()
+    return spans.mapInPandas(run, f"trace_id {kind}, score double")
+
+
 def flag_above_percentile(scored: DataFrame, q: float = ERROR_PERCENTILE) -> DataFrame:
     limit = exact_percentiles(scored, [], "score", {"threshold": q})
     return scored.join(F.broadcast(limit)).withColumn("is_anomaly", F.col("score") >= F.col("threshold"))  # one row

@@ -101,7 +101,9 @@ def _last_map(entries: Column) -> Column:
     """A map of (key, value) entries; of repeated keys the last counts, whatever the session says about duplicates."""
     named = F.filter(entries, lambda e: e["key"].isNotNull())
     lone = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(lone)
+    # the comparison of all keys with all later ones is only for records that do repeat a key
+    clear = F.size(F.array_distinct(named["key"])) == F.size(named)
+    return F.when(clear, F.map_from_entries(named)).otherwise(F.map_from_entries(lone))
 
 
 def _alb(df: DataFrame) -> DataFrame:
@@ -327,19 +329,30 @@ def _metric(df: DataFrame) -> DataFrame:
     )
 
 
+def _otel_value(value: Column) -> Column:
+    """A typed attribute value as a variant: a number, boolean, text, list or nested object, whatever the span says it is."""
+    get = lambda path, kind: F.try_variant_get(value, path, kind)
+    return F.coalesce(
+        _blank_to_null(get("$.stringValue", "string")).cast("variant"),
+        get("$.intValue", "string").try_cast("bigint").cast("variant"), get("$.doubleValue", "string").try_cast("double").cast("variant"),
+        get("$.boolValue", "boolean").cast("variant"), get("$.arrayValue.values", "variant"), get("$.kvlistValue.values", "variant"))
+
+
 def _otel(df: DataFrame) -> DataFrame:
     df = df.withColumn("r", _from_json(
         "traceId string, spanId string, parentSpanId string, name string, startTimeUnixNano string, endTimeUnixNano string, "
-        "status struct<code: string>, attributes array<struct<key: string, value: struct<stringValue: string, intValue: string, doubleValue: string>>>"))
+        "status struct<code: string>, attributes array<struct<key: string, value: variant>>"))
     r = F.col("r")
-    entry = lambda a: F.struct(a["key"].alias("key"), F.coalesce(_blank_to_null(a["value"]["stringValue"]), a["value"]["intValue"], a["value"]["doubleValue"]).alias("value"))
-    df = df.withColumn("_e", F.transform(r["attributes"], entry)).withColumn("a", _last_map(F.col("_e")))
+    entry = lambda a: F.struct(a["key"].alias("key"), _otel_value(a["value"]).alias("value"))
+    df = df.withColumn("_e", F.transform(r["attributes"], entry)).withColumn("_typed", _last_map(F.col("_e")))
     code = F.coalesce(r["status"]["code"].try_cast("int"), _lookup(r["status"]["code"], OTEL_STATUS).cast("int"))
     nanos = {n: F.coalesce(r[c], F.lit("0")).try_cast("bigint") for n, c in (("_start", "startTimeUnixNano"), ("_end", "endTimeUnixNano"))}
     df = df.withColumns(nanos)
     start, end = F.col("_start"), F.col("_end")
     ms = (end - start) / F.lit(1e6)
-    at = lambda k: F.try_element_at("a", F.lit(k))
+    typed = lambda k: F.try_element_at("_typed", F.lit(k))
+    at = lambda k: F.try_variant_get(typed(k), "$", "string")
+    rest = F.map_filter("_typed", lambda k, v: v.isNotNull() & ~k.isin("service.name", "http.status_code"))
     return df.select(
         "value",
         F.coalesce(_json_problem(r, F.trim(_line()).isin("{}", "null")), F.when(start.isNull() | end.isNull(), "bad_number")).alias("reason"),
@@ -349,8 +362,8 @@ def _otel(df: DataFrame) -> DataFrame:
         F.format_string("%s (%.1fms)", F.coalesce(r["name"], F.lit("?")), ms).alias("message"),
         F.to_json(F.struct(
             r["traceId"].alias("trace_id"), r["spanId"].alias("span_id"), r["parentSpanId"].alias("parent_span_id"),
-            r["name"].alias("name"), at("service.name").alias("service.name"), at("http.status_code").alias("http.status_code"),
-            code.alias("status_code"))).alias("attrs"),
+            r["name"].alias("name"), typed("service.name").alias("service.name"), typed("http.status_code").alias("http.status_code"),
+            code.alias("status_code"), F.when(F.size(rest) > 0, rest).alias("attributes"))).alias("attrs"),
     )
 
 
@@ -413,11 +426,52 @@ def with_metric_columns(events: DataFrame) -> DataFrame:
 
 
 def merge_log_body(record: Column, field: str = "log") -> Column:
-    """Merge a JSON object held in ``field`` of a string map into the record and drop the field.
+    """Merge a JSON object held in ``field`` of a string map into the record and drop the field; all values become text.
 
-    A body that is no JSON object stays where it is.
+    A body that is no JSON object stays where it is.  ``merge_typed_body`` keeps types.
     """
     body = F.try_element_at(record, F.lit(field))
     parsed = F.when(F.ltrim(body).startswith("{"), F.from_json(body, "map<string,string>"))
     rest = F.map_filter(record, lambda k, _: (k != field) & ~F.map_contains_key(parsed, k))
     return F.when(parsed.isNotNull(), F.map_concat(rest, parsed)).otherwise(record)
+
+
+MERGE_DEPTH = 3
+
+
+def _object(value: Column) -> Column:
+    """A variant that holds an object, as a map of variants; null for anything else."""
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value.cast("map<string,variant>"))
+
+
+def _merged(old: Column, new: Column, depth: int) -> Column:
+    """Two maps of variants as one: keys of ``new`` win, and where both hold an object the two are merged in turn.
+
+    Recursion ends at ``depth``: below it the new object takes the place of the old one.
+    """
+    def both(key: Column, value: Column) -> Column:
+        other = F.try_element_at(new, key)
+        taken = F.when(F.map_contains_key(new, key), other).otherwise(value)
+        if depth == 0:
+            return taken
+        ours, theirs = _object(value), _object(other)
+        inner = F.parse_json(F.to_json(_merged(ours, theirs, depth - 1)))
+        return F.when(ours.isNotNull() & theirs.isNotNull(), inner).otherwise(taken)
+
+    added = F.map_filter(new, lambda k, _: ~F.map_contains_key(old, k))
+    return F.map_concat(F.transform_values(old, both), added)
+
+
+def merge_typed_body(record: Column, field: str = "log", depth: int = MERGE_DEPTH) -> Column:
+    """Merge the JSON object in ``field`` of a JSON record (a string) into it: the record as a map of variants.
+
+    Numbers, booleans, nested objects and arrays keep their types; nested objects of both sides are merged key by key, down to
+    ``depth``.  The body may be a JSON text or an object already.  A body that is neither stays where it is; a record that is no JSON object
+    gives null.
+    """
+    top = F.when(F.ltrim(record).startswith("{"), F.from_json(record, "map<string,variant>"))
+    held = F.try_element_at(top, F.lit(field))
+    text = F.try_variant_get(held, "$", "string")
+    body = F.coalesce(F.when(F.ltrim(text).startswith("{"), _object(F.try_parse_json(text))), _object(held))
+    rest = F.map_filter(top, lambda k, _: k != field)
+    return F.when(body.isNotNull(), _merged(rest, body, depth)).otherwise(top)

@@ -8,12 +8,15 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from tidewatch.schema import ALERT, EVENT
 
 # Topics the collectors publish to.
 TOPICS = ("logs.app", "logs.nginx")
 MYSQL_SEPARATOR = "# Time: "
+# Columns of a topic record that the jobs use.
+TOPIC_RECORD = "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp"
 
 
 def read_events_json(spark: SparkSession, path: str, schema: T.StructType = EVENT) -> DataFrame:
@@ -35,16 +38,16 @@ def read_raw_zone(spark: SparkSession, path: str, merge_schema: bool = False) ->
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The records of ``record_lines`` that could be read."""
-    return record_lines(spark, path, schema).where(F.col("reason").isNull()).select(*schema.names)
+    return record_lines(spark, path, schema).where(F.col("reason").isNull()).select("record.*")
 
 
 def record_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """(columns of ``schema``, value, reason) of JSON files that hold either one array or one object per line.
+    """(record, text, reason) of JSON files that hold either one array or one object per line.
 
     The first character of a file that is no blank tells which, found in the block at its start.  Object files are read line by
-    line and split like any text; a line that is no object keeps its text in ``value`` and gets a ``reason``.  Array files go
-    through the streaming parser, one file per task, because an array may be laid out in any way; only their names visit the
-    driver, which lists all files anyway.
+    line and split like any text; a line that is no object keeps its text in ``text`` and gets a ``reason``.  A record is a
+    struct of the ``schema``, so its fields may have any name.  Array files go through the streaming parser, one file per task, because
+    an array may be laid out in any way; only their names visit the driver, which lists all files anyway.
     """
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
@@ -52,15 +55,19 @@ def record_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     lines = lines.where(F.trim("value") != "")
     heads = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
     names = [r.file for r in heads.where(F.ltrim("head").startswith("[")).select("file").collect()]
-    raw = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    options = {"columnNameOfCorruptRecord": "_corrupt"}
+    spare = "_corrupt"
+    while spare in schema.names:
+        spare += "_"
+    raw = T.StructType([*schema.fields, T.StructField(spare, T.StringType())])
+    options = {"columnNameOfCorruptRecord": spare}
+    record = F.struct(*[F.col("r")[n].alias(n) for n in schema.names]).alias("record")
     parsed = lines.where(~F.col("file").isin(names)) if names else lines
     parsed = parsed.select("value", F.from_json("value", raw, options).alias("r"))
-    broken = F.col("r").isNull() | F.col("r._corrupt").isNotNull() | ~F.ltrim("value").startswith("{")
-    out = parsed.select("r.*", "value", F.when(broken, "bad_json").alias("reason")).drop("_corrupt")
+    broken = F.col("r").isNull() | F.col("r")[spare].isNotNull() | ~F.ltrim("value").startswith("{")
+    out = parsed.select(record, F.col("value").alias("text"), F.when(broken, "bad_json").alias("reason"))
     if names:
-        whole = spark.read.schema(raw).options(multiLine=True, **options).json([unquote(n) for n in names])
-        out = out.unionByName(whole.select(*schema.names, F.col("_corrupt").alias("value"), F.when(F.col("_corrupt").isNotNull(), "bad_json").alias("reason")))
+        whole = spark.read.schema(raw).options(multiLine=True, **options).json([unquote(n) for n in names]).select(F.struct("*").alias("r"))
+        out = out.unionByName(whole.select(record, F.col("r")[spare].alias("text"), F.when(F.col("r")[spare].isNotNull(), "bad_json").alias("reason")))
     return out
 
 
@@ -115,16 +122,29 @@ def decode_batch(records: DataFrame, data: Column, schema: T.StructType | str) -
     return out.select("*", reason.alias("reason"), F.when(reason.isNull(), event).alias("event")).drop("_text")
 
 
-def stream_events(spark: SparkSession, path: str, schema: T.StructType = EVENT, files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
+def _admitted(reader: DataStreamReader, files: int, bytes_: int | None) -> DataStreamReader:
+    """What one micro-batch may take: so many files, or so many bytes (at least one file)."""
+    return reader.option("maxFilesPerTrigger", files) if bytes_ is None else reader.option("maxBytesPerTrigger", f"{bytes_}b")
 
 
-def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+def stream_events(spark: SparkSession, path: str, schema: T.StructType = EVENT, files_per_trigger: int = 100,
+                  bytes_per_trigger: int | None = None) -> DataFrame:
+    return _admitted(spark.readStream.schema(schema), files_per_trigger, bytes_per_trigger).json(path)
+
+
+def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 100, bytes_per_trigger: int | None = None) -> DataFrame:
     """Log files as a stream of lines; the ingest job sends over-long ones to the error zone."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    return _admitted(spark.readStream, files_per_trigger, bytes_per_trigger).text(path)
+
+
+def stream_topic_files(spark: SparkSession, path: str, files_per_trigger: int = 100, bytes_per_trigger: int | None = None) -> DataFrame:
+    """Topic records from files, in the shape the connector gives them."""
+    return _admitted(spark.readStream.schema(TOPIC_RECORD), files_per_trigger, bytes_per_trigger).parquet(path)
 
 
-def stream_kafka(spark: SparkSession, servers: str, topics: Sequence[str] = TOPICS) -> DataFrame:
-    """Topic records as lines; needs the Kafka connector on the class path."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).load()
-    return raw.select(F.col("value").cast("string").alias("value"), "topic", "timestamp")
+def stream_kafka(spark: SparkSession, servers: str, topics: Sequence[str] = TOPICS, records_per_trigger: int | None = None) -> DataFrame:
+    """Topic records; needs the Kafka connector on the class path."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics))
+    if records_per_trigger is not None:
+        reader = reader.option("maxOffsetsPerTrigger", records_per_trigger)
+    return reader.load().select(*(c.split()[0] for c in TOPIC_RECORD.split(", ")))
