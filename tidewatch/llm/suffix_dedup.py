@@ -137,7 +137,7 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _with_cuts(texts: DataFrame, cuts: DataFrame, columns: list[str]) -> DataFrame:
-    """(rid, body, cuts): each text that has cuts, with all of them in order; at most one cut starts at a byte."""
+    """(rid, body, cuts): each text that has cuts, with all of them in order; cuts at one byte are kept side by side."""
     lists = cuts.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("cuts"))
     return texts.select("rid", "body").join(lists, "rid")
 
@@ -166,14 +166,14 @@ def _windows(length: int, span: int, group: int):
                         keys = hashes.of(block, length - group + 1)[anchors[begins] - bucket[begins] * group]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(begins), rid)), pa.array((at + begins).astype(np.int32)), pa.array((at + ends).astype(np.int32)),
-                             pa.array(keys.view(np.int64)), pa.array(at + ends >= cut["since"]),
-                             pa.array(np.full(len(begins), cut["since"], np.int32))],
-                            names=["rid", "start", "last", "key", "open", "since"])
+                             pa.array(keys.view(np.int64)), pa.array((at + ends >= cut["since"]) & (at + begins <= cut["until"])),
+                             pa.array(np.full(len(begins), cut["since"], np.int32)), pa.array(np.full(len(begins), cut["until"], np.int32))],
+                            names=["rid", "start", "last", "key", "open", "since", "until"])
 
     return run
 
 
-WINDOWS = "rid long, start int, last int, key long, open boolean, since int"
+WINDOWS = "rid long, start int, last int, key long, open boolean, since int, until int"
 
 
 def repeated_parts(texts: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
@@ -186,9 +186,11 @@ def repeated_parts(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
        keeps a window in.
     2. For every other anchor the suffix at its first window is sorted among all of them, so that the longest prefix shared
        with any other is known.  It settles the windows that lie in that prefix, exactly.
-    3. What is left are windows just after the place where a repeat begins, up to its first anchor in both texts, and unique
-       ones.  For these groups of windows, and of what is left each window, are hashed; rows of windows that meet the same partner at the same distance make one part,
-       and the suffixes at both its ends are sorted in the same way.  Again the sort decides, the hashes only propose.
+    3. Anchors with windows left, and one of each kind that shares their core, are sorted once more by the bytes read backwards from
+       the end of their last window.  That settles the windows between the place where a repeat begins and its first anchor.
+    4. What is left are unique windows, and short repeats whose windows all belong to one anchor.  For these groups of
+       windows, and of what remains each window, are hashed; rows of windows that meet the same partner at the same distance
+       make one part, and the suffixes at both its ends are sorted as before.  Again the sort decides, the hashes only propose.
     """
     anchors = packed(texts.select("rid", "body").mapInArrow(_anchors(length, span), "rid long, tag long, start int, last int, size int"), "suffix-anchors")
     kept = _shared(anchors.withColumn("open", F.lit(True)), "tag").select("rid", "start", "last", "size", "tag")
@@ -198,10 +200,16 @@ def repeated_parts(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
     placed = order.join(kept.select("rid", "start", "last"), ["rid", "start"]) \
         .withColumn("since", F.greatest("start", F.expr(f"start + lcp - {length} + 1"))) \
         .withColumn("open", F.col("since") <= F.col("last"))
-    doubtful = _shared(placed.filter("open or first").select("rid", "start", "last", "since", "open", "tag"), "tag") \
-        .select("rid", "start", "last", "since")
+    columns = ["rid", "start", "last", "since", "first", "open", "tag"]
+    doubtful = packed(_shared(placed.filter("open or first").select(*columns), "tag").select(*columns), "suffix-doubtful")
+    cuts = doubtful.select("rid", "start", (F.col("last") - F.col("start") + length).alias("size"), "tag")
+    back = longest_shared(packed(_with_cuts(busy, cuts, ["start", "size", "tag"]), "suffix-back"), "suffix-back", backwards=True)
+    until = F.least("last", F.when(F.col("lcp") >= length, F.expr(f"last + {length} - lcp - 1")).otherwise(F.col("last")))
+    doubtful = doubtful.join(back.select("rid", "start", "lcp"), ["rid", "start"]).withColumn("until", until) \
+        .withColumn("open", F.col("since") <= F.col("until"))
+    doubtful = _shared(doubtful.filter("open or first").select("rid", "start", "last", "since", "until", "open", "tag"), "tag")
     for group in sorted({max(1, span // 16), 1}, reverse=True):
-        windows = _with_cuts(busy, doubtful, ["start", "last", "since"]).mapInArrow(_windows(length, span, group), WINDOWS)
+        windows = _with_cuts(busy, doubtful, ["start", "last", "since", "until"]).mapInArrow(_windows(length, span, group), WINDOWS)
         doubtful = _shared(packed(windows, "suffix-windows"), "key")
     met = doubtful.filter("open")
     own = F.struct("rid", "start")
@@ -213,7 +221,9 @@ def repeated_parts(texts: DataFrame, length: int = LENGTH, span: int = SPAN) ->
     both = F.explode(F.array(F.struct("rid", "start", "size"), F.struct(F.col("to").alias("rid"), (F.col("start") - F.col("shift")).alias("start"), "size")))
     cuts = parts.select(both.alias("c")).groupBy("c.rid", "c.start").agg(F.max("c.size").alias("size")).withColumn("tag", F.lit(0).cast("long"))
     rest = longest_shared(packed(_with_cuts(busy, cuts, ["start", "size", "tag"]), "suffix-rest"), "suffix-rest")
-    return order.unionByName(rest).filter(F.col("lcp") >= length).select("rid", "start", F.col("lcp").alias("size"))
+    ahead = order.unionByName(rest).filter(F.col("lcp") >= length).select("rid", "start", F.col("lcp").alias("size"))
+    behind = back.filter(F.col("lcp") >= length).select("rid", (F.col("start") + F.col("size") - F.col("lcp")).alias("start"), F.col("lcp").alias("size"))
+    return ahead.unionByName(behind)
 
 
 def _cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return upto
 
 
-def _runs(splitters: list[bytes]):
+def _runs(splitters: list[bytes], turn: int):
     """Map side: sorts the suffixes of its texts in runs, keeps one of equal ones, cuts the run by range and front-codes it."""
 
     def settled(members: list[tuple]) -> pd.DataFrame:
@@ -77,7 +77,7 @@ def _runs(splitters: list[bytes]):
                 text = body.as_py()
                 for cut in cuts.as_py():
                     start, size = cut["start"], cut["size"]
-                    pending.append((text[start:start + size], rid, start, cut["tag"]))
+                    pending.append((text[start:start + size][::turn], rid, start, cut["tag"]))
                     held += size + 150
                 if held >= RUN_BYTES:
                     yield from map(_row, coded(pending))
@@ -215,11 +215,11 @@ def _settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["rid", "start", "size", "tag", "lcp", "first", "edge", "range"])
 
 
-def longest_shared(texts: DataFrame, name: str) -> DataFrame:
+def longest_shared(texts: DataFrame, name: str, backwards: bool = False) -> DataFrame:
     """(rid, start, size, tag, lcp, first): what each suffix shares with its neighbours in the order of all suffixes.
 
     ``texts`` has (rid long, body binary, cuts array<struct<start int, size int, tag long>>); a cut names the suffix at
-    ``start``, of which ``size`` bytes count, and carries a ``tag``.  ``lcp`` is the longest prefix the suffix shares with any
+    ``start``, of which ``size`` bytes count, and carries a ``tag``; ``backwards`` these bytes are read from their end.  ``lcp`` is the longest prefix the suffix shares with any
     other one (at most its size), ``first`` is false for a suffix that equals one before it.
 
     A task sorts its suffixes in runs of bounded size, keeps one of equal ones and front-codes the run, so a text that stands
@@ -227,17 +227,17 @@ def longest_shared(texts: DataFrame, name: str) -> DataFrame:
     MAX_RANGES at most), exchanged, and merged per range.  Ranges may split a family of suffixes that share a long prefix, so
     no family must fit in a task; the two suffixes at each cut are compared afterwards.
     """
-    spark = texts.sparkSession
+    spark, turn = texts.sparkSession, -1 if backwards else 1
     total = texts.select(F.size("cuts").alias("n"), F.expr("aggregate(cuts, 0L, (s, c) -> s + c.size)").alias("bytes")) \
         .agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
     ranges = min(MAX_RANGES, max(1, -(-(total.bytes or 0) // RANGE_BYTES)))
     share = 1_000_000 if not total.n else min(1_000_000, int(1_000_000 * SAMPLES * ranges / total.n) + 1)
     picked = texts.select("body", F.explode(F.expr(f"filter(cuts, c -> pmod(xxhash64(rid, c.start), 1000000) < {share})")).alias("c"))
-    sample = sorted(r.s for r in picked.select(F.expr("substring(body, c.start + 1, c.size)").alias("s"))
+    sample = sorted(bytes(r.s)[::turn] for r in picked.select(F.expr("substring(body, c.start + 1, c.size)").alias("s"))
                     .limit(4 * SAMPLES * ranges).collect()) if ranges > 1 else []
-    splitters = sorted({bytes(sample[k * len(sample) // ranges]) for k in range(1, ranges)}) if sample else []
+    splitters = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
 
-    runs = packed(texts.select("rid", "body", "cuts").mapInArrow(_runs(splitters), RUN), f"{name}-runs")
+    runs = packed(texts.select("rid", "body", "cuts").mapInArrow(_runs(splitters, turn), RUN), f"{name}-runs")
     done = runs.filter("range = -1").mapInArrow(_settled, SORTED)
     order = runs.filter("range >= 0").groupBy("range").applyInPandas(_merged, SORTED)
     out = packed(order.unionByName(done), f"{name}-order")
