@@ -67,10 +67,14 @@ def t01b_sorted_truncated(spark, sf):
     return rounded(s.select("trace_id", F.size("spans").alias("n"), F.col("spans")[0]["dur_ms"].alias("first_ms"), F.element_at("spans", -1)["dur_ms"].alias("last_ms")))
 
 
-def _encoded(spark, sf):
+def sequences_and_sizes(spark, sf):
     svc, ops = _vocab(spark, sf)
     n_svc, n_ops = svc.count(), ops.count()  # vocabulary sizes fix the vector length
-    return traces.encode(traces.assemble(traces.with_ids(spans(spark, sf), svc, ops), SPAN_ORDER, traces.MAX_SPANS), n_svc, n_ops, traces.MAX_SPANS)
+    return traces.assemble(traces.with_ids(spans(spark, sf), svc, ops), SPAN_ORDER, traces.MAX_SPANS), n_svc, n_ops
+
+
+def _encoded(spark, sf):
+    return traces.encode(*sequences_and_sizes(spark, sf), traces.MAX_SPANS)
 
 
 def m09_trace_encoding(spark, sf):

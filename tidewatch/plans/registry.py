@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import alerts, drift, features, ingest, models, rules, streams
+from tidewatch.plans import alerts, drift, features, ingest, models, operations, rules, streams
 
-_FAMILIES = (features, rules, drift, alerts, ingest, models, streams)
+_FAMILIES = (features, rules, drift, alerts, ingest, models, streams, operations)
 
 
 def queries():

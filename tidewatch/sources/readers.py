@@ -124,7 +124,7 @@ def decode_batch(records: DataFrame, data: Column, schema: T.StructType | str) -
 
 def _admitted(reader: DataStreamReader, files: int, bytes_: int | None) -> DataStreamReader:
     """What one micro-batch may take: so many files, or so many bytes (at least one file)."""
-    return reader.option("maxFilesPerTrigger", files) if bytes_ is None else reader.option("maxBytesPerTrigger", f"{bytes_}b")
+    return reader.option("maxFilesPerTrigger", files) if bytes_ is None else reader.option("maxBytesPerTrigger", str(bytes_))
 
 
 def stream_events(spark: SparkSession, path: str, schema: T.StructType = EVENT, files_per_trigger: int = 100,
