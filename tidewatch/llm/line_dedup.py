@@ -21,13 +21,20 @@ GROUP = 32
 PARTS = 4
 
 
+def _mark() -> Column:
+    return F.xxhash64(text_or_empty()).alias("mark")
+
+
 def _long(line: Column) -> Column:
     return F.length(F.trim(line)) >= MIN_CHARS
 
 
 def occurrences(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(doc_id, pos, line, h) of every line that counts, with ``short`` all that have a word; h is a 128-bit digest of the line."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("pos", "line"))
+    """(doc_id, mark, pos, line, h) of every line that counts, with ``short`` all that have a word; h is a 128-bit digest of the line.
+
+    ``mark`` is a hash of the whole text: it tells apart rows that share an id, or have none.
+    """
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(), F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("pos", "line"))
     counts = _long(F.col("line")) | F.col("line").rlike(r"[^\x20\x09-\x0D]") if short else _long(F.col("line"))
     return lines.filter(counts).withColumn("h", F.unhex(F.md5("line")))
 
@@ -180,14 +187,14 @@ def _codes(lines: list[str], width: int) -> np.ndarray:
 
 
 def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(doc_id, drop): the positions of the lines that repeat an earlier line, for documents that have some.
+    """(doc_id, mark, drop): the positions of the lines that repeat an earlier line, for documents that have some.
 
-    Earlier is by (doc_id, position).  A line goes if the same line stands earlier, or if an earlier line is within one edit.
+    Earlier is by (doc_id, position, mark).  A line goes if the same line stands earlier, or if an earlier line is within one edit.
     """
     found = occurrences(docs, short)
     line = F.col("line")
     entries = F.when(_long(line), _halves(line)).otherwise(F.slice(_halves(line), 1, 0)) if short else _halves(line)
-    lines = stored(found.select("h", F.struct("doc_id", "pos").alias("at"), entries.alias("entries")).groupBy("h").agg(
+    lines = stored(found.select("h", F.struct("doc_id", "pos", "mark").alias("at"), entries.alias("entries")).groupBy("h").agg(
         F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.first("entries").alias("entries")), "lines")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
@@ -199,9 +206,9 @@ def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     near = near_lines(lines, texts_of).withColumn("near", F.lit(True))
     hit = lines.join(near, "h", "left").filter("near or n > 1").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
     hit = stored(hit, "line-hits")
-    gone = join_by_key(found.select("doc_id", "pos", "h"), hit, ["h"], "doc_id", salts=16).filter(
-        F.col("near") | ~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))
+    gone = join_by_key(found.select("doc_id", "mark", "pos", "h"), hit, ["h"], "doc_id", salts=16).filter(
+        F.col("near") | ~F.struct("doc_id", "pos", "mark").eqNullSafe(F.col("first")))
+    return gone.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
@@ -209,17 +216,18 @@ def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
 
     Lines are cut at \\n.  Lines of MIN_CHARS characters or more (blanks at the ends not counted) take part; with ``short``, as in the
     registered query and the pipeline, shorter lines that have a word go as well if the same line stands earlier.
-    Null text is empty and has one empty line.  Rows that repeat an id are the same document: equal lines at equal positions do not
-    remove each other.  Null ids sort first, and such rows share their positions.  The order of lines is kept.  Only doc_id and text
-    are read.  An empty table gives no rows.
+    Null text is empty and has one empty line.  Rows that repeat an id, or have none (null sorts first), are told apart by a hash of
+    their text: each loses its own repeated lines only.  Rows that repeat id and text are the same document and stay alike.  The
+    order of lines is kept.  Only doc_id and text are read.  An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return _without(rows, dropped_lines(docs, short)).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    drops = drops.select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop"))
-    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left") \
+    """``docs`` (doc_id, text and no other column but ``row``) with the lines taken out of ``text``, and their number."""
+    drops = drops.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("drop").alias("_drop"))
+    joined = docs.withColumn("mark", _mark()).join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left") \
         .withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     size = F.size("_lines")
     stay = F.array_except(F.sequence(F.lit(1), size), F.transform("_drop", lambda p: p + 1))
@@ -235,7 +243,8 @@ def documents_without_repeats(docs: DataFrame, short: bool = False) -> DataFrame
 
     Documents of which nothing but blanks is left go: all they said stands elsewhere.  Documents that lost no line stay as they are.
     """
-    out = _without(docs, dropped_lines(docs, short)).filter((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", "\n", " ")) != ""))
-    columns = [F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
-               if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = _without(rows, dropped_lines(docs, short)).filter((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", "\n", " ")) != ""))
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text"))
+    columns = {"text": F.col("text"), **({"n_chars": n_chars.otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
+    return out.select(*[columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

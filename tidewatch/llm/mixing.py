@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import join_by_key, stored, text_or_empty, word_count
@@ -46,8 +46,8 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
         .select("source", "source_size", "target", "epochs", "extra")
 
 
-def mix(docs: DataFrame, seed: int = 1, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Repetitions of each document in the mix: (doc_id, size, source, source_size, target, repeats, taken).
+def mix(docs: DataFrame, seed: int = 1, max_epochs: int = MAX_EPOCHS, name: Column | None = None) -> DataFrame:
+    """Repetitions of each document in the mix: (doc_id, size, source, source_size, target, repeats, taken), and its ``name`` if one is given.
 
     Every document of a source is taken ``floor(target / source_size)`` times.  What is still missing is filled with one more
     repetition of documents in the order of a seeded hash of the id, up to the document that would cross the missing amount
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, seed: int = 1, max_epochs: int = MAX_EPOCHS) -> DataFra
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
     sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                               word_count(text_or_empty()).alias("size"), key.alias("order_key"))
+                               word_count(text_or_empty()).alias("size"), key.alias("order_key"), *([] if name is None else [name.alias("name")]))
                    .withColumn("slice", F.substring("order_key", 1, SLICE_DIGITS)), "mix-sizes")
     return _repeats(sizes, stored(source_targets(sizes, max_epochs), "mix-targets"))
 
@@ -84,15 +84,18 @@ def _repeats(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         "more", (F.col("upto") <= F.col("extra")) & (F.col("extra") > 0))
     out = clear.unionByName(at_edge).withColumn("repeats", F.col("epochs") + F.col("more").cast("long"))
     return out.select("doc_id", "size", "source", "source_size", "target", "repeats",
-                      (F.col("size") * F.col("repeats")).alias("taken"))
+                      (F.col("size") * F.col("repeats")).alias("taken"), *[c for c in sizes.columns if c == "name"])
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as ``mix`` says, with its own columns only.
 
-    The repetitions are found on (id, source, size) alone and joined back by id; rows that share an id share a count.
+    The repetitions are joined back by a name, the hash of id, text and source: rows that share an id, or have none, have counts
+    of their own, and rows alike in all of these share one.
     """
-    plan = mix(docs, seed, max_epochs).groupBy("doc_id").agg(F.max("repeats").alias("_repeats")) \
-        .withColumnRenamed("doc_id", "_doc_id")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_doc_id"))).filter("_repeats > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats")))).select(*docs.columns)
+    name = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text", "source")
+    rows = docs.select(F.struct("*").alias("row"), name.alias("name"))
+    plan = mix(docs, seed, max_epochs, name) \
+        .groupBy(F.col("name").alias("mixed")).agg(F.max("repeats").alias("repeats"))
+    joined = rows.join(plan, F.col("name") == F.col("mixed")).filter("repeats > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*[F.col("row")[c].alias(c) for c in docs.columns])

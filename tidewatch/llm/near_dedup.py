@@ -281,6 +281,11 @@ def similar(n_a: Column, n_b: Column, common: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group of near duplicates, with their own columns only."""
-    kept = near_groups(docs).filter("kept").select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id"))).select(*docs.columns)
+    """The rows of ``docs`` that stay: one document of each group of near duplicates, with their own columns only.
+
+    Of rows that repeat id and text one stays, whatever their other columns are.
+    """
+    kept = near_groups(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    one = rows.join(kept, F.col("id").eqNullSafe(F.col("_id"))).dropDuplicates(["id", "mark"])
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -213,6 +213,12 @@ def _chi2_below(x: float, p: int) -> float:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their own columns only."""
-    verdicts = judge(docs).groupBy("doc_id").agg(F.min("kept").alias("_kept")).withColumnRenamed("doc_id", "_doc_id")
-    return docs.join(verdicts, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id"))).filter("_kept").select(*docs.columns)
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns only.
+
+    Each row is judged for itself: rows are named by a hash of all that ``judge`` reads, so rows that share an id, or have none,
+    do not answer for each other, and rows alike in everything share one verdict.
+    """
+    name = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text", "lang", "source")
+    rows = docs.select(F.struct("*").alias("row"), name.alias("name"))
+    verdicts = judge(docs.select(name.alias("doc_id"), "text", "lang", "source")).groupBy(F.col("doc_id").alias("judged")).agg(F.min("kept").alias("kept"))
+    return rows.join(verdicts, F.col("name") == F.col("judged")).filter("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
