@@ -86,9 +86,10 @@ def m09_trace_encoding(spark, sf):
 
 
 def m10_trace_errors(spark, sf):
-    e = settle(_encoded(spark, sf).repartition(_tasks(spark)))
-    mean, components = traces.fit_autoencoder(e, 4)
-    return rounded(traces.flag_above_percentile(traces.reconstruction_error(e, mean, components)))
+    sequences, n_services, n_ops = sequences_and_sizes(spark, sf)
+    s = settle(traces.sparse_spans(sequences, n_services, n_ops).repartition(_tasks(spark)))
+    model = traces.fit_sparse_autoencoder(s, n_services + n_ops + 2, 4)
+    return rounded(traces.flag_above_percentile(traces.sparse_reconstruction_error(s, *model)))
 
 
 def _texts(spark, sf):
@@ -242,8 +243,10 @@ def m13_text_pipeline(spark, sf):
 
 def m10_trace_pipeline(spark, sf):
     """Traces with a slow span are the anomalies; the error of the test traces is judged by its area under the curve."""
-    train, test, n = _parts(_encoded(spark, sf), "trace_id", "traces")
-    errors = traces.reconstruction_error(test, *traces.fit_autoencoder(train, 4))
+    sequences, n_services, n_ops = sequences_and_sizes(spark, sf)
+    train, test, n = _parts(sequences, "trace_id", "traces")
+    model = traces.fit_sparse_autoencoder(settle(traces.sparse_spans(train, n_services, n_ops)), n_services + n_ops + 2, 4)
+    errors = traces.sparse_reconstruction_error(traces.sparse_spans(test, n_services, n_ops), *model)
     truth = test.select("trace_id", F.exists("spans", lambda s: s["dur_ms"] > 60_000).alias("truth"))
     judged = settle(errors.join(truth, "trace_id"))
     report = E.auc(judged, "truth", "score").crossJoin(F.broadcast(judged.agg(F.count(F.lit(1)).alias("n_test"))))  # one row each
