@@ -45,6 +45,11 @@ def has_attack_payload(path: Column) -> Column:
     return F.coalesce(decoded.rlike(ATTACK_PAYLOAD), F.lit(False))
 
 
+def from_country(attrs: Column, *codes: str) -> Column:
+    """Does the event's ``attrs.country`` name one of the two-letter codes, in any case; false where there is none."""
+    return F.coalesce(F.upper(F.get_json_object(attrs, "$.country")).isin(*[c.upper() for c in codes]), F.lit(False))
+
+
 def metric_key(source: Column, host: Column, metric: Column, metric_value: Column,
                latency_ms: Column, status: Column) -> Column:
     """``source:host:signal`` of a scorable event, null if it carries no signal."""

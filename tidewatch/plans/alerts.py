@@ -235,7 +235,7 @@ QUERIES = {
     "p07_alert_by_id": lambda s, d: rounded(A.alert_by_id(alerts_table(s, d), "al_0")),
     "p10_attack_payloads": lambda s, d: rendered_paths(s, d).where(has_attack_payload(F.col("path"))),
     "p11_slow_requests": lambda s, d: rounded(common_events(s, d).withColumn("latency_ms", F.col("raw_value") * 100).where(F.col("latency_ms") >= SLOW_REQUEST_MS).select("event_id", "latency_ms")),
-    "p12_country_filter": lambda s, d: table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("n_name").isin("NATION_3", "FRANCE", "CHINA")).select("c_custkey", "n_name"),
+    "p12_country_filter": lambda s, d: table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("n_name").isin("NATION_3", "FRANCE", "CHINA")).select("c_custkey", "n_name"),
     "q01_list_alerts": _listing(severity="WARN"),
     "q02_explain_alerts": lambda s, d: rounded(A.explain(alerts_table(s, d)).select("id", "metric_key", "value", "baseline", "delta", "score", "explanation", F.size("similar").alias("n_similar"))),
     "q03_feedback_labels": lambda s, d: A.valid_labels(label_log(s, d)).groupBy("label").agg(F.count(F.lit(1)).alias("n")),

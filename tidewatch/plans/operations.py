@@ -7,6 +7,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidewatch.functions.expressions import from_country
 from tidewatch.operators import alerts as A
 from tidewatch.operators import rules as R
 from tidewatch.operators import slo, traces
@@ -131,8 +132,18 @@ def m10_sparse_errors(spark, sf):
     return rounded(traces.sparse_reconstruction_error(traces.sparse_spans(sequences, n_services, n_ops), np.zeros(dims), components))
 
 
+def p12_event_countries(spark, sf):
+    """Web-firewall lines with a country, parsed, then filtered by ``attrs.country``."""
+    line = """to_json(named_struct('timestamp', unix_millis(ts), 'webaclId', 'w', 'action', 'BLOCK', 'httpRequest', named_struct('clientIp', '10.0.0.1', 'uri', '/',
+        'httpMethod', 'GET', 'country', element_at(array('de', 'FR', 'US', '', NULL), cast(k % 5 as int) + 1), 'headers', array())))"""
+    events = D.accepted(D.normalize(base(spark, sf).select(F.expr(line).alias("value")), "waf"))
+    picked = events.where(from_country(F.col("attrs"), "DE", "fr"))
+    return picked.groupBy(F.get_json_object("attrs", "$.country").alias("country")).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
-    a25_rolling_levels, k11_alert_table, k12_moved_partitions, d12_late_split, s05_topic_events, i14_typed_attributes, i15_typed_merge, m10_sparse_errors)}
+    a25_rolling_levels, k11_alert_table, k12_moved_partitions, d12_late_split, s05_topic_events, i14_typed_attributes, i15_typed_merge, m10_sparse_errors,
+    p12_event_countries)}
 
 _ID = "'al_' || substr(sha256(concat_ws('|', detector, metric_key, CAST(epoch_us(ts) AS VARCHAR), CAST(event_id AS VARCHAR))), 1, 16)"
 ORACLES = {
@@ -153,5 +164,6 @@ ORACLES = {
     "i15_typed_merge": f"""WITH {BASE_SQL}, x AS (SELECT *, k % 3 <> 0 AS merged FROM e) SELECT event_id, CASE WHEN merged THEN event_type END AS level, CASE WHEN merged THEN k END AS k,
       CASE WHEN merged THEN k > 10 END AS big, event_id AS meta_a, CASE WHEN merged THEN 2 ELSE 1 END::BIGINT AS meta_b, CASE WHEN merged THEN user_id END AS meta_user,
       CASE WHEN NOT merged THEN event_type END AS log, CASE WHEN merged THEN 'BIGINT' END AS k_type, CASE WHEN merged THEN 'BOOLEAN' END AS big_type, 'OBJECT' AS meta_type FROM x""",
+    "p12_event_countries": f"WITH {BASE_SQL} SELECT CASE k % 5 WHEN 0 THEN 'de' ELSE 'FR' END AS country, count(*) AS n FROM e WHERE k % 5 < 2 GROUP BY ALL",
     "m10_sparse_errors": models.ORACLES["m10_fixed_autoencoder"],
 }
