@@ -142,6 +142,17 @@ def _with_cuts(texts: DataFrame, cuts: DataFrame, columns: list[str]) -> DataFra
     return texts.select("rid", "body").join(lists, "rid")
 
 
+def _joined(cuts: list[dict]) -> list[dict]:
+    """Neighbouring cuts of one anchor as one, so that their bytes are hashed together."""
+    out: list[dict] = []
+    for cut in cuts:
+        if out and (cut["start"], cut["since"], cut["until"]) == (out[-1]["last"] + 1, out[-1]["since"], out[-1]["until"]):
+            out[-1]["last"] = cut["last"]
+        else:
+            out.append(cut)
+    return out
+
+
 def _windows(length: int, span: int, group: int):
     """Groups of up to ``group`` neighbouring windows of one anchor, with a hash of what all of them hold in common.
 
@@ -154,7 +165,7 @@ def _windows(length: int, span: int, group: int):
         for batch in batches:
             for rid, body, cuts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data = np.frombuffer(body.as_buffer(), np.uint8)
-                for cut in cuts.as_py():
+                for cut in _joined(cuts.as_py()):
                     for at in range(cut["start"], cut["last"] + 1, BLOCK):
                         upto = min(cut["last"], at + BLOCK - 1)
                         block = data[at:upto + length]
