@@ -2,33 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from tidewatch.session import scratch_path
 
 # Gram lengths and vocabulary size.
 MIN_GRAM, MAX_GRAM, MAX_TERMS = 2, 4, 10_000
 # Words end at any Unicode blank.
 UNICODE_BLANKS = r"(?U)\s+"
+# Rows a task hands over at once; words, and their longest length, whose grams a task remembers.
+PART_ROWS, KEPT_WORDS, KEPT_LENGTH = 1 << 18, 20_000, 40
 
 
 def gram_counts(docs: DataFrame, doc_id: str = "id", text: str = "message", lo: int = MIN_GRAM, hi: int = MAX_GRAM) -> DataFrame:
     """(id, gram, tf): n-grams inside space-padded, lower-cased words of the whole text.
 
-    Words are counted per document first, so a repeated word is cut into grams once.
+    The grams of a row are counted where the row is; only rows that share an id (or have none) are brought together.
     """
-    words = docs.select(F.col(doc_id).alias("id"), F.explode(F.split(F.lower(text), UNICODE_BLANKS)).alias("w")).where(F.col("w") != "")
-    words = words.groupBy("id", "w").agg(F.count(F.lit(1)).alias("c"))
-    words = words.select("id", "c", F.concat(F.lit(" "), "w", F.lit(" ")).alias("p")).withColumn("len", F.length("p"))
+    once, shared = _by_use_of_id(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
+    return _row_grams(once, lo, hi).unionByName(_row_grams(shared, lo, hi).groupBy("id", "gram").agg(F.sum("tf").alias("tf")))
+
+
+def _by_use_of_id(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id no other row has, and the others.  Ids are counted once, without the texts."""
+    path = scratch_path(docs.sparkSession, "shared-ids")
+    docs.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("id").alias("_id")).write.parquet(path)
+    shared = docs.sparkSession.read.schema(StructType([StructField("_id", docs.schema["id"].dataType)])).parquet(path)
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    return docs.join(shared, same, "left_anti"), docs.join(shared, same, "left_semi")
+
 
-    def cut(n: int) -> Column:
+def _gram_counter(lo: int, hi: int, at: dict[str, int] | None = None) -> Callable[[list[str]], dict]:
+    """A function from the words of a text to its grams and their counts; with ``at``, to the numbers of the grams that have one."""
+    def cut(word: str) -> list:
         # A word shorter than the smallest length still counts once, whole.
-        starts = F.sequence(F.lit(1), F.greatest(F.col("len") - n + 1, F.lit(1)))
-        grams = F.transform(starts, lambda i: F.col("p").substr(i, F.lit(n)))
-        return grams if n == lo else F.when(F.col("len") >= n, grams).otherwise(F.array().cast("array<string>"))
+        p = f" {word} "
+        grams = [p[i:i + n] for n in range(lo, hi + 1) for i in range(max(len(p) - n + 1, int(n == lo)))]
+        return grams if at is None else [at[g] for g in grams if g in at]
+
+    kept = lru_cache(maxsize=KEPT_WORDS)(cut)
+
+    def count(words: list[str]) -> dict:
+        out: dict = {}
+        for word, c in Counter(words).items():
+            if word:
+                for g in kept(word) if len(word) <= KEPT_LENGTH else cut(word):
+                    out[g] = out.get(g, 0) + c
+        return out
+
+    return count
+
 
-    parts = [cut(n) for n in range(lo, hi + 1)]
-    grams = words.select("id", "c", F.explode(F.concat(*parts)).alias("gram"))
-    return grams.groupBy("id", "gram").agg(F.sum("c").alias("tf"))
+def _words(docs: DataFrame) -> DataFrame:
+    return docs.select("id", F.split(F.lower("text"), UNICODE_BLANKS).alias("words")).where(F.col("words").isNotNull())
+
+
+def _counted(batch: pa.RecordBatch, count: Callable[[list[str]], dict]) -> Iterator[tuple[int, dict]]:
+    """(row, grams) of a batch, one row at a time."""
+    words = batch.column("words")
+    for row in range(batch.num_rows):
+        yield row, count(words[row].as_py())
+
+
+def _row_grams(docs: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(id, gram, tf) of every row by itself."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _gram_counter(lo, hi)
+        for batch in batches:
+            rows, grams, tf = [], [], []
+            for row, found in _counted(batch, count):
+                rows += [row] * len(found)
+                grams += found
+                tf += found.values()
+                if len(grams) >= PART_ROWS or row == batch.num_rows - 1:
+                    yield pa.record_batch([batch.column("id").take(pa.array(rows, pa.int32())), pa.array(grams, pa.string()),
+                                           pa.array(tf, pa.int64())], ["id", "gram", "tf"])
+                    rows, grams, tf = [], [], []
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return _words(docs).mapInArrow(run, f"id {kind}, gram string, tf bigint")
 
 
 def vocabulary(counts: DataFrame, n_docs: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -58,3 +118,67 @@ def sparse_rows(weights: DataFrame, numbered: DataFrame) -> DataFrame:
     """(id, indices, values) per document; ``numbered`` maps gram to ``idx``."""
     w = weights.join(F.broadcast(numbered), "gram").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("t"))
     return w.select("id", F.col("t.idx").alias("indices"), F.col("t.weight").alias("values"))
+
+
+def document_terms(docs: DataFrame, numbered: DataFrame, doc_id: str = "id", text: str = "message", lo: int = MIN_GRAM,
+                   hi: int = MAX_GRAM) -> DataFrame:
+    """(id, indices, counts): per document the numbers of its vocabulary terms in order, and how often each occurs.
+
+    ``numbered`` maps gram to ``idx``; the vocabulary has a fixed largest size.  Documents without a term are left out.  The
+    result is stored, as small as the texts: weights follow from it by ``sparse_weights`` wherever they are used.
+    """
+    terms = docs.sparkSession.sparkContext.broadcast({r.gram: r.idx for r in numbered.select("gram", "idx").collect()})
+    once, shared = _by_use_of_id(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _gram_counter(lo, hi, terms.value)
+        for batch in batches:
+            rows, ends, indices, counts = [], [0], [], []
+            for row, found in _counted(batch, count):
+                if found:
+                    rows.append(row)
+                    indices += sorted(found)
+                    counts += [found[i] for i in indices[ends[-1]:]]
+                    ends.append(len(indices))
+                if len(indices) >= PART_ROWS or row == batch.num_rows - 1:
+                    at = pa.array(ends, pa.int32())
+                    yield pa.record_batch([batch.column("id").take(pa.array(rows, pa.int32())),
+                                           pa.ListArray.from_arrays(at, pa.array(indices, pa.int32())),
+                                           pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))], ["id", "indices", "counts"])
+                    rows, ends, indices, counts = [], [0], [], []
+
+    def per_row(some: DataFrame) -> DataFrame:
+        return _words(some).mapInArrow(run, f"id {kind}, indices array<int>, counts array<bigint>")
+
+    cells = per_row(shared).select("id", F.inline(F.arrays_zip("indices", "counts"))).groupBy("id", "indices").agg(F.sum("counts").alias("n"))
+    joint = cells.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("indices", "n"))).alias("t"))
+    out = per_row(once).unionByName(joint.select("id", F.col("t.indices").alias("indices"), F.col("t.n").alias("counts")))
+    path = scratch_path(docs.sparkSession, "document-terms")
+    out.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def sparse_weights(terms: DataFrame, vocab: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(id, indices, values): the weights of ``tfidf`` over the rows of ``document_terms``, as ``sparse_rows`` lays them out."""
+    known = vocab.join(numbered, "gram").select("idx", "idf").collect()  # the vocabulary has a fixed largest size
+    table = np.zeros(max((r.idx for r in known), default=-1) + 1)
+    for r in known:
+        table[r.idx] = r.idf
+    idf = terms.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            indices = batch.column("indices")
+            at, tf = indices.flatten().to_numpy(), batch.column("counts").flatten().to_numpy()
+            lengths = np.diff(indices.offsets.to_numpy())
+            x = (1 + np.log(tf)) * idf.value[at]
+            norm = np.sqrt(np.add.reduceat(x * x, np.cumsum(lengths) - lengths))  # no row is without a term
+            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            values = pa.ListArray.from_arrays(ends, pa.array(x / np.repeat(norm, lengths)))
+            yield pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(at)), values], ["id", "indices", "values"])
+
+    kind = terms.schema["id"].dataType.simpleString()
+    return terms.select("id", "indices", "counts").mapInArrow(run, f"id {kind}, indices array<int>, values array<double>")

@@ -96,20 +96,30 @@ def _texts(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("message"))
 
 
-def _weights(spark, sf):
+def _spread_texts(spark, sf):
+    """The texts in at least one partition a task: a small table may sit in one, although cutting its words is heavy."""
     docs = _texts(spark, sf)
-    counts = textweights.gram_counts(docs)
-    vocab = settle(textweights.vocabulary(counts, docs.agg(F.count(F.lit(1)).alias("n_docs"))))
-    return textweights.tfidf(counts, vocab), vocab
+    return docs if docs.rdd.getNumPartitions() >= _tasks(spark) else docs.repartition(_tasks(spark))
+
+
+def _vocabulary(docs):
+    return textweights.vocabulary(textweights.gram_counts(docs), docs.agg(F.count(F.lit(1)).alias("n_docs")))
+
+
+def _terms(spark, sf):
+    """(stored terms of each document, vocabulary, numbers of the vocabulary)"""
+    docs = _spread_texts(spark, sf)
+    vocab = settle(_vocabulary(docs))
+    numbered = settle(traces.dense_ids(vocab, "gram", "idx"))
+    return textweights.document_terms(docs, numbered), vocab, numbered
 
 
 def m07_text_vocabulary(spark, sf):
-    docs = _texts(spark, sf)
-    return rounded(textweights.vocabulary(textweights.gram_counts(docs), docs.agg(F.count(F.lit(1)).alias("n_docs"))))
+    return rounded(_vocabulary(_spread_texts(spark, sf)))
 
 
 def m07_text_weights(spark, sf):
-    w, _ = _weights(spark, sf)
+    w = textweights.sparse_weights(*_terms(spark, sf)).select("id", F.explode("values").alias("weight"))
     return rounded(w.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("total"), F.max("weight").alias("largest"),
                                        F.sum(F.col("weight") * F.col("weight")).alias("length")), 5)
 
@@ -186,10 +196,9 @@ def m06_fixed_forest(spark, sf):
 
 def m08_fixed_forest(spark, sf):
     """The isolation model over the weights of the first two terms of the vocabulary, read from the sparse rows."""
-    w, vocab = _weights(spark, sf)
-    rows = textweights.sparse_rows(w, settle(traces.dense_ids(vocab, "gram", "idx")))
+    rows = textweights.sparse_weights(*_terms(spark, sf))
     nodes = [(*n[:5], n[5] / 100, *n[6:]) for n in FIXED_ISOLATION]
-    return rounded(forest.isolation_scores(rows, "id", forest.sparse(textweights.MAX_TERMS), _fixed_model(spark, nodes), _tasks(spark)))
+    return rounded(forest.isolation_scores(rows, "id", forest.sparse(textweights.MAX_TERMS), _fixed_model(spark, nodes)))
 
 
 def m10_fixed_autoencoder(spark, sf):
@@ -231,11 +240,12 @@ def m11_cut_pipeline(spark, sf):
 
 def m13_text_pipeline(spark, sf):
     """Documents stand for log lines, low quality for anomalies."""
-    w, vocab = _weights(spark, sf)
-    rows = textweights.sparse_rows(w, settle(traces.dense_ids(vocab, "gram", "idx")))
-    train, test, n = _parts(rows, "id", "text")
+    terms, vocab, numbered = _terms(spark, sf)
+    parts = E.seeded_split(terms, ["id"], "text")  # of a stored table, so only its ids are read to find the border
+    n = parts.where("NOT is_test").count()
+    train, test = (textweights.sparse_weights(parts.where(which), vocab, numbered) for which in ("NOT is_test", "is_test"))
     shape = forest.sparse(textweights.MAX_TERMS)
-    scores = forest.isolation_scores(test, "id", shape, forest.fit_isolation_forest(train, "id", shape), _tasks(spark))
+    scores = forest.isolation_scores(test, "id", shape, forest.fit_isolation_forest(train, "id", shape))
     truth = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("truth"))
     judged = E.flag_top(settle(scores.join(truth, "id")), "score", 0.99, "predicted")
     return _gate_row(E.classification_report(judged, "truth", "predicted"), "log-embedding", "precision_at_top1pct", "precision", n)
@@ -260,11 +270,9 @@ def m06_cut_scores(spark, sf):
 
 
 def m08_text_forest(spark, sf):
-    w, vocab = _weights(spark, sf)
-    numbered = settle(traces.dense_ids(vocab, "gram", "idx"))
-    rows = settle(textweights.sparse_rows(w, numbered))
+    rows = textweights.sparse_weights(*_terms(spark, sf))
     shape = forest.sparse(textweights.MAX_TERMS)
-    return rounded(forest.isolation_scores(rows, "id", shape, forest.fit_isolation_forest(rows, "id", shape), _tasks(spark)))
+    return rounded(forest.isolation_scores(rows, "id", shape, forest.fit_isolation_forest(rows, "id", shape)))
 
 
 def scored(spark, sf):
