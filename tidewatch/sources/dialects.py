@@ -444,6 +444,11 @@ def _object(value: Column) -> Column:
     return F.when(F.schema_of_variant(value).startswith("OBJECT"), value.cast("map<string,variant>"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` names it or a lambda runs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _merged(old: Column, new: Column, depth: int) -> Column:
     """Two maps of variants as one: keys of ``new`` win, and where both hold an object the two are merged in turn.
 
@@ -451,12 +456,15 @@ def _merged(old: Column, new: Column, depth: int) -> Column:
     """
     def both(key: Column, value: Column) -> Column:
         other = F.try_element_at(new, key)
-        taken = F.when(F.map_contains_key(new, key), other).otherwise(value)
         if depth == 0:
-            return taken
-        ours, theirs = _object(value), _object(other)
-        inner = F.parse_json(F.to_json(_merged(ours, theirs, depth - 1)))
-        return F.when(ours.isNotNull() & theirs.isNotNull(), inner).otherwise(taken)
+            return F.when(F.map_contains_key(new, key), other).otherwise(value)
+
+        def merge(pair: Column) -> Column:
+            inner = F.parse_json(F.to_json(_merged(pair["ours"], pair["theirs"], depth - 1)))
+            return F.when(pair["ours"].isNotNull() & pair["theirs"].isNotNull(), inner).otherwise(other)
+
+        pair = F.struct(_object(value).alias("ours"), _object(other).alias("theirs"))
+        return F.when(F.map_contains_key(new, key), _once(pair, merge)).otherwise(value)
 
     added = F.map_filter(new, lambda k, _: ~F.map_contains_key(old, k))
     return F.map_concat(F.transform_values(old, both), added)
@@ -469,9 +477,13 @@ def merge_typed_body(record: Column, field: str = "log", depth: int = MERGE_DEPT
     ``depth``.  The body may be a JSON text or an object already.  A body that is neither stays where it is; a record that is no JSON object
     gives null.
     """
-    top = F.when(F.ltrim(record).startswith("{"), F.from_json(record, "map<string,variant>"))
-    held = F.try_element_at(top, F.lit(field))
-    text = F.try_variant_get(held, "$", "string")
-    body = F.coalesce(F.when(F.ltrim(text).startswith("{"), _object(F.try_parse_json(text))), _object(held))
-    rest = F.map_filter(top, lambda k, _: k != field)
-    return F.when(body.isNotNull(), _merged(rest, body, depth)).otherwise(top)
+    def merge(top: Column) -> Column:
+        held = F.try_element_at(top, F.lit(field))
+        text = F.try_variant_get(held, "$", "string")
+        body = F.coalesce(F.when(F.ltrim(text).startswith("{"), _object(F.try_parse_json(text))), _object(held))
+        rest = F.map_filter(top, lambda k, _: k != field)
+        parts = F.struct(top.alias("top"), rest.alias("rest"), body.alias("body"))
+        return _once(parts, lambda p: F.when(p["body"].isNotNull(), _merged(p["rest"], p["body"], depth)).otherwise(p["top"]))
+
+    parsed = _once(record, lambda r: F.when(F.ltrim(r).startswith("{"), F.from_json(r, "map<string,variant>")))
+    return _once(parsed, merge)
