@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.skew import BLOCK_ROWS, join_on, row_blocks, time_blocks, trailing_sums
 from tidewatch.schema import ALERT, ALERT_LABELS
-from tidewatch.session import settle
+from tidewatch.session import scratch_path, settle
 
 # Size of the recent set, of a similar list, of a listing and of a notification.
 RECENT, SIMILAR, PAGE, MAX_PAGE, NOTIFY = 200, 5, 100, 1000, 10
@@ -185,8 +188,8 @@ def admitted_requests(events: DataFrame, key: str, limit: int, seconds: int = 60
     The recurrence runs over per-second counts, so one key brings at most one row per second.  Time is cut into blocks; a block
     whose first request comes more than ``seconds`` after the last one of the key starts anew, any other needs the last
     ``seconds`` of the block before.  Blocks are worked off by their distance from such a start, all keys side by side, and the
-    admitted counts at their end are handed on.  A task sees one block of a key; there are as many rounds as the longest
-    unbroken row of blocks, whatever the number of requests.
+    admitted counts at their end are handed on.  A task streams the blocks of many keys one after another and holds the last
+    ``seconds`` of one; there are as many rounds as the longest unbroken row of blocks, whatever the number of requests.
     """
     per = events.where(F.col(key).isNotNull()).groupBy(key, F.unix_seconds("ts").alias("second")).agg(F.count(F.lit(1)).alias("requests"))
     width = max(block_seconds, seconds + 1)
@@ -198,29 +201,40 @@ def admitted_requests(events: DataFrame, key: str, limit: int, seconds: int = 60
     rounds = rounds.withColumn("_round", F.row_number().over(Window.partitionBy(key, "_run").orderBy("_block")) - 1)
     rounds = settle(rounds.select(F.col(key).alias("_key"), F.col("_block").alias("_b"), "_round"))
     rows = per.join(rounds, (F.col(key) == F.col("_key")) & (F.col("_block") == F.col("_b"))).select(per[key], "second", "requests", "_block", "_round")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("second")
-        sec, req, known = (pdf[c].tolist() for c in ("second", "requests", "admitted"))
-        admitted, used, tail = [], 0, 0
-        for i in range(len(sec)):
-            while sec[i] - sec[tail] > seconds:
-                used -= admitted[tail]
-                tail += 1
-            admitted.append(int(min(req[i], limit - used)) if known[i] < 0 else known[i])
-            used += admitted[-1]
-        return pdf.assign(admitted=admitted)[pdf["admitted"] < 0]
+    # a folder per round: each round reads its own rows only
+    spark = events.sparkSession
+    place, tasks = scratch_path(spark, "limiter"), spark.sparkContext.defaultParallelism
+    rows.repartition(tasks, "_round", key).write.partitionBy("_round").parquet(place)
+    stored = spark.read.schema(rows.schema).parquet(place)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come by group and second; what is held are the admitted counts of the last ``seconds``
+        past, used = deque(), 0
+        for pdf in batches:
+            admitted = []
+            for at, second, requests, known in zip(*(pdf[c].tolist() for c in ("_at", "second", "requests", "admitted"))):
+                if at == 1:
+                    past.clear()
+                    used = 0
+                while past and second - past[0][0] > seconds:
+                    used -= past.popleft()[1]
+                admitted.append(min(requests, limit - used) if known < 0 else known)
+                used += admitted[-1]
+                past.append((second, admitted[-1]))
+            yield pdf.drop(columns="_at").assign(admitted=admitted)[pdf["admitted"] < 0]
 
     schema = f"`{key}` {per.schema[key].dataType.simpleString()}, second long, requests long, _block long, admitted long"
     out, done = None, None
     for n in range((rounds.agg(F.max("_round")).first()[0] or 0) + 1):
-        open_ = rows.where(F.col("_round") == n).drop("_round").withColumn("admitted", F.lit(-1).cast("long"))
+        open_ = stored.where(F.col("_round") == n).drop("_round").withColumn("admitted", F.lit(-1).cast("long"))
         if done is not None:
             tail = done.where((F.col("_block") + 1) * width - F.col("second") <= seconds).withColumn("_block", F.col("_block") + 1)
             wanted = open_.select(F.col(key).alias("_key"), F.col("_block").alias("_b")).distinct()
             tail = tail.join(wanted, (F.col(key) == F.col("_key")) & (F.col("_block") == F.col("_b")), "left_semi")
             open_ = open_.unionByName(tail)
-        done = settle(open_.groupBy(key, "_block").applyInPandas(run, schema))
+        group = Window.partitionBy(key, "_block").orderBy("second")
+        ordered = open_.repartition(tasks, key, "_block").withColumn("_at", F.row_number().over(group))
+        done = settle(ordered.mapInPandas(run, schema))
         out = done if out is None else out.unionByName(done)
     return out.drop("_block")
 
