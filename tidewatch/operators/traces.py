@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.quantiles import exact_percentiles
+from tidewatch.operators.skew import MAX_BROADCAST_KEYS
 from tidewatch.session import settle
 
 # Longest and shortest sequence, duration cap (seconds) and error percentile.
 MAX_SPANS, MIN_SPANS, MAX_SECONDS, ERROR_PERCENTILE = 64, 3, 60.0, 0.95
 UNKNOWN = "unknown"
+# Sums over vectors of up to so many dimensions are written out as one expression.
+MAX_WRITTEN_OUT = 100
 
 
 def dense_ids(names: DataFrame, column: str, id_column: str) -> DataFrame:
@@ -37,12 +41,16 @@ def dense_ids(names: DataFrame, column: str, id_column: str) -> DataFrame:
 
 
 def with_ids(spans: DataFrame, services: DataFrame, ops: DataFrame) -> DataFrame:
-    """Look up the service and operation ids; Spark broadcasts the vocabularies while they are small.
+    """Look up the service and operation ids; vocabularies of up to ``MAX_BROADCAST_KEYS`` names are counted and broadcast.
 
+    Spark judges a vocabulary by the size of the spans that it was taken from, and would move and sort all spans by their few names.
     A span without service or operation keeps its place in the trace under the name ``UNKNOWN``.
     """
     named = spans.withColumns({c: F.coalesce(c, F.lit(UNKNOWN)) for c in ("service", "op")})
-    return named.join(services, "service").join(ops, "op")
+    for ids, name in ((services, "service"), (ops, "op")):
+        few = ids.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+        named = named.join(F.broadcast(ids) if few else ids, name)
+    return named
 
 
 def assemble(spans: DataFrame, order: Sequence[str], max_spans: int = MAX_SPANS, min_spans: int = MIN_SPANS) -> DataFrame:
@@ -64,8 +72,14 @@ def encode(sequences: DataFrame, n_services: int, n_ops: int, max_spans: int = M
     dims = n_services + n_ops + 2
 
     def vector(s):
-        hot = F.transform(F.sequence(F.lit(0), F.lit(n_services + n_ops - 1)),
-                          lambda i: F.when((i == s["svc"]) | (i == s["op_id"] + n_services), 1.0).otherwise(0.0))
+        zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+        one = F.array(F.lit(1.0))
+        runs = F.concat(zeros(s["svc"]), one, zeros(n_services - 1 - s["svc"] + s["op_id"]), one, zeros(n_ops - 1 - s["op_id"]))
+        # an id that is missing or outside its vocabulary sets no dimension of its own
+        cells = F.transform(F.sequence(F.lit(0), F.lit(n_services + n_ops - 1)),
+                            lambda i: F.when((i == s["svc"]) | (i == s["op_id"] + n_services), 1.0).otherwise(0.0))
+        known = s["svc"].between(0, n_services - 1) & s["op_id"].between(0, n_ops - 1)
+        hot = F.when(known, runs).otherwise(cells)
         return F.concat(hot, F.array(F.least(s["dur_ms"] / 1000, F.lit(MAX_SECONDS)), s["status"].cast("double")))
 
     pad = F.array_repeat(F.array_repeat(F.lit(0.0), dims), F.lit(max_spans) - F.size("spans"))
@@ -73,6 +87,13 @@ def encode(sequences: DataFrame, n_services: int, n_ops: int, max_spans: int = M
     return sequences.withColumns({"x": F.concat(F.transform("spans", vector), pad), "mask": mask})
 
 
+def cells_sum(x: Column, dims: int) -> Column:
+    """Sum of the ``dims`` cells of a vector, first to last; short ones are written out, which spares a lambda call per cell."""
+    if dims > MAX_WRITTEN_OUT:
+        return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    return reduce(lambda a, i: a + F.get(x, F.lit(i)), range(dims), F.lit(0.0))
+
+
 def fit_autoencoder(encoded: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(mean, components) of a linear autoencoder over all real spans; only d and d*k numbers return."""
     spans = encoded.select(F.explode(F.arrays_zip("x", "mask")).alias("s")).where(F.col("s.mask") > 0).select("s.x")
