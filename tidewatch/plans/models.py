@@ -78,8 +78,9 @@ def _encoded(spark, sf):
 
 
 def m09_trace_encoding(spark, sf):
-    e = _encoded(spark, sf).select("trace_id", F.posexplode(F.arrays_zip("x", "mask")).alias("pos", "c"))
-    total = F.aggregate("c.x", F.lit(0.0), lambda a, v: a + v)
+    sequences, n_services, n_ops = sequences_and_sizes(spark, sf)
+    e = traces.encode(sequences, n_services, n_ops, traces.MAX_SPANS).select("trace_id", F.posexplode(F.arrays_zip("x", "mask")).alias("pos", "c"))
+    total = traces.cells_sum(F.col("c.x"), n_services + n_ops + 2)
     hot = F.array_position("c.x", F.lit(1.0).cast("double"))
     return rounded(e.select("trace_id", "pos", F.col("c.mask").alias("mask"), F.size("c.x").alias("dims"), total.alias("total"),
                             F.when(F.col("c.mask") > 0, hot).alias("service_at")))

@@ -81,7 +81,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         kind = f.dataType.simpleString()
         c = F.col(f"`{f.name}`")
         if kind == "double":
-            c = F.round(c, digits) + F.lit(0.0)
+            # rounding goes through decimal text; a whole number is rounded already
+            c = F.when(c == F.rint(c), c).otherwise(F.round(c, digits)) + F.lit(0.0)
         elif kind == "timestamp":
             c = c.cast("timestamp_ntz")
         cols.append(c.alias(f.name))
