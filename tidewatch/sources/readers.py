@@ -36,6 +36,11 @@ def read_raw_zone(spark: SparkSession, path: str, merge_schema: bool = False) ->
     return spark.read.option("mergeSchema", merge_schema).parquet(path)
 
 
+def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    """Error zone with its reason and date folders as partition columns."""
+    return spark.read.schema("source string, value string, ingest_ts timestamp").json(path)
+
+
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The records of ``record_lines`` that could be read."""
     return record_lines(spark, path, schema).where(F.col("reason").isNull()).select("record.*")
