@@ -44,6 +44,8 @@ APP_KEYS = (
     "ts", "timestamp", "@timestamp", "host", "hostname", "pod", "level", "severity", "status", "latency_ms",
     "src_ip", "client_ip", "user", "user_id", "path", "route", "message", "msg",
 )
+# Keys of a firewall record that are read.
+WAF_KEYS = ("timestamp", "webaclId", "action", "terminatingRuleId", "rateBasedRuleList", "nonTerminatingMatchingRules", "httpRequest")
 # Request headers that never leave the ingest job.
 REDACTED_HEADERS = ("authorization", "cookie")
 
@@ -97,13 +99,20 @@ def _any(*conds: Column) -> Column:
     return out
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` names it or a lambda runs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _last_map(entries: Column) -> Column:
     """A map of (key, value) entries; of repeated keys the last counts, whatever the session says about duplicates."""
-    named = F.filter(entries, lambda e: e["key"].isNotNull())
-    lone = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda later: later["key"] == e["key"]))
-    # the comparison of all keys with all later ones is only for records that do repeat a key
-    clear = F.size(F.array_distinct(named["key"])) == F.size(named)
-    return F.when(clear, F.map_from_entries(named)).otherwise(F.map_from_entries(lone))
+    def build(named: Column) -> Column:
+        lone = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda later: later["key"] == e["key"]))
+        # the comparison of all keys with all later ones is only for records that do repeat a key
+        clear = F.size(F.array_distinct(named["key"])) == F.size(named)
+        return F.when(clear, F.map_from_entries(named)).otherwise(F.map_from_entries(lone))
+
+    return _once(F.filter(entries, lambda e: e["key"].isNotNull()), build)
 
 
 def _alb(df: DataFrame) -> DataFrame:
@@ -165,6 +174,7 @@ def _waf(df: DataFrame) -> DataFrame:
     r, h = F.col("r"), F.col("r.httpRequest")
     agents = F.filter(redact_headers(h["headers"]), lambda x: F.lower(x["name"]) == "user-agent")
     action = F.coalesce(_blank_to_null(r["action"]), r["terminatingRuleId"], F.lit(""))
+    empty = F.coalesce(*[F.when(r[c].isNotNull(), False) for c in WAF_KEYS], F.lit(True))
     ts = r["timestamp"]
     # epoch seconds have ten digits until the year 2286, milliseconds thirteen
     number, digits = ts.try_cast("bigint"), F.length(ts)
@@ -172,7 +182,7 @@ def _waf(df: DataFrame) -> DataFrame:
                    .otherwise(F.timestamp_micros(number)))
     q = F.lit("?")
     return df.select(
-        "value", _json_problem(r, F.to_json(r) == "{}").alias("reason"),
+        "value", _json_problem(r, empty).alias("reason"),
         ts.alias("ts_raw"), F.coalesce(epoch, _iso(ts)).alias("ts"), r["webaclId"].alias("host"),
         _lookup(action, WAF_SEVERITY).alias("severity"), h["clientIp"].alias("src_ip"), h["uri"].alias("path"),
         F.try_element_at(agents, F.lit(-1))["value"].alias("user_agent"),
@@ -244,9 +254,13 @@ def _eks(df: DataFrame) -> DataFrame:
 
 
 def _groups(df: DataFrame, pattern: str, n: int) -> tuple[DataFrame, list[Column]]:
-    line = F.trim(_line())
+    """(frame with ``_hit``, the n groups of the first match, null without one); a line is matched once for all its groups."""
+    line, cut = F.trim(_line()), "\0"
+    joined = F.regexp_replace(line, pattern + r"[\s\S]*", cut.join(f"${i}" for i in range(1, n + 1)))
+    one_by_one = F.array(*[F.regexp_extract(line, pattern, i) for i in range(1, n + 1)])
     df = df.withColumn("_hit", line.rlike(pattern))
-    return df, [F.when(F.col("_hit"), F.regexp_extract(line, pattern, i)) for i in range(1, n + 1)]
+    df = df.withColumn("_g", F.when(F.col("_hit"), F.when(line.contains(cut), one_by_one).otherwise(F.split(joined, cut))))
+    return df, [F.get("_g", F.lit(i)) for i in range(n)]
 
 
 def _nginx(df: DataFrame) -> DataFrame:
@@ -280,7 +294,8 @@ def _mysql(df: DataFrame) -> DataFrame:
     ts, qt, lt = pick(r"# Time: (\S+)", 1), pick(MYSQL_TIMES, 1), pick(MYSQL_TIMES, 2)
     seconds = qt.try_cast("double")
     body = F.trim(F.regexp_replace(_line(), r"(?m)^#.*$", ""))
-    body = F.regexp_replace(body, r"(?is)^\s*(use \S+;\s*)?(SET timestamp[^;]*;\s*)?", "")
+    df = df.withColumn("_body", F.regexp_replace(body, r"(?is)^\s*(use \S+;\s*)?(SET timestamp[^;]*;\s*)?", ""))
+    body = F.col("_body")
     ended = body.rlike(r"(?s).;\s*$")
     sql = F.regexp_replace(F.regexp_replace(body, r";\s*$", ""), r"^\s+|\s+$", "")
     return df.select(
@@ -444,11 +459,6 @@ def _object(value: Column) -> Column:
     return F.when(F.schema_of_variant(value).startswith("OBJECT"), value.cast("map<string,variant>"))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once per row, however often ``use`` names it or a lambda runs."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _merged(old: Column, new: Column, depth: int) -> Column:
     """Two maps of variants as one: keys of ``new`` win, and where both hold an object the two are merged in turn.
 
