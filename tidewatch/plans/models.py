@@ -104,7 +104,7 @@ def _spread_texts(spark, sf):
 
 
 def _vocabulary(docs):
-    return textweights.vocabulary(textweights.gram_counts(docs), docs.agg(F.count(F.lit(1)).alias("n_docs")))
+    return textweights.vocabulary(textweights.gram_counts(docs, by_id=False), docs.agg(F.count(F.lit(1)).alias("n_docs")))
 
 
 def _terms(spark, sf):
