@@ -8,7 +8,7 @@ through the nodes in Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -106,24 +106,47 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int, by_range: bool, b
     return [tuple(n) for n in nodes]
 
 
-def _fit(df: DataFrame, key: str, layout: Layout, trees: int, samples: int, seed: int, limit: int, by_range: bool) -> DataFrame:
-    picked = tree_samples(df, key, layout, trees, samples, seed)
+def _fit(df: DataFrame, key: str, layout: Layout, trees: int, samples: int, seed: int, limit: int, by_range: bool,
+         vectors: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    # Growing is heavy for its few bytes, so the number of tasks follows the trees, not the data size.
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values(["h", key]).head(samples)
-        nodes = _grow(layout.matrix(pdf), np.random.default_rng([seed, tree]), limit, by_range, boxes=by_range)
+    def grown(tree: int, x: np.ndarray) -> pd.DataFrame:
+        nodes = _grow(x, np.random.default_rng([seed, tree]), limit, by_range, boxes=by_range)
         return pd.DataFrame([(tree, *n) for n in nodes], columns=["tree", "node", "left", "right", "dim", "cut", "mass", "depth", "lo", "hi"])
 
-    # Growing is heavy for its few bytes, so the number of tasks follows the trees, not the data size.
-    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
-    return picked.repartition(tasks, "tree").groupBy("tree").applyInPandas(run, NODES)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return grown(int(pdf["tree"].iloc[0]), layout.matrix(pdf.sort_values(["h", key]).head(samples)))
+
+    def run_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, parts, room = -1, [], 0
+        for pdf in batches:
+            for at, part in pdf.groupby("tree", sort=False):
+                if at != tree:
+                    if parts:
+                        yield grown(tree, np.concatenate(parts))
+                    tree, parts, room = int(at), [], samples
+                if room:
+                    parts.append(layout.matrix(part.head(room)))
+                    room -= len(parts[-1])
+        if parts:
+            yield grown(tree, np.concatenate(parts))
+
+    if vectors is None:
+        return tree_samples(df, key, layout, trees, samples, seed).repartition(tasks, "tree").groupBy("tree").applyInPandas(run, NODES)
+    # Rows move as they are stored, and are made vectors where their trees grow.
+    raw = replace(layout, columns=tuple(c for c in df.columns if c != key))
+    picked = tree_samples(df, key, raw, trees, samples, seed).repartition(tasks, "tree").sortWithinPartitions("tree", "h", key)
+    return vectors(picked).mapInPandas(run_sorted, NODES)
 
 
 def fit_isolation_forest(df: DataFrame, key: str, layout: Layout, trees: int = ISOLATION_TREES,
-                         samples: int = ISOLATION_SAMPLES, seed: int = SEED) -> DataFrame:
-    """Node table of an isolation forest: at most trees * 2 * samples rows."""
-    return _fit(df, key, layout, trees, samples, seed, int(np.ceil(np.log2(max(samples, 2)))), by_range=False)
+                         samples: int = ISOLATION_SAMPLES, seed: int = SEED, vectors: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Node table of an isolation forest: at most trees * 2 * samples rows.
+
+    ``vectors`` makes the vector columns from the others of ``df``, row by row, of rows drawn for a tree only.
+    """
+    return _fit(df, key, layout, trees, samples, seed, int(np.ceil(np.log2(max(samples, 2)))), by_range=False, vectors=vectors)
 
 
 def fit_cut_forest(df: DataFrame, key: str, layout: Layout, trees: int = CUT_TREES, samples: int = CUT_SAMPLES, seed: int = SEED) -> DataFrame:

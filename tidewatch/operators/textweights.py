@@ -345,11 +345,11 @@ def _term_counter(lo: int, hi: int, at: dict[str, int]) -> Callable[[list[str |
 
 def document_terms(docs: DataFrame, numbered: DataFrame, doc_id: str = "id", text: str = "message", lo: int = MIN_GRAM,
                    hi: int = MAX_GRAM) -> DataFrame:
-    """(id, indices, counts): per document the numbers of its vocabulary terms in order, and how often each occurs.
+    """(id, n, terms): per document the numbers of its n vocabulary terms in order, and how often each occurs.
 
     ``numbered`` maps gram to ``idx``; the vocabulary has a fixed largest size.  Documents without a term are left out.  The
     result is stored, as small as the texts: weights follow from it by ``sparse_weights`` wherever they are used.  Both lists
-    are bytes (``_packed_lists``), as a column of lists takes longer to write and read than the grams take to count.
+    are packed (``_packed_lists``), as columns of lists take longer to write and read than the grams take to count.
     """
     terms = docs.sparkSession.sparkContext.broadcast({r.gram: r.idx for r in numbered.select("gram", "idx").collect()})
     once, shared = _by_use_of_id(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
@@ -360,63 +360,67 @@ def document_terms(docs: DataFrame, numbered: DataFrame, doc_id: str = "id", tex
         for batch in batches:
             for rows, ends, indices, counts in count(batch.column("text").to_pylist()):
                 some = np.diff(ends, prepend=0) > 0
-                yield pa.record_batch([batch.column("id").take(pa.array(rows[some])), *_packed_lists(ends[some], indices, counts)],
-                                      ["id", "indices", "counts"])
+                yield pa.record_batch([batch.column("id").take(pa.array(rows[some])), *_packed_lists(ends[some], indices, counts)], ["id", "n", "terms"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("indices"), batch.column("n")
+            lists = batch.column("indices"), batch.column("counts")
             for i in range(batch.num_rows):
                 indices, counts = (x[i].values.to_numpy() for x in lists)
-                yield pa.record_batch([batch.column("id").slice(i, 1), *_packed_lists(np.array([len(indices)]), indices, counts)], ["id", "indices", "counts"])
+                yield pa.record_batch([batch.column("id").slice(i, 1), *_packed_lists(np.array([len(indices)]), indices, counts)], ["id", "n", "terms"])
 
-    stored = f"id {kind}, indices binary, counts binary"
+    stored = f"id {kind}, n int, terms binary"
 
     def per_row(some: DataFrame) -> DataFrame:
         return _lowered(some).mapInArrow(run, stored)
 
-    cells = _term_cells(per_row(shared)).groupBy("id", "idx").agg(F.sum("n").alias("n"))
-    joint = cells.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "n"))).alias("t"))
-    joint = joint.select("id", F.col("t.idx").alias("indices"), F.col("t.n").alias("n"))
+    cells = _term_cells(per_row(shared)).groupBy("id", "idx").agg(F.sum("tf").alias("tf"))
+    joint = cells.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "tf"))).alias("t"))
+    joint = joint.select("id", F.col("t.idx").alias("indices"), F.col("t.tf").alias("counts"))
     out = per_row(once).unionByName(joint.mapInArrow(packed, stored))
     path = scratch_path(docs.sparkSession, "document-terms")
-    out.write.option("compression", "zstd").parquet(path)
+    out.write.option("compression", "none").parquet(path)  # packed already
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def _packed_lists(ends: np.ndarray, indices: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
-    """Columns of bytes: the steps from a term's number to the next one, and the counts, four bytes each."""
+    """Lengths and bytes: the steps from a term's number to the next one, and the counts, byte by byte of four, compressed."""
     steps = np.diff(indices, prepend=0)
-    begins = np.concatenate([[0], ends[:-1]]).astype(int)[:len(ends)]
-    steps[begins] = indices[begins]
-    at = pa.array(np.concatenate([[0], ends]) * 4, pa.int32()).buffers()[1]
-    return [pa.Array.from_buffers(pa.binary(), len(ends), [None, at, pa.py_buffer(x.astype("<u4"))]) for x in (steps, counts)]
+    begins = np.concatenate([[0], ends]).astype(int)
+    steps[begins[:-1]] = indices[begins[:-1]]
+    planes = np.concatenate([x.astype("<u4").view(np.uint8).reshape(-1, 4).T for x in (steps, counts)])
+    packer = pa.Codec("zstd", 1)
+    packed = [packer.compress(planes[:, i:j].tobytes(), asbytes=True) for i, j in zip(begins.tolist(), begins[1:].tolist())]
+    return [pa.array(np.diff(begins), pa.int32()), pa.array(packed, pa.binary())]
 
 
 def _unpacked_lists(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, lengths, indices, counts) for some rows after another."""
-    packed = [batch.column(c).to_pylist() for c in ("indices", "counts")]
-    sizes = np.array([len(x) // 4 for x in packed[0]], int)
-    begin = 0
+    sizes, packed = batch.column("n").to_numpy().astype(int), batch.column("terms")
+    packer, begin = pa.Codec("zstd"), 0
     while begin < len(sizes):
-        end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), PART_ROWS, "right")))
-        steps, counts = (np.frombuffer(b"".join(x[begin:end]), "<u4").astype(int) for x in packed)
+        end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:begin + PART_ROWS]), PART_ROWS, "right")))
         lengths = sizes[begin:end]
-        indices, begins = np.cumsum(steps), np.cumsum(lengths) - lengths
-        indices -= np.repeat(indices[begins] - steps[begins], lengths)  # no row is without a term
+        stops = np.cumsum(lengths)
+        planes = np.empty((8, int(stops[-1])), np.uint8)
+        for i, j, some in zip((stops - lengths).tolist(), stops.tolist(), packed.slice(begin, end - begin).to_pylist()):
+            planes[:, i:j] = np.frombuffer(packer.decompress(some, decompressed_size=8 * (j - i), asbytes=True), np.uint8).reshape(8, -1)
+        steps, counts = (sum(planes[k + i].astype(int) << 8 * i for i in range(4) if not i or planes[k + i].any()) for k in (0, 4))
+        indices, first = np.cumsum(steps), stops - lengths
+        indices -= np.repeat(indices[first] - steps[first], lengths)  # no row is without a term
         yield slice(begin, end), lengths, indices, counts
         begin = end
 
 
 def _term_cells(terms: DataFrame) -> DataFrame:
-    """(id, idx, n): a row for each term of each row."""
+    """(id, idx, tf): a row for each term of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, lengths, indices, counts in _unpacked_lists(batch):
                 ids = batch.column("id").take(pa.array(np.repeat(np.arange(rows.start, rows.stop), lengths)))
-                yield pa.record_batch([ids, pa.array(indices, pa.int32()), pa.array(counts, pa.int64())], ["id", "idx", "n"])
+                yield pa.record_batch([ids, pa.array(indices, pa.int32()), pa.array(counts, pa.int64())], ["id", "idx", "tf"])
 
-    return terms.mapInArrow(run, f"id {terms.schema['id'].dataType.simpleString()}, idx int, n bigint")
+    return terms.mapInArrow(run, f"id {terms.schema['id'].dataType.simpleString()}, idx int, tf bigint")
 
 
 def sparse_weights(terms: DataFrame, vocab: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -430,7 +434,7 @@ def sparse_weights(terms: DataFrame, vocab: DataFrame, numbered: DataFrame) -> D
         table[r.idx] = r.idf
     idf = terms.sparkSession.sparkContext.broadcast(table)
 
-    others = [f for f in terms.schema.fields if f.name not in ("indices", "counts")]
+    others = [f for f in terms.schema.fields if f.name not in ("n", "terms")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -444,4 +448,4 @@ def sparse_weights(terms: DataFrame, vocab: DataFrame, numbered: DataFrame) -> D
                 yield pa.record_batch([*kept, *lists], [*(f.name for f in others), "indices", "values"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return terms.select(*[f.name for f in others], "indices", "counts").mapInArrow(run, f"{kinds}, indices array<int>, values array<double>")
+    return terms.select(*[f.name for f in others], "n", "terms").mapInArrow(run, f"{kinds}, indices array<int>, values array<double>")

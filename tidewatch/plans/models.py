@@ -244,7 +244,7 @@ def m13_text_pipeline(spark, sf):
     terms, vocab, numbered = _terms(spark, sf)
     parts = E.seeded_split(terms, ["id"], "text")  # of a stored table, so only its ids are read to find the border
     n = parts.where("NOT is_test").count()
-    train, test = (textweights.sparse_weights(parts.where(which), vocab, numbered) for which in ("NOT is_test", "is_test"))
+    train, test = (textweights.sparse_weights(parts.where(which).drop("is_test"), vocab, numbered) for which in ("NOT is_test", "is_test"))
     shape = forest.sparse(textweights.MAX_TERMS)
     scores = forest.isolation_scores(test, "id", shape, forest.fit_isolation_forest(train, "id", shape))
     truth = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("truth"))
@@ -271,9 +271,13 @@ def m06_cut_scores(spark, sf):
 
 
 def m08_text_forest(spark, sf):
-    rows = textweights.sparse_weights(*_terms(spark, sf))
+    terms, vocab, numbered = _terms(spark, sf)
     shape = forest.sparse(textweights.MAX_TERMS)
-    return rounded(forest.isolation_scores(rows, "id", shape, forest.fit_isolation_forest(rows, "id", shape)))
+
+    def weigh(rows):
+        return textweights.sparse_weights(rows, vocab, numbered)
+
+    return rounded(forest.isolation_scores(weigh(terms), "id", shape, forest.fit_isolation_forest(terms, "id", shape, vectors=weigh)))
 
 
 def scored(spark, sf):
