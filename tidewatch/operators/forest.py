@@ -12,8 +12,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidewatch.operators.quantiles import exact_percentiles
 
@@ -54,6 +57,27 @@ def sparse(dims: int) -> Layout:
     return Layout(("indices", "values"), dims, True)
 
 
+def _where_weighed(run: Callable, schema: str, rows: int = 1) -> tuple[Callable, str]:
+    """``run``, which makes data frames from data frames, over Arrow batches taken together to so many rows; and its schema."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        some: list[pa.RecordBatch] = []
+        for batch in batches:
+            some.append(batch)
+            if sum(b.num_rows for b in some) >= rows:
+                yield pa.Table.from_batches(some).to_pandas(integer_object_nulls=True)
+                some = []
+        if some:
+            yield pa.Table.from_batches(some).to_pandas(integer_object_nulls=True)
+
+    def in_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(frames(batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=kinds, preserve_index=False)
+
+    return in_arrow, schema
+
+
 def tree_samples(df: DataFrame, key: str, layout: Layout, trees: int, samples: int, seed: int) -> DataFrame:
     """(tree, h, vector columns): about 1.5 times ``samples`` rows of the whole table for every tree.
 
@@ -107,7 +131,7 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int, by_range: bool, b
 
 
 def _fit(df: DataFrame, key: str, layout: Layout, trees: int, samples: int, seed: int, limit: int, by_range: bool,
-         vectors: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+         vectors: Callable | None = None) -> DataFrame:
     # Growing is heavy for its few bytes, so the number of tasks follows the trees, not the data size.
     tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
 
@@ -137,14 +161,15 @@ def _fit(df: DataFrame, key: str, layout: Layout, trees: int, samples: int, seed
     # Rows move as they are stored, and are made vectors where their trees grow.
     raw = replace(layout, columns=tuple(c for c in df.columns if c != key))
     picked = tree_samples(df, key, raw, trees, samples, seed).repartition(tasks, "tree").sortWithinPartitions("tree", "h", key)
-    return vectors(picked).mapInPandas(run_sorted, NODES)
+    return vectors(picked, *_where_weighed(run_sorted, NODES))
 
 
 def fit_isolation_forest(df: DataFrame, key: str, layout: Layout, trees: int = ISOLATION_TREES,
-                         samples: int = ISOLATION_SAMPLES, seed: int = SEED, vectors: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                         samples: int = ISOLATION_SAMPLES, seed: int = SEED, vectors: Callable | None = None) -> DataFrame:
     """Node table of an isolation forest: at most trees * 2 * samples rows.
 
-    ``vectors`` makes the vector columns from the others of ``df``, row by row, of rows drawn for a tree only.
+    ``vectors`` makes the vector columns from the others of ``df``, row by row, of rows drawn for a tree only; it gets the rows,
+    what the task does with their batches, and the schema of that.
     """
     return _fit(df, key, layout, trees, samples, seed, int(np.ceil(np.log2(max(samples, 2)))), by_range=False, vectors=vectors)
 
@@ -225,7 +250,7 @@ def _cut_scores(x: np.ndarray, trees) -> np.ndarray:
     return total / len(trees)
 
 
-def _score(df: DataFrame, key: str, layout: Layout, model: DataFrame, how: Callable, tasks: int | None) -> DataFrame:
+def _score(df: DataFrame, key: str, layout: Layout, model: DataFrame, how: Callable, tasks: int | None, vectors: Callable | None = None) -> DataFrame:
     nodes = df.sparkSession.sparkContext.broadcast(model.toPandas())  # bounded by the forest parameters
     kind = df.schema[key].dataType.simpleString()
 
@@ -236,15 +261,16 @@ def _score(df: DataFrame, key: str, layout: Layout, model: DataFrame, how: Calla
                 part = pdf.iloc[start:start + _CHUNK]
                 yield pd.DataFrame({key: part[key].to_numpy(), "score": how(layout.matrix(part), trees)})
 
-    rows = df.select(key, *layout.columns)
+    out = f"`{key}` {kind}, score double"
+    rows = df if vectors else df.select(key, *layout.columns)
     # A small table may sit in one partition although every row costs many tree walks.
     rows = rows if tasks is None else rows.repartition(tasks)
-    return rows.mapInPandas(run, f"`{key}` {kind}, score double")
+    return vectors(rows, *_where_weighed(run, out, _CHUNK // 2)) if vectors else rows.mapInPandas(run, out)
 
 
-def isolation_scores(df: DataFrame, key: str, layout: Layout, model: DataFrame, tasks: int | None = None) -> DataFrame:
-    """(key, score) in 0..1, higher is more anomalous."""
-    return _score(df, key, layout, model, _isolation_scores, tasks)
+def isolation_scores(df: DataFrame, key: str, layout: Layout, model: DataFrame, tasks: int | None = None, vectors: Callable | None = None) -> DataFrame:
+    """(key, score) in 0..1, higher is more anomalous; ``vectors`` as for the fit."""
+    return _score(df, key, layout, model, _isolation_scores, tasks, vectors)
 
 
 def cut_scores(df: DataFrame, key: str, layout: Layout, model: DataFrame, tasks: int | None = None) -> DataFrame:

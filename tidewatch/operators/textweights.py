@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -198,11 +199,22 @@ def _lowered(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.lower("text").alias("text")).where(F.col("text").isNotNull())
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in small batches, so that few texts are there a second time as Python's."""
+    for batch in batches:
+        ends, begin = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(int)), 0
+        while begin < batch.num_rows:
+            end = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PART_CHARS)) + 1
+            yield batch.slice(begin, end - begin)
+            begin = end
+    pa.default_memory_pool().release_unused()
+
+
 def _row_grams(docs: DataFrame, lo: int, hi: int) -> DataFrame:
     """(id, gram, tf) of every row by itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = GramKeys(lo, hi) if GramKeys.packs(lo, hi) else None
-        for batch in batches:
+        for batch in _in_parts(batches):
             for rows, number, grams, tf in _counted(batch.column("text").to_pylist(), lo, hi, packed):
                 ids, names = batch.column("id"), pa.array(grams, pa.string())
                 for i in range(0, len(rows), PART_ROWS):
@@ -231,7 +243,7 @@ def _summed_grams(docs: DataFrame, lo: int, hi: int) -> DataFrame:
             yield from handed_over(packed.grams(keys), tf, df)
 
         count = _gram_counter(lo, hi)
-        for batch in batches:
+        for batch in _in_parts(batches):
             texts = batch.column("text").to_pylist()
             for rows, found in packed.counted(texts) if packed else [(np.arange(len(texts)), None)]:
                 if found is not None:
@@ -357,7 +369,7 @@ def document_terms(docs: DataFrame, numbered: DataFrame, doc_id: str = "id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _term_counter(lo, hi, terms.value)
-        for batch in batches:
+        for batch in _in_parts(batches):
             for rows, ends, indices, counts in count(batch.column("text").to_pylist()):
                 some = np.diff(ends, prepend=0) > 0
                 yield pa.record_batch([batch.column("id").take(pa.array(rows[some])), *_packed_lists(ends[some], indices, counts)], ["id", "n", "terms"])
@@ -423,10 +435,10 @@ def _term_cells(terms: DataFrame) -> DataFrame:
     return terms.mapInArrow(run, f"id {terms.schema['id'].dataType.simpleString()}, idx int, tf bigint")
 
 
-def sparse_weights(terms: DataFrame, vocab: DataFrame, numbered: DataFrame) -> DataFrame:
+def sparse_weights(terms: DataFrame, vocab: DataFrame, numbered: DataFrame, then: Callable | None = None, schema: str = "") -> DataFrame:
     """(id, indices, values): the weights of ``tfidf`` over the rows of ``document_terms``, as ``sparse_rows`` lays them out.
 
-    Other columns of ``terms`` stay.
+    Other columns of ``terms`` stay.  ``then`` gets the weighed batches of a task where they are and makes rows of ``schema`` from them.
     """
     known = vocab.join(numbered, "gram").select("idx", "idf").collect()  # the vocabulary has a fixed largest size
     table = np.zeros(max((r.idx for r in known), default=-1) + 1)
@@ -447,5 +459,8 @@ def sparse_weights(terms: DataFrame, vocab: DataFrame, numbered: DataFrame) -> D
                 kept = [batch.column(f.name).slice(rows.start, len(lengths)) for f in others]
                 yield pa.record_batch([*kept, *lists], [*(f.name for f in others), "indices", "values"])
 
+    rows = terms.select(*[f.name for f in others], "n", "terms")
+    if then is not None:
+        return rows.mapInArrow(lambda batches: then(run(batches)), schema)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return terms.select(*[f.name for f in others], "n", "terms").mapInArrow(run, f"{kinds}, indices array<int>, values array<double>")
+    return rows.mapInArrow(run, f"{kinds}, indices array<int>, values array<double>")

@@ -244,9 +244,13 @@ def m13_text_pipeline(spark, sf):
     terms, vocab, numbered = _terms(spark, sf)
     parts = E.seeded_split(terms, ["id"], "text")  # of a stored table, so only its ids are read to find the border
     n = parts.where("NOT is_test").count()
-    train, test = (textweights.sparse_weights(parts.where(which).drop("is_test"), vocab, numbered) for which in ("NOT is_test", "is_test"))
+    train, test = (parts.where(which).drop("is_test") for which in ("NOT is_test", "is_test"))
     shape = forest.sparse(textweights.MAX_TERMS)
-    scores = forest.isolation_scores(test, "id", shape, forest.fit_isolation_forest(train, "id", shape))
+
+    def weigh(rows, then, schema):
+        return textweights.sparse_weights(rows, vocab, numbered, then, schema)
+
+    scores = forest.isolation_scores(test, "id", shape, forest.fit_isolation_forest(train, "id", shape, vectors=weigh), vectors=weigh)
     truth = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("truth"))
     judged = E.flag_top(settle(scores.join(truth, "id")), "score", 0.99, "predicted")
     return _gate_row(E.classification_report(judged, "truth", "predicted"), "log-embedding", "precision_at_top1pct", "precision", n)
@@ -274,10 +278,10 @@ def m08_text_forest(spark, sf):
     terms, vocab, numbered = _terms(spark, sf)
     shape = forest.sparse(textweights.MAX_TERMS)
 
-    def weigh(rows):
-        return textweights.sparse_weights(rows, vocab, numbered)
+    def weigh(rows, then, schema):
+        return textweights.sparse_weights(rows, vocab, numbered, then, schema)
 
-    return rounded(forest.isolation_scores(weigh(terms), "id", shape, forest.fit_isolation_forest(terms, "id", shape, vectors=weigh)))
+    return rounded(forest.isolation_scores(terms, "id", shape, forest.fit_isolation_forest(terms, "id", shape, vectors=weigh), vectors=weigh))
 
 
 def scored(spark, sf):
