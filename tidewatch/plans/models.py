@@ -197,9 +197,13 @@ def m06_fixed_forest(spark, sf):
 
 def m08_fixed_forest(spark, sf):
     """The isolation model over the weights of the first two terms of the vocabulary, read from the sparse rows."""
-    rows = textweights.sparse_weights(*_terms(spark, sf))
+    terms, vocab, numbered = _terms(spark, sf)
     nodes = [(*n[:5], n[5] / 100, *n[6:]) for n in FIXED_ISOLATION]
-    return rounded(forest.isolation_scores(rows, "id", forest.sparse(textweights.MAX_TERMS), _fixed_model(spark, nodes)))
+
+    def weigh(rows, then, schema):
+        return textweights.sparse_weights(rows, vocab, numbered, then, schema)
+
+    return rounded(forest.isolation_scores(terms, "id", forest.sparse(textweights.MAX_TERMS), _fixed_model(spark, nodes), vectors=weigh))
 
 
 def m10_fixed_autoencoder(spark, sf):
